@@ -1,0 +1,210 @@
+"""Operators that look at one text at a time, against plain versions of their contracts."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from pricelode.llm import decontam, ngramlr, pieces, pii
+
+
+def rows(df, key="doc_id"):
+    return [r.asDict() for r in df.collect()]
+
+
+def both(documents, awkward):
+    return [(r["doc_id"], r["text"]) for d in (documents, awkward) for r in d.select("doc_id", "text").collect()]
+
+
+def sorted_rows(items):
+    return sorted(items, key=lambda r: tuple(str(x) for x in (r.values() if isinstance(r, dict) else r)))
+
+
+# --- pieces
+
+
+def test_pieces_match_the_library(spark, documents, awkward):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    want = []
+    for i, t in both(documents, awkward):
+        ids = sp.encode(t or "", add_bos=True, add_eos=True)
+        want.append({"doc_id": i, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(sp.decode(ids).encode()).hexdigest()})
+    got = rows(pieces.report(documents)) + rows(pieces.report(awkward))
+    assert sorted_rows(got) == sorted_rows(want)
+
+
+def test_pieces_table_begun_anew_changes_nothing(monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE", 3)
+    codec = pieces.Codec(pieces.model_path())
+    text = "one two three four five six seven one two"
+    assert codec.decode(codec.encode(text)) == text.encode()
+    assert b"".join(codec.encode(text)) == np.array(codec.sp.encode(text), "<u4").tobytes()
+
+
+def test_pieces_ids_and_back(spark, documents, awkward, empty):
+    out = pieces.encoded(awkward)
+    assert rows(pieces.decoded(out.select("doc_id", "ids"))) is not None
+    for r in pieces.encoded(documents.limit(5)).join(documents, "doc_id").collect():
+        assert r["decoded"] == r["text"]
+    assert pieces.report(empty).count() == 0
+
+
+# --- personal data
+
+
+def plain_pii(t):
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    spans = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    spans += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    spans += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    return spans + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m.group())) <= 15]
+
+
+def noisy(rng):
+    parts = ["a.b@c.de", "@", "x@y", "+", "+1 ", "1.2.3.4", "255", ".", " ", "-", "4539578763621486", "7", "12", "()", "q", "é", "+49 30 1234567", "999.1.1.1", "@m-1.x.y"]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+
+
+def test_pii_base_matches_the_patterns():
+    cues, rng = pii.automaton(), random.Random(3)
+    for t in [noisy(rng) for _ in range(6000)]:
+        base, every = pii.spans_of(t, cues.iter(t))
+        got = [(k, a, b) for k in pii.BASE for a, b in base.get(k, ())]
+        assert got == plain_pii(t), t
+        assert set(got) <= {(k, a, b) for k in pii.KINDS for a, b in every.get(k, ())}
+
+
+def test_pii_report(documents, awkward, empty):
+    want = []
+    for i, t in both(documents, awkward):
+        spans = plain_pii(t or "")
+        n = Counter(k for k, _, _ in spans)
+        want.append({"doc_id": i} | {f"n_{k}": n[k] for k in pii.BASE} | {"base_sha256": hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()})
+    got = rows(pii.report(documents).drop("spans")) + rows(pii.report(awkward).drop("spans"))
+    assert sorted_rows(got) == sorted_rows(want)
+    assert pii.report(empty).count() == 0
+
+
+def test_pii_adds_spans():
+    def found(t):
+        return {(k, t[a:b]) for k, v in pii.spans_of(t, pii.automaton().iter(t))[1].items() for a, b in v}
+
+    assert found("x 7536784127813050 4845168114407329 y") >= {("card", "4845168114407329")}
+    assert ("phone", "+1 (017) 555-7713") in found("call +1 (017) 555-7713 4845168114407329 now")
+    assert ("iban", "DE89 3704 0044 0532 0130 00") in found("IBAN DE89 3704 0044 0532 0130 00 here")
+    assert ("secret", "04dbebab91ab85687d33") in found('token = "04dbebab91ab85687d33"')
+    assert ("account", "12345678") in found("account no: 12345678.")
+    assert ("ssn", "123-45-6789") in found("ssn 123-45-6789")
+    assert ("url_login", "https://me:pw@host.x/y".split("/y")[0]) in found("https://me:pw@host.x/y")
+
+
+# --- quality rules
+
+
+def plain_counts(t):
+    t = t or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    n = Counter(threes)
+    hit = {i + k for i, w in enumerate(threes) if n[w] > 1 for k in range(3)}
+    chars, symbols = sum(map(len, words)), sum(t.count(c) for c in "#*$%&|<>")
+    return len(words), chars, symbols, dup, len(hit), len(words) < 50 or 100 * len(hit) > 50 * len(words)
+
+
+def test_counts(documents, awkward):
+    for _, t in both(documents, awkward):
+        assert ngramlr.counts((t or "").encode()) == plain_counts(t)
+
+
+def plain_grams(data):
+    words = data.split()
+    return [len(data) - w + 1 if len(data) >= w else 0 for w in ngramlr.CHARS] + [len(words), max(0, len(words) - 1)]
+
+
+def test_grams_stay_within_texts(awkward):
+    texts = [(r["text"] or "").encode() for r in awkward.collect()]
+    data, offsets = ngramlr.joined(texts)
+    together = list(ngramlr.grams(data, offsets))
+    for i, t in enumerate(texts):
+        alone = list(ngramlr.grams(*ngramlr.joined([t]))) if t else None
+        for f, (hashed, first) in enumerate(together):
+            own = hashed[first[i] : first[i + 1]]
+            assert len(own) == plain_grams(t)[f]
+            if alone:
+                assert own.tolist() == alone[f][0].tolist()
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r for r in ngramlr.report(docs, labels).collect()}
+    truth = [(r["doc_id"], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(got) == docs.count()
+    assert np.mean([got[i]["kept"] or got[i]["base_failed"] for i, q in truth if q == 1]) > 0.95
+    assert np.mean([not got[i]["kept"] for i, q in truth if q == 0]) > 0.9
+
+
+def test_quality_edges(spark, awkward, empty):
+    labels = spark.createDataFrame([(1, None), (2, 1), (2, 1), (None, 0), (3, 7)], "doc_id long, quality int")
+    got = rows(ngramlr.report(awkward, labels))
+    assert len(got) == awkward.count()
+    assert all(r["kept"] == (not r["base_failed"]) for r in got)
+    assert ngramlr.report(empty, labels).count() == 0
+
+
+# --- decontamination
+
+
+def plain_hits(docs, items, width=10):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for i, t in items:
+        w = word(t)
+        for k in range(max(1, len(w) - width + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + width]), set()).add(str(i))
+    for i, t in docs:
+        w, hit, found = word(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if own := windows.get(tuple(w[k : k + size])):
+                    hit.update(range(k, k + size))
+                    found |= own
+        yield {"doc_id": i, "n_words": len(w), "n_hit": len(hit), "n_items": len(found), "items_sha256": hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), "contaminated": bool(hit)}
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 1500])
+def test_decontamination(spark, documents, awkward, sf, block, monkeypatch):
+    monkeypatch.setattr(decontam, "AT_ONCE", 50)
+    more = spark.createDataFrame([(900, "same LINE the"), (901, None), (902, ""), (903, "漢字 emoji"), (904, "word word word"), (905, "word " * 12), (900, "no id here")], "item_id long, text string")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(more)
+    want = list(plain_hits(both(documents, awkward), [tuple(r) for r in items.select("item_id", "text").collect()]))
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (block,))
+    monkeypatch.setattr(decontam.matches, "__defaults__", (*decontam.matches.__defaults__[:2], block, None))
+    got = rows(decontam.report(documents.unionByName(awkward), items))
+    assert sorted_rows(got) == sorted_rows(want)
+    assert sum(r["contaminated"] for r in got) > 3
+
+
+def test_decontamination_keeps_clean_rows(documents, spark, sf, empty):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    clean = decontam.clean(documents, items)
+    assert clean.columns == documents.columns and 0 < clean.count() < documents.count()
+    assert decontam.clean(documents, items.limit(0)).count() == documents.count()
+    assert decontam.report(empty, items).count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "gamma beta")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    near = {r["doc_id"]: r["items"] for r in decontam.matches(docs, items, slack=1).collect()}
+    exact = {r["doc_id"]: r["items"] for r in decontam.matches(docs, items).collect()}
+    assert near == {1: ["1"], 2: ["1"], 3: []} and exact == {1: [], 2: ["1"], 3: []}
