@@ -104,3 +104,25 @@ def take_spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - first, lengths)
+
+
+#: Lower case of A-Z, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes of words: digits, letters, and every byte of a character beyond ASCII.
+IN_WORD = np.zeros(256, bool)
+IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
+
+
+def solid_spans(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True within each text, and each text's first run (n + 1 places)."""
+    n = len(solid)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    before = np.concatenate(([False], solid[:-1]))
+    after = np.concatenate((solid[1:], [False]))
+    starts = np.flatnonzero(solid & (~before | cut[:-1]))
+    ends = np.flatnonzero(solid & (~after | cut[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)

@@ -41,7 +41,7 @@ RESULT = "n_words long, n_hit long, hit_spans array<struct<start:int,end:int>>,
 
 
 def words_of(text: bytes | str | None) -> list[bytes]:
-    data = (text or b"").encode() if isinstance(text, str) else (text or b"")
+    data = text.encode() if isinstance(text, str) else text or b""
     return WORD.findall(data.lower())
 
 

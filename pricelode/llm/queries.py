@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import decontam, linededup, ngramlr, pieces, pii, slots
+from pricelode.llm import bytecnn, decontam, linededup, neardup, ngramlr, pieces, pii, slots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,6 +25,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontamination, op4_line_dedup, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules)
+    f.__name__: f for f in (op2_dart_minhash, op3_decontamination, op4_line_dedup, op6_byte_cnn, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
