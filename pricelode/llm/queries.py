@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import bytecnn, decontam, linededup, neardup, ngramlr, pieces, pii, slots
+from pricelode.llm import bytecnn, decontam, linededup, neardup, ngramlr, pieces, pii, repeats, slots
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_dart_minhash, op3_decontamination, op4_line_dedup, op6_byte_cnn, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_dart_minhash, op3_decontamination, op4_line_dedup, op6_byte_cnn, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
