@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import bytecnn, decontam, linededup, neardup, ngramlr, pieces, pii, repeats, slots
+from pricelode.llm import bytecnn, decontam, linededup, neardup, ngramlr, pieces, pii, repeats, slots, tokenstore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_range_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.report(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_dart_minhash, op3_decontamination, op4_line_dedup, op6_byte_cnn, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_dart_minhash, op3_decontamination, op4_line_dedup, op5_range_coded_tokens, op6_byte_cnn, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}
