@@ -157,8 +157,8 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, slack: int =
     """``docs``' columns ``keep`` (all, if None) with n_words, n_hit, hit_spans (in words) and items."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    names = [f"_k{i}" for i in range(len(keep))]
-    frame = docs.select(F.col("text").alias("_text"), *(docs[c].alias(n) for c, n in zip(keep, names, strict=True)))
+    names = ["_text" if c == "text" else f"_k{i}" for i, c in enumerate(keep)]
+    frame = docs.select(docs["text"].alias("_text"), *(docs[c].alias(n) for c, n in zip(keep, names, strict=True) if c != "text"))
     for k, block in enumerate(blocks(items, block_bytes)):
         sent = spark.sparkContext.broadcast(block)
 

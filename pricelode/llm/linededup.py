@@ -141,6 +141,16 @@ def deduped(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), F.col("_n").alias("n_lines_removed"))
 
 
+def left(docs: DataFrame) -> DataFrame:
+    """``docs`` with the new texts and their n_chars; documents of which no line is left are dropped."""
+    out = deduped(docs)
+    changed = F.col("n_lines_removed") > 0
+    out = out.filter(~changed | F.col("text").rlike(r"[^ \t\n\r\x0b\x0c]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_lines_removed, n_removed (code points, line ends included) and a digest of what is left."""
     slim = docs.select("doc_id", "text", F.length("text").alias("old_chars"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("lines"))

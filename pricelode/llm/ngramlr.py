@@ -235,13 +235,19 @@ def judged(docs: DataFrame, model: Model, keep: list[str], threshold: float = TH
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             failed = np.array(columns[5], bool)
             arrays = [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], [*batch.schema.names[1:], *(x.split()[0] for x in RESULT.split(", "))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], *arrays], [*batch.schema.names[skip:], *(x.split()[0] for x in RESULT.split(", "))])
 
-    names = [f"_k{i}" for i in range(len(keep))]
-    frame = docs.select(docs["text"].alias("_text"), *(docs[c].alias(n) for c, n in zip(keep, names, strict=True)))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
+    names = ["_text" if c == "text" else f"_k{i}" for i, c in enumerate(keep)]
+    skip = int("text" not in keep)
+    frame = docs.select(docs["text"].alias("_text"), *(docs[c].alias(n) for c, n in zip(keep, names, strict=True) if c != "text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[skip:])
     out = frame.mapInArrow(task, f"{kept}, {RESULT}")
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *out.columns[len(keep) :])
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *(x.split()[0] for x in RESULT.split(", ")))
+
+
+def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that the rules and the model keep."""
+    return judged(docs, trained(docs, labels), docs.columns).filter("kept").select(*docs.columns)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
