@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +34,14 @@ def name_pairs(left: DataFrame, right: DataFrame, scorer: str, cut: float) -> Da
     for i in range(0, len(names), BLOCK):
         sent = left.sparkSession.sparkContext.broadcast(names[i : i + BLOCK])
 
-        def task(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             score = SCORERS[scorer]
-            for frame in frames:
-                hits = [(x, y, s) for x in frame["l"] for y in sent.value if (s := score(x, y)) >= cut]
-                yield pd.DataFrame(hits, columns=["l", "r", "score"])
+            for batch in batches:
+                hits = [(x, y, s) for x in batch.column(0).to_pylist() for y in sent.value if (s := score(x, y)) >= cut]
+                columns = list(zip(*hits, strict=True)) if hits else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["l", "r", "score"])
 
-        out = out.unionByName(left.mapInPandas(task, "l string, r string, score double"))
+        out = out.unionByName(left.mapInArrow(task, "l string, r string, score double"))
     return out
 
 

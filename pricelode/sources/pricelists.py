@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,14 +181,17 @@ def table_articles(files: DataFrame, names: DataFrame) -> DataFrame:
 
     Files are read one by one in tasks; what follows is relational over all of them."""
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names_ = ["source_id", "line_no", "code", "description", "column", "txt", "line"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pricelode.sources.office import table_rows
 
-        for frame in frames:
-            out = [(s, *x) for s, n, c in zip(frame["source_id"], frame["name"], frame["content"], strict=True) for x in table_lines(table_rows(n, c))]
-            yield pd.DataFrame(out, columns=["source_id", "line_no", "code", "description", "column", "txt", "line"])
+        for batch in batches:
+            out = [(r["source_id"], *x) for r in batch.to_pylist() for x in table_lines(table_rows(r["name"], r["content"]))]
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.string()) for i, c in enumerate(columns)], names_)
 
-    raw = files.select("source_id", "name", "content").mapInPandas(task, "source_id long, line_no long, code string, description string, column string, txt string, line string")
+    raw = files.select("source_id", "name", "content").mapInArrow(task, "source_id long, line_no long, code string, description string, column string, txt string, line string")
     raw = raw.join(vote(raw, "txt"), "source_id").withColumn("price", list_number(F.col("txt"), F.col("mark"))).filter("price > 1")
     exact = raw.withColumn("key", normalize("column")).join(names.select("key", F.col("canonical").alias("_c")), "key", "left")
     read = exact.select("source_id", "line_no", "code", tidy(F.col("description")).alias("description"), F.coalesce("_c", F.lit("")).alias("brand"), F.lit("").alias("section"), "price", F.lit(None).cast("double").alias("previous"), F.lit(False).alias("no_stock"), "line")
