@@ -57,4 +57,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_array_dedup, op2_dart_minhash, op3_decontamination, op4_line_dedup, op5_range_coded_tokens, op6_byte_cnn, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BLANK = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
+
+#: The same results for DuckDB. The other operators are held against plain versions in the tests.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""with w as (select item_id, {_WORDS} ws from benchmark),
+x as (select item_id, unnest(case when len(ws) = 0 then [] when len(ws) < 10 then [ws] else list_transform(range(1, len(ws) - 8), lambda i: ws[i:i + 9]) end) x from w),
+iw as (select distinct item_id, len(x) l, array_to_string(x, ' ') k from x),
+d as (select doc_id, {_WORDS} ws from documents),
+n as (select distinct l from iw),
+p as (select doc_id, l, ws, unnest(range(1, len(ws) - l + 2)) p from d, n),
+h as (select p.doc_id, iw.item_id, p.p, p.l from p join iw on iw.l = p.l and iw.k = array_to_string(p.ws[p.p:p.p + p.l - 1], ' ')),
+hit as (select doc_id, count(distinct q) n from (select doc_id, unnest(range(p, p + l)) q from h) group by 1),
+its as (select doc_id, count(distinct item_id) n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) ids from h group by 1)
+select d.doc_id, cast(len(d.ws) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(its.n, 0) as n_items, sha256(coalesce(its.ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from d left join hit on hit.doc_id = d.doc_id left join its on its.doc_id = d.doc_id""",
+    "op4_line_dedup": f"""with t as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select doc_id, unnest(ls) line, generate_subscripts(ls, 1) i from t),
+m as (select *, rtrim(line, {_BLANK}) r, rtrim(line, {_BLANK}) <> '' solid from l),
+s as (select doc_id, i a, lead(i, 2) over v b, r || chr(10) || lead(r, 1) over v || chr(10) || lead(r, 2) over v k from m where solid window v as (partition by doc_id order by i)),
+f as (select *, row_number() over (partition by k order by doc_id, a) n from s where b is not null),
+c as (select distinct doc_id, i from (select doc_id, unnest(range(a, b + 1)) i from f where n > 1)),
+g as (select m.*, c.i is not null gone from m left join c on c.doc_id = m.doc_id and c.i = m.i),
+e as (select *, last_value(case when solid then gone end ignore nulls) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) before,
+ first_value(case when solid then gone end ignore nulls) over (partition by doc_id order by i rows between 1 following and unbounded following) after from g),
+r as (select doc_id, i, line, gone or (not solid and coalesce(before, false) and coalesce(after, false)) gone from e),
+z as (select doc_id, count(*) n_lines, count(*) filter (where gone) n_gone, coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') kept from r group by 1)
+select t.doc_id, case when t.text is null then 0 else z.n_lines end as n_lines, z.n_gone as n_lines_removed, cast(coalesce(length(t.text), 0) - length(z.kept) as bigint) as n_removed, sha256(z.kept) as kept_sha256 from t join z on z.doc_id = t.doc_id""",
+}
