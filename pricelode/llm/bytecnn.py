@@ -52,7 +52,7 @@ def chunk_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     at = start[:, None] + np.arange(CHUNK)
     if not len(data):
         return np.full(at.shape, PAD, np.int64)
-    return np.where(at < end[:, None], data[np.minimum(at, len(data) - 1)], PAD)
+    return np.where(at < end[:, None], data[np.minimum(at, len(data) - 1)].astype(np.int64), PAD)
 
 
 @dataclass
@@ -153,7 +153,9 @@ def gradients(net: Network, texts: list[bytes], y: np.ndarray, part: np.ndarray,
     d_out = x.T @ g + 1e-4 * net.out
     dx = g[:, None] * net.out
     owner = np.repeat(np.arange(len(texts)), n)
-    d = dx[owner, :FILTERS] / n[owner][:, None] + dx[owner, FILTERS:] * (pooled == top[owner])
+    tied = (pooled == top[owner]).astype(np.float64)  # equal chunks share the gradient of their maximum
+    tied /= np.add.reduceat(tied, first[:-1], axis=0)[owner]
+    d = dx[owner, :FILTERS] / n[owner][:, None] + dx[owner, FILTERS:] * tied
     d *= pooled > 0
     chunk, kernel = np.nonzero(d)
     value = d[chunk, kernel].astype(np.float32)
