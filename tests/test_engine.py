@@ -252,3 +252,55 @@ def test_list_cycle(spark, shop, store):
     cycle.decide(store, asked["01-01"].asDict(), "elegir", "PAS001")
     ready = cycle.run_cycle(shop, store, none, articles)["listos"].collect()
     assert [(r["referencia"], r["costo_nuevo"], r["variacion"]) for r in ready] == [("PAS001", pytest.approx(3850.22), 10.0)]
+
+
+def docx(*parts):
+    import io
+    import zipfile
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda c: f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>"
+    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" if isinstance(p, str) else "<w:tbl>" + "".join("<w:tr>" + "".join(map(cell, r)) + "</w:tr>" for r in p) + "</w:tbl>" for p in parts)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    return out.getvalue()
+
+
+def xlsx(rows):
+    import io
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared = sorted({c for r in rows for c in r})
+    cells = "".join(f'<row r="{i + 1}">' + "".join(f'<c r="{chr(65 + j)}{i + 1}" t="s"><v>{shared.index(c)}</v></c>' for j, c in enumerate(r)) + "</row>" for i, r in enumerate(rows))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{cells}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_any_list(spark):
+    from pricelode.sources import lists
+
+    table = [["Código", "Descripción", "Precio"], ["30011", "HARINA 000", "980,50"], ["30012", "FIDEOS", "1.200,00"]]
+    files = [(1, "a.docx", docx("Lista", table)), (2, "b.docx", docx("80018 Aceite Girasol x 900cc $ 2.598")), (3, "c.xlsx", xlsx(table)), (4, "d.txt", "Fideos frescos $ 100\nPan $50".encode()), (5, "e.pdf", b"%PDF-1")]
+    df = spark.createDataFrame([(i, n, bytearray(c)) for i, n, c in files], "source_id long, name string, content binary")
+    names = spark.createDataFrame([], "key string, canonical string")
+    articles, unread, texts = lists.read_lists(df, names, pdf=lambda content: ["AL-0014 ATUN LOMITO 170GR 2670.631 48"])
+    got = sorted((r["source_id"], r["code"], r["price"]) for r in articles.collect())
+    assert got == [(1, "30011", 980.5), (1, "30012", 1200.0), (2, "80018", 2598.0), (3, "30011", 980.5), (3, "30012", 1200.0), (5, "AL-0014", 2670.631)]
+    assert [r["source_id"] for r in texts.collect()] == [4] and unread.count() == 0
+
+
+def test_lookups(spark, shop):
+    from pricelode.operators import providers
+
+    cards = memory.aligned(spark.createDataFrame([(0, "La Quesera", "Lácteos Don Julio | DJ", "21", ""), (1, "Bebidas Sur", "", "mixto", "variable")], "seq long, nombre string, alias string, iva_lista string, margen string"), "proveedores")
+    asked = spark.createDataFrame([("lacteos don julio",), ("Bebidas  Sur",), ("nadie",)], "asked string")
+    assert {r["asked"]: r["nombre"] for r in providers.find_cards(asked, cards).collect()} == {"lacteos don julio": "La Quesera", "Bebidas  Sur": "Bebidas Sur"}
+    typed = spark.createDataFrame([("comino 25 g - especias luna",), ("x",)], "asked string")
+    assert [r["referencia"] for r in providers.find_products(typed, shop).collect()] == ["ESP002"]
+    assert [r["margen"] for r in providers.supplier_list(cards).collect()] == ["variable", "fijo"]
+    assert {r["nombre"]: (r["known"], r["per_product"]) for r in providers.tax_known(cards).collect()} == {"La Quesera": (True, False), "Bebidas Sur": (True, True)}
