@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pricelode.functions import numbers as N
 from pricelode.functions import text as T
-from pricelode.operators import memory
+from pricelode.operators import matching, memory
 from pricelode.plans.registry import query, table
+from pricelode.sources import pricelists
+from pricelode.sources.messages import read_messages
 
 
 @query("""select doc_id, sha1(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))[1:16] as fp, count(*) over (partition by sha1(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))[1:16]) as copies from documents""")
@@ -81,3 +83,39 @@ def q34_date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("precios al "), F.date_format("d", "dd.MM.yyyy")))
     )
     return orders.select("o_orderkey", N.latest_date(text, F.lit(as_of)).alias("list_date"))
+
+
+@query("""select cast(p_size as bigint) as source_id, p_partkey as line_no, cast(10000 + p_partkey as varchar) as code, p_name as description, cast(round_even(p_retailprice * 100, 0) as bigint) as price_cents from part""")
+def q44_text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of text lines, one per size, read back to articles."""
+    p = table(spark, sf_dir, "part")
+    price = F.translate(F.format_number("p_retailprice", 2), ",.", ".,")
+    lines = p.select(F.col("p_size").cast("long").alias("source_id"), F.col("p_partkey").alias("line_no"), F.concat(10000 + F.col("p_partkey"), F.lit(" "), "p_name", F.lit(" $ "), price).alias("line"))
+    names = p.select(F.lower("p_brand").alias("key"), F.col("p_brand").alias("canonical")).distinct()
+    articles, _ = pricelists.text_articles(lines, names)
+    return articles.select("source_id", "line_no", "code", "description", N.cents(F.col("price")).alias("price_cents"))
+
+
+@query()
+def q45_message_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1, L2: every line of a supplier's quotes of a day as one message, read by the state machine."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    said = F.concat("p_name", F.lit(" "), "p_type", F.lit(" $"), F.rint("l_extendedprice").cast("long"))
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", said.alias("said"))
+    key = F.xxhash64("l_suppkey", "l_shipdate").alias("source_id")
+    message = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["said"]), "\n")
+    messages = lines.groupBy(key, "l_suppkey").agg(message.alias("text")).select("source_id", F.concat(F.lit("Supplier "), "l_suppkey").alias("start"), "text")
+    index = {f"supplier {r[0]}": f"Supplier {r[0]}" for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect()}
+    return read_messages(messages, index).groupBy("supplier", "kind", "note").agg(F.count("*").alias("n"), F.sum("cost").alias("total"))
+
+
+@query()
+def q46_name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best products for each quoted text within its supplier's scope."""
+    p = table(spark, sf_dir, "part")
+    catalog = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("seq")).select("seq", F.concat_ws(" - ", "p_name", "p_brand").alias("referencia"), F.lower("p_name").alias("clave"), F.col("p_brand").alias("proveedor"), F.lit("").alias("marcas"))
+    asked = p.select(F.concat_ws(" ", "p_name", "p_type").alias("text"), F.lower(F.translate("p_brand", "#", " ")).alias("name")).distinct()
+    bridge = matching.scopes(asked.select("name"), catalog)
+    scoped = matching.scope_of(asked, "name", bridge, "scope")
+    keys = matching.keys_of(asked, "text", [])
+    return matching.candidates(scoped, keys, bridge, catalog).select("scope", "text", "referencia", F.rint("score").cast("int").alias("score"))
