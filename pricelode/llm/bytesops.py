@@ -12,7 +12,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 #: Bytes of documents that are worked on together; bounds the temporaries of a task.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
