@@ -14,10 +14,11 @@ where a coordinate is still empty, so the work follows the darts, not elements t
 Candidates: texts that agree on all ``ROWS`` coordinates of one of ``BANDS`` bands meet in a bucket
 (at 0.8 a pair misses all of them with a probability of 3e-6). Equal multisets are one node before
 that. A bucket's hub is the member that meets most others over all bands: the base of a family of
-copies. First each text is compared with the most popular of its hubs, one pair for each text. While
-links are found, buckets that still hold several classes compare their members with the hub
-of one class after another. Pairs within a bucket are never listed, and each candidate pair is
-checked on the whole texts.
+copies. First each text is compared with the most popular of its hubs, one pair for each text: most
+families become one class. Then all pairs of a bucket whose members are still of different classes
+are settled, exactly: buckets of ``FEW`` members at most list them; members of larger buckets
+meet by the elements of their prefixes instead (:func:`prefix_pairs`), which leaves out only pairs
+that can't be similar enough. Each candidate pair is checked on the whole texts.
 
 Defined cases: null, empty and wordless texts are near duplicates of nothing (each its own class);
 rows with one doc_id and one text are one document, and :func:`deduped` keeps one of them; documents
@@ -42,6 +43,10 @@ SIMILARITY = 0.8
 COORDINATES = 256
 ROWS = 6
 BANDS = COORDINATES // ROWS
+#: Members of a bucket whose pairs are listed. Both ways find the same links.
+FEW = 50
+#: Members of one element's group that meet in one task at once.
+BLOCK = 500
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -232,6 +237,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def prefix_pairs(members: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``members`` (node, size, label) of different labels: all similar ones and few others.
+
+    Elements stand in one order for all texts, those of the fewest labels first. Texts of n elements that are
+    similar share one of their first n - ceil(similarity * n) + 1, and the first that they share leaves enough
+    elements behind it in both. So a text whose own elements outweigh what it shares meets nobody.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):  # bounded pieces
+                part = batch.slice(i, 64)
+                each = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+                size = [len(x) for x in each]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(k).to_numpy(), size)) for k in range(3)), pa.array(np.concatenate(each))], ["node", "size", "label", "e"])
+
+    every = written(members.join(own, "node").select("node", "size", "label", "own").mapInArrow(task, "node long, size long, label long, e long"), "prefixes")
+    spread = every.select("e", "label").distinct().groupBy("e").agg(F.count("*").alias("labels")).filter("labels > 1")
+    # elements of a single label come first and meet nobody: of them only the number is needed
+    shared = every.join(spread, "e")
+    met = shared.groupBy("node").agg(F.count("*").alias("n_shared"))
+    shared = shared.join(met, "node")
+    at = F.col("size") - F.col("n_shared") + F.row_number().over(Window.partitionBy("node").orderBy("labels", "e"))
+    prefix = shared.withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).select("e", "node", "size", "label", "at")
+    prefix = written(prefix, "prefix")
+    # a common element's members are dealt to blocks, and each block meets all of them
+    blocks = prefix.groupBy("e").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("e", "blocks")
+    dealt = prefix.join(blocks, "e")
+    left = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    right = dealt.select("e", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "label", "at")))
+    behind = 1 + F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
+    enough = behind >= similarity / (1 + similarity) * (F.col("size") + F.col("size_b")) - 1e-6
+    fits = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-6
+    return left.join(right, ["e", "block"]).filter((F.col("label") < F.col("label_b")) & fits & enough).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) of the nodes that share a bucket with another."""
     # texts of very different sizes can't be alike enough: such pairs are never made
@@ -252,23 +293,21 @@ def linked(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) ->
     found = written(checked(first.filter("a != b"), own, similarity), "found")
     up = roots(found.select(F.col("a").alias("node"), F.col("b").alias("parent")))
     labels = written(first.select(F.col("a").alias("node")).join(up, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    nth = 0
-    while True:  # then buckets of several classes compare members with the hub of one class after another
-        known = met.join(labels, "node").repartition("key").persist(StorageLevel.DISK_ONLY)
-        of = known.groupBy("key", "label").agg(best.alias("hub"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("hub").desc()))
-        hub = of.withColumn("place", place).filter(F.col("place") == nth + 1).select("key", "hub", F.col("label").alias("hub_label"))
-        pairs = known.join(hub, "key").filter((F.col("label") != F.col("hub_label")) & fits).select(F.col("node").alias("a"), (-F.col("hub.neg")).alias("b")).distinct()
-        found = written(checked(pairs, own, similarity), "found")
-        known.unpersist()
-        if found.isEmpty():
-            met.unpersist()
-            return labels
-        la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
-        merged = components(found.join(la, "a").join(lb, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-        merged = merged.select(F.col("node").alias("label"), F.col("label").alias("whole"))
-        labels = written(labels.join(merged, "label", "left").select("node", F.coalesce("whole", "label").alias("label")), "labels")
-        nth += 1
+    # then all pairs of different classes that share a bucket
+    known = met.join(labels, "node").select("key", "node", "size", "label")
+    several = known.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "n")
+    rest = written(known.join(several, "key"), "rest")
+    met.unpersist()
+    few, many = rest.filter(F.col("n") <= FEW), rest.filter(F.col("n") > FEW).select("node", "size", "label").distinct()
+    other = few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "label")))
+    fits = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b")
+    listed = few.join(other, "key").filter((F.col("label") < F.col("label_b")) & fits).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    pairs = written(listed.union(prefix_pairs(many, own, similarity)).distinct(), "pairs")
+    found = written(checked(pairs, own, similarity), "found")
+    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
+    merged = components(found.join(la, "a").join(lb, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    return written(labels.join(merged, "label", "left").select("node", F.coalesce("whole", "label").alias("label")), "labels")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

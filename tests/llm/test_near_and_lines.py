@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pricelode.llm import decontam, linededup, neardup, ngramlr
 
@@ -63,6 +65,47 @@ def test_classes(spark, family):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def unlike_their_hubs(rng):
+    """A popular text with copies, and pairs alike to each other but to nothing popular, all in the same buckets."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [edited(rng, " ".join(base), 2) for _ in range(12)]
+    for i in range(5):  # twins that both lack the base's end; each pair has its own
+        twin = " ".join(base[:158] + [f"own{i}x{rng.randrange(5000)}" for _ in range(42)])
+        texts += [twin, twin + f" tail{i} more{i}"]
+    # lone texts of the same beginning: classes that come before the twins'
+    texts += [" ".join(base[:160] + [f"lone{i}x{rng.randrange(5000)}" for _ in range(40)]) for i in range(10)]
+    # a chain: neighbours are alike, its ends are not, and none is alike to the base
+    chain = base[:150] + [f"chain{rng.randrange(5000)}" for _ in range(60)]
+    return texts + [" ".join(chain[:100] + [f"c{j}" if k < 9 * i else chain[100 + k] for k, j in enumerate(range(9 * i, 9 * i + 110))]) for i in range(5)]
+
+
+@pytest.mark.parametrize("few", [0, 50])
+def test_links_beside_the_hubs(spark, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    texts = unlike_their_hubs(random.Random(11))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketch = neardup.sketches(docs).withColumnsRenamed({"doc_id": "first_id", "n": "size"})
+    # one bucket for all: every text meets every other, and the most popular hub is unlike most
+    nodes = sketch.withColumn("node", F.col("first_id")).withColumn("bands", F.array(F.lit(1).cast("long")))
+    got = {r["node"]: r["label"] for r in neardup.linked(docs, nodes).collect()}
+    want = plain_classes(texts)
+    assert len(set(want)) < len(want) and len({(got[i], c) for i, c in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
+def test_prefix_pairs_miss_no_link(spark):
+    rng = random.Random(5)
+    own = []
+    for _ in range(6):
+        base = rng.sample(range(1, 10**6), rng.choice([1, 4, 5, 15, 40]))
+        own += [sorted({*rng.sample(base, max(1, len(base) - rng.randrange(1 + len(base) // 6))), *rng.sample(range(1, 10**6), rng.randrange(1 + len(base) // 6))}) for _ in range(12)]
+    rows = [(i, len(x), i // 2, np.array(x, np.uint64).tobytes()) for i, x in enumerate(own)]
+    table = spark.createDataFrame(rows, "node long, size long, label long, own binary")
+    got = {(r["a"], r["b"]) for r in neardup.prefix_pairs(table.drop("own"), table.select("node", "own"), 0.8).collect()}
+    want = {(i, j) for j in range(len(own)) for i in range(j) if i // 2 != j // 2 and len({*own[i]} & {*own[j]}) >= 0.8 * len({*own[i]} | {*own[j]})}
+    assert want and want <= got
+
+
 def test_awkward_near(awkward, empty):
     got = neardup.classes(awkward).collect()
     assert len(got) == awkward.count()
