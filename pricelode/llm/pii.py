@@ -1,12 +1,13 @@
 """Personal data by anchors: an Aho-Corasick pass finds cues, local parsers expand and validate them.
 
 Anchors are at-signs, spelled-out at-signs, a plus before a digit, two digits side by side or one
-separator apart, schemes and identifier words. The parser of an anchor's kind walks left
+separator apart, schemes and identifier words in any case. The parser of an anchor's kind walks left
 and right from it, so a text is read once and only the surroundings of anchors twice.
 
 Kinds of the base: email, ip, card, phone (:data:`BASE`), as leftmost non-overlapping matches.
 The method adds spans, never at the cost of a base one: cards and phone numbers that stand
-side by side with other numbers (the base drops the whole run), ``iban`` (checked modulo 97),
+side by side with other numbers (the base drops the whole run), emails with a spelled-out at-sign
+("(at)", "[at]", "{at}", or " at " before a domain with spelled-out dots), ``iban`` (checked modulo 97),
 ``ssn``, ``account`` (a number after a cue such as "IBAN", "account", "acct"), ``url_login``
 (user and password after a scheme), ``secret`` (a key after a cue such as "api_key").
 
@@ -33,8 +34,10 @@ LABEL = DIGITS | LETTERS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 NUMBER_JOIN = frozenset(" -")
 
-ACCOUNT_CUE = re.compile(r"(?i)(?:account|acct|konto|kontonummer|cuenta|compte)(?:[ ]?(?:no|number|nr|num))?[.:#= ]{1,3}([0-9][0-9 -]{4,32}[0-9])")
-SECRET_CUE = re.compile(r"(?i)(?:api[_-]?key|secret(?:[_-]?key)?|access[_-]?token|auth[_-]?token|password|passwd|token)[\"']?\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9_/+=.-]{8,})")
+ACCOUNT_CUE = re.compile(r"(?i)(?:account|acct|konto|kontonummer|cuenta|compte|iban)(?:[ ]?(?:no|number|nr|num))?[.:#= ]{1,3}((?:[a-z]{2}(?=[0-9]{2}))?[0-9][0-9 -]{4,32}[0-9])")
+SECRET_CUE = re.compile(r"(?i)(?:api[_-]?key|secret(?:[_-]?key)?|access[_-]?token|auth[_-]?token|password|passwd|token)[\"']?\s{0,2}[:=]\s{0,2}[\"']?(?=[A-Za-z0-9_/+=.-]{8})")
+SECRET = re.compile(r"[A-Za-z0-9_/+=.-]+")
+SPELLED = re.compile(r"(?ia)(?: ?[\[({] ?at ?[\])}] ?[a-z0-9-]+(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[a-z0-9-]+)+| at [a-z0-9-]+(?: dot [a-z0-9-]+)+)")
 LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:]+:[^\s/@]+@[^\s/]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -53,16 +56,26 @@ def automaton():
                 found.add_word(a + gap + b, "digits")
             found.add_word(f"{a}.{b}", "ip")
     found.add_word("://", "scheme")
-    for cue in ("account", "Account", "ACCOUNT", "acct", "Acct", "konto", "Konto", "cuenta", "Cuenta", "compte", "Compte"):
+    for opening, closing in ("()", "[]", "{}"):
+        for gap in ("", " "):
+            found.add_word(f"{opening}{gap}at{gap}{closing}", "spelled")
+    found.add_word(" at ", "spelled")
+    for cue in ("account", "acct", "konto", "cuenta", "compte", "iban"):
         found.add_word(cue, "account")
-    for cue in ("api_key", "api-key", "apikey", "API_KEY", "API-KEY", "secret", "SECRET", "token", "TOKEN", "passw", "PASSW", "Passw"):
+    for cue in ("api_key", "api-key", "apikey", "secret", "token", "passw"):
         found.add_word(cue, "secret")
-    for cue in ("AKIA", "ghp_", "sk-"):
+    for cue in ("akia", "ghp_", "sk-"):
         found.add_word(cue, "key")
     found.make_automaton()
     return found
 
 
+def lowered(t: str) -> str:
+    """A lower-cased copy for the automaton, with every character at its place."""
+    low = t.lower()
+    return low if len(low) == len(t) else re.sub("[A-Z]+", lambda m: m[0].lower(), t)
+
+
 def email_at(t: str, at: int, floor: int) -> tuple[int, int] | None:
     """Expand an at-sign; ``floor`` is the end of the match before."""
     start = at
@@ -84,6 +97,20 @@ def email_at(t: str, at: int, floor: int) -> tuple[int, int] | None:
     return (start, end) if dots else None
 
 
+def spelled_at(t: str, end: int) -> tuple[int, int] | None:
+    """Expand a spelled-out at-sign whose last character is at ``end``."""
+    at = end
+    while at > 0 and t[at] not in "([{" and end - at < 5 and not (t[at] == " " and at == end - 3):
+        at -= 1
+    if at > 0 and t[at] != " " and t[at - 1] == " ":
+        at -= 1
+    m = SPELLED.match(t, at)
+    start = at
+    while start > 0 and t[start - 1] in LOCAL:
+        start -= 1
+    return (start, m.end()) if m and start < at else None
+
+
 def digits_from(t: str, i: int) -> int:
     n = len(t)
     while i < n and t[i] in DIGITS:
@@ -230,16 +257,24 @@ def spans_of(t: str, cues) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
             every["card"].update(cards_inside(t, start, end))
         elif span := phone_inside(t, start, end):
             every["phone"].add(span)
+    secret_end = 0
     for end, kind in cues:
         if kind == "account":
-            if m := ACCOUNT_CUE.search(t, max(0, end - 7), end + 64):
-                every["account"].add(m.span(1))
+            # the window bounds the cue and its first digits; the last run of digits is whole
+            if (m := ACCOUNT_CUE.search(t, max(0, end - 7), end + 64)) and m.start() <= end:
+                every["account"].add((m.start(1), digits_from(t, m.end(1))))
         elif kind == "secret":
-            if m := SECRET_CUE.search(t, max(0, end - 12), end + 200):
-                every["secret"].add(m.span(1))
+            # the window bounds the cue; the value goes on to its end (values within a value share it)
+            if (m := SECRET_CUE.search(t, max(0, end - 12), end + 200)) and m.start() <= end:
+                if m.end() >= secret_end:
+                    secret_end = SECRET.match(t, m.end()).end()
+                every["secret"].add((m.end(), secret_end))
         elif kind == "key":
-            if m := KEY.search(t, max(0, end - 4), end + 160):
+            if m := KEY.match(t, max(0, end - 3)) or KEY.match(t, max(0, end - 2)):
                 every["secret"].add(m.span())
+        elif kind == "spelled":
+            if span := spelled_at(t, end):
+                every["email"].add(span)
         elif kind == "scheme":
             start = end - 2
             while start > 0 and (t[start - 1] in LABEL or t[start - 1] in "+."):
@@ -271,7 +306,7 @@ def report(docs: DataFrame) -> DataFrame:
             out = []
             for t in batch.column(1):
                 t = t.as_py() or ""
-                base, every = spans_of(t, cues.iter(t)) if t else ({}, {})
+                base, every = spans_of(t, cues.iter(lowered(t))) if t else ({}, {})
                 counts = [len(base.get(k, ())) for k in BASE]
                 out.append((*counts, hashlib.sha256(listed(base, BASE).encode()).hexdigest(), listed(every, KINDS)))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
