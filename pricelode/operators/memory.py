@@ -1,4 +1,4 @@
-"""Memory tables and their upserts (M1-M11, F6, K7, K8) as DataFrames over a snapshot folder."""
+"""Memory tables and their upserts (M1-M7, M9-M11, F6, K7, K8) as DataFrames over a snapshot folder."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelode.functions.text import code_key, normalize
+
 #: Tables and their columns, all text; fixed names.
 TABLES = {
     "alias": ("texto", "referencia", "proveedor", "nota"),
@@ -52,10 +54,18 @@ def _same(keys: list[str], left: DataFrame, right: DataFrame):
 
 
 def upsert(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """M3, M6: a key's last decision wins; others stay as they are."""
+    """M3: a key's last decision wins; others stay as they are."""
     return df.join(rows, _same(keys, df, rows), "left_anti").unionByName(_next(df, rows))
 
 
+def upsert_codes(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """M6: a supplier's code by its normalized name and code; units that were learned stay unless there are new ones."""
+    keyed = [d.withColumns({"_name": normalize("proveedor"), "_code": code_key(F.col("codigo_proveedor"))}) for d in (df, rows)]
+    known = keyed[0].groupBy("_name", "_code").agg(F.min_by("unidades", "seq").alias("_units"))
+    new = keyed[1].join(known, ["_name", "_code"], "left").withColumn("unidades", F.coalesce(F.when(F.col("unidades") != "", F.col("unidades")), "_units", F.lit("")))
+    return keyed[0].join(keyed[1], ["_name", "_code"], "left_anti").select(df.columns).unionByName(_next(df, new.select(df.columns)))
+
+
 def insert_absent(df: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """M5, M7: only keys that aren't there yet."""
     return df.unionByName(_next(df, rows.dropDuplicates(keys).join(df, _same(keys, rows, df), "left_anti")))

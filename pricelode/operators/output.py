@@ -45,7 +45,7 @@ def write_rotation(rotation: DataFrame, path: str) -> bool:
 
 
 def write_report(result: dict[str, DataFrame], path: str) -> None:
-    """K5: a folder of tables, nested columns as JSON."""
+    """Part of K5 (no Control sheet): a folder of tables, nested columns as JSON."""
     for sheet, name in REPORT.items():
         df = result[name]
         flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
@@ -53,7 +53,7 @@ def write_report(result: dict[str, DataFrame], path: str) -> None:
 
 
 def save_memory(tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """K7, K9: a new snapshot beside the old ones; readers take the highest version that is complete."""
+    """K7, part of K9 (all versions stay): a new snapshot beside the old ones; readers take the highest version that is complete."""
     for name in memory.TABLES:
         if name in tables:
             memory.aligned(tables[name], name).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}/{name}")

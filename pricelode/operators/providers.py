@@ -1,4 +1,4 @@
-"""Supplier cards, product lookup by typed name, review cards, counts."""
+"""Supplier cards, product lookup by typed name, review cards, counts."""
 
 from __future__ import annotations
 

@@ -38,6 +38,8 @@ class Store:
         old = self.read(name)
         if keys is None:
             out = memory.append(old, new)
+        elif name == "codigos_proveedor":
+            out = memory.upsert_codes(old, new)
         else:
             out = memory.insert_absent(old, new, keys) if absent else memory.upsert(old, new, keys)
         # memory tables are decisions of people: a few thousand rows; a snapshot cuts their lineage

@@ -1,4 +1,4 @@
-"""Price lists to articles.
+"""Price lists to articles.
 
 Lists of text lines are read by relational steps over all lists at once: four line grammars in order,
 the section's brand carried forward, a vote on the decimal mark per list, first-wins dedup.

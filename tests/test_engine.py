@@ -304,3 +304,15 @@ def test_lookups(spark, shop):
     assert [r["referencia"] for r in providers.find_products(typed, shop).collect()] == ["ESP002"]
     assert [r["margen"] for r in providers.supplier_list(cards).collect()] == ["variable", "fijo"]
     assert {r["nombre"]: (r["known"], r["per_product"]) for r in providers.tax_known(cards).collect()} == {"La Quesera": (True, False), "Bebidas Sur": (True, True)}
+
+
+def test_choosing_again_keeps_the_units(spark):
+    store = cycle.Store(spark)
+    row = {"es_lista": True, "codigo": "01-01", "proveedor_bloque": "Distribuidora Sur", "description": "fideos", "referencia": "PAS001"}
+    cycle.decide(store, row, "bulto", "12")
+    cycle.decide(store, row | {"codigo": "0101", "proveedor_bloque": "DISTRIBUIDORA  sur"}, "elegir", "PAS002")
+    cycle.decide(store, row | {"codigo": "02"}, "elegir", "PAS003")
+    got = [(r["codigo_proveedor"], r["referencia_odoo"], r["unidades"]) for r in store.read("codigos_proveedor").orderBy("seq").collect()]
+    assert got == [("0101", "PAS002", "12"), ("02", "PAS003", "")]
+    cycle.decide(store, row, "bulto", "6")
+    assert {(r["codigo_proveedor"], r["unidades"]) for r in store.read("codigos_proveedor").collect()} == {("01-01", "6"), ("02", "")}
