@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: a step's plan stays small, and a lost executor costs a reread.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    The folder is the cluster's ``spark.checkpoint.dir``; one of our own only where that is unset and there is but one machine."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-pricelode-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder}/pricelode/{name}-{uuid.uuid4().hex}"
