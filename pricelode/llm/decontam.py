@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import chunks, column_bytes, runs, take_spans
+from pricelode.llm.storage import aliased, with_fields
 
 #: The words of lower-cased UTF-8: digits, letters, and every byte of a character beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -153,19 +154,17 @@ def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tu
         yield [(r[0] or "", r[1]) for r in part.collect()]
 
 
-def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, slack: int = 0, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """``docs``' columns ``keep`` (all, if None) with n_words, n_hit, hit_spans (in words) and items."""
-    spark = docs.sparkSession
-    keep = docs.columns if keep is None else keep
-    names = ["_text" if c == "text" else f"_k{i}" for i, c in enumerate(keep)]
-    frame = docs.select(docs["text"].alias("_text"), *(docs[c].alias(n) for c, n in zip(keep, names, strict=True) if c != "text"))
+def matched(frame: DataFrame, text: str, items: DataFrame, width: int = WINDOW, slack: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``frame`` with n_words, n_hit, hit_spans (in words) and items for its column ``text``; its own names must not be of these."""
+    spark, kept, at = frame.sparkSession, frame.columns, frame.columns.index(text)
+    schema = with_fields(frame, RESULT)
     for k, block in enumerate(blocks(items, block_bytes)):
         sent = spark.sparkContext.broadcast(block)
 
         def shard(batches: Iterator[pa.RecordBatch], sent=sent, later=k > 0) -> Iterator[pa.RecordBatch]:
             windows = Windows(sent.value, width)
             for batch in batches:
-                data, offsets = column_bytes(batch.column(0))
+                data, offsets = column_bytes(batch.column(at))
                 whole, out = data.tobytes(), []
                 old = batch.select(["hit_spans", "items"]).to_pylist() if later else None
                 for i, j in chunks(offsets):
@@ -180,12 +179,16 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, slack: int =
                 n, hit, spans, found = zip(*out, strict=True) if out else ((), (), (), ())
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 arrays = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, kind), pa.array(found, pa.list_(pa.string()))]
-                base = [x for x in batch.schema.names if x == "_text" or x.startswith("_k")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in base), *arrays], [*base, "n_words", "n_hit", "hit_spans", "items"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *arrays], [*kept, "n_words", "n_hit", "hit_spans", "items"])
 
-        plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name == "_text" or f.name.startswith("_k"))
-        frame = frame.mapInArrow(shard, f"{plain}, {RESULT}")
-    return frame.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "n_words", "n_hit", "hit_spans", "items")
+        frame = frame.mapInArrow(shard, schema)
+    return frame
+
+
+def matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, slack: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs``' columns, whatever their names, followed by n_words, n_hit, hit_spans (in words) and items."""
+    frame, name = aliased(docs)
+    return matched(frame, name["text"], items, width, slack, block_bytes).toDF(*docs.columns, "n_words", "n_hit", "hit_spans", "items")
 
 
 def digest(items: list[str]) -> str:
@@ -194,12 +197,13 @@ def digest(items: list[str]) -> str:
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: how many of its words a test window covers, and of which items."""
-    return matches(docs, items, keep=["doc_id"]).select(
+    return matched(docs.select("doc_id", "text"), "text", items).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without a test window."""
-    return matches(docs, items).filter(F.col("n_hit") == 0).select(*docs.columns)
+    """The documents without a test window, with ``docs``' columns whatever their names."""
+    frame, name = aliased(docs)
+    return matched(frame, name["text"], items).filter(F.col("n_hit") == 0).select(*frame.columns).toDF(*docs.columns)

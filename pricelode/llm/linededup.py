@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import Spans, chunks, column_bytes, mix
-from pricelode.llm.storage import written
+from pricelode.llm.storage import aliased, with_fields, written
 
 WIDTH = 3
 _blank = np.zeros(256, bool)
@@ -114,16 +114,13 @@ def cut(text: str | None, spans: list[tuple[int, int]] | None) -> tuple[str | No
     return "\n".join(x for x, g in zip(lines, gone, strict=False) if not g), int(gone[:-1].sum())
 
 
-def deduped(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with the new text, and n_lines_removed; every row stays."""
-    windows = written(window_rows(docs, width), "line_windows")
+def shortened(frame: DataFrame, doc_id: str, text: str, width: int = WIDTH) -> DataFrame:
+    """``frame`` with the new text, and n_lines_removed; every row stays. Its own names must not be of these: n_lines_removed, _id, _tkey, _spans."""
+    windows = written(window_rows(frame.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width), "line_windows")
     spans = later_windows(windows).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
     spans = spans.withColumnsRenamed({"doc_id": "_id", "tkey": "_tkey"})
-    names = [f"_k{i}" for i in range(len(docs.columns))]
-    keyed = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    text, doc_id = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
-    both = keyed.join(spans.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col(doc_id)) & (F.col("_tkey") == F.xxhash64(text)), "left").drop("_id", "_tkey")
-    at = names.index(text)
+    both = frame.join(spans.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col(doc_id)) & (F.col("_tkey") == F.xxhash64(text)), "left").drop("_id", "_tkey")
+    at, names = frame.columns.index(text), frame.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,21 +131,28 @@ def deduped(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 texts.append(new)
                 n.append(gone)
             columns = [pa.array(texts, batch.column(i).type) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], [*names, "_n"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], [*names, "n_lines_removed"])
+
+    return both.mapInArrow(task, with_fields(frame, "n_lines_removed long"))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields)
-    out = both.mapInArrow(task, f"{schema}, _n long")
-    return out.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)), F.col("_n").alias("n_lines_removed"))
+
+def deduped(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with the new text, and n_lines_removed as the last column; every row stays."""
+    frame, name = aliased(docs)
+    return shortened(frame, name["doc_id"], name["text"], width).toDF(*docs.columns, "n_lines_removed")
 
 
 def left(docs: DataFrame) -> DataFrame:
-    """``docs`` with the new texts and their n_chars; documents of which no line is left are dropped."""
-    out = deduped(docs)
+    """``docs`` with the new texts and their n_chars; documents of which no line is left are dropped.
+
+    Columns of any names are carried through."""
+    frame, name = aliased(docs)
+    out = shortened(frame, name["doc_id"], text := name["text"])
     changed = F.col("n_lines_removed") > 0
-    out = out.filter(~changed | F.col("text").rlike(r"[^ \t\n\r\x0b\x0c]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = out.filter(~changed | F.col(text).rlike(r"[^ \t\n\r\x0b\x0c]"))
+    if n := name.get("n_chars"):
+        out = out.withColumn(n, F.when(changed, F.length(text).cast(frame.schema[n].dataType)).otherwise(F.col(n)))
+    return out.select(*frame.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -14,11 +14,11 @@ where a coordinate is still empty, so the work follows the darts, not elements t
 Candidates: texts that agree on all ``ROWS`` coordinates of one of ``BANDS`` bands meet in a bucket
 (at 0.8 a pair misses all of them with a probability of 3e-6). Equal multisets are one node before
 that. A bucket's hub is the member that meets most others over all bands: the base of a family of
-copies. First each text is compared with the most popular of its hubs, one pair for each text: most
-families become one class. Then all pairs of a bucket whose members are still of different classes
-are settled, exactly: buckets of ``FEW`` members at most list them; members of larger buckets
-meet by the elements of their prefixes instead (:func:`prefix_pairs`), which leaves out only pairs
-that can't be similar enough. Each candidate pair is checked on the whole texts.
+copies. Each text is compared with each of its buckets' hubs, on the whole texts, and keeps its
+delta to it: the elements that only one of the two has. Those links give most classes. Two texts of one
+bucket then are of one class, or one of them is a stranger to its hub's class; strangers are settled against all
+texts of the hub by their deltas alone, which say exactly how much two texts share (:func:`linked_strangers`). So every
+pair of a bucket is settled, no pair is ever a row, and the rows are texts times their hubs.
 
 Defined cases: null, empty and wordless texts are near duplicates of nothing (each its own class);
 rows with one doc_id and one text are one document, and :func:`deduped` keeps one of them; documents
@@ -31,22 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import IN_WORD, LOWER, Spans, chunks, column_bytes, mix, solid_spans, take_spans
-from pricelode.llm.storage import written
+from pricelode.llm.storage import aliased, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 COORDINATES = 256
 ROWS = 6
 BANDS = COORDINATES // ROWS
-#: Members of a bucket whose pairs are listed. Both ways find the same links.
-FEW = 50
-#: Members of one element's group that meet in one task at once.
-BLOCK = 500
+#: Deltas that meet in one task at once, on either side; more of one hub are dealt to more blocks.
+BLOCK_BYTES = 16 << 20
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -188,23 +185,29 @@ def candidate_elements(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("text", "node", "h1", "h2").mapInArrow(task, "node long, own binary").dropDuplicates(["node"])
 
 
-def checked(pairs: DataFrame, own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose similarity is high enough."""
+def alike(total: np.ndarray | int, differ: np.ndarray | int, similarity: float) -> np.ndarray | bool:
+    """Whether texts of ``total`` elements together, ``differ`` of them in one alone, are similar enough."""
+    shared = (total - differ) / 2
+    return shared >= similarity * (total - shared)
+
+
+def compared(pairs: DataFrame, own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) with a's size, whether they are similar enough, and delta: the sorted elements that only one of them has."""
+    names = ["a", "b", "size", "similar", "delta"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            size, similar, delta = [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(shared >= similarity * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                d = np.setxor1d(x, y, assume_unique=True)
+                size.append(len(x))
+                similar.append(bool(alike(len(x) + len(y), len(d), similarity)))
+                delta.append(d.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(similar, pa.bool_()), pa.array(delta, pa.binary())], names)
 
     left, right = own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), own.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b").mapInArrow(task, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "own_a", "own_b").mapInArrow(task, "a long, b long, size long, similar boolean, delta binary")
 
 
 def settled(table: DataFrame) -> bool:
@@ -212,17 +215,6 @@ def settled(table: DataFrame) -> bool:
     return not table.agg(F.coalesce(F.max(F.col("label") != F.col("was")), F.lit(False))).first()[0]
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """(node, label) of a forest of (node, parent): parents are followed two steps, four, eight ..."""
-    labels = parents.select("node", F.col("parent").alias("label"))
-    while True:
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(labels.join(up, "label", "left").select("node", F.col("label").alias("was"), F.coalesce("up", "label").alias("label")), "roots")
-        labels = new.select("node", "label")
-        if settled(new):
-            return labels
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all linked nodes: the least node that each can reach. Labels jump, so rounds are few."""
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
@@ -237,76 +229,108 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def prefix_pairs(members: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``members`` (node, size, label) of different labels: all similar ones and few others.
-
-    Elements stand in one order for all texts, those of the fewest labels first. Texts of n elements that are
-    similar share one of their first n - ceil(similarity * n) + 1, and the first that they share leaves enough
-    elements behind it in both. So a text whose own elements outweigh what it shares meets nobody.
+class Group:
+    """The strangers of one block: texts that aren't of their hub's class, by what sets them apart from it."""
+
+    def __init__(self) -> None:
+        self.size: list[int] = []
+        self.label: list[int] = []
+        self.delta: list[np.ndarray] = []
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def merged(self, batch: pa.RecordBatch, similarity: float) -> list[tuple[int, int]]:
+        """Labels that links between the strangers and the members in ``batch`` join; a link within a class gives none."""
+        size, label = batch.column("size").to_numpy(), batch.column("label").to_numpy()
+        data, offsets = column_bytes(batch.column("delta"))
+        element, first = data.view(np.uint64), offsets // 8
+        own = np.diff(first)
+        owner = np.repeat(np.arange(len(size)), own)
+        order = np.argsort(element, kind="stable")
+        element, owner = element[order], owner[order]
+        classes, nth = np.unique(label, return_inverse=True)
+        out = []
+        for k in range(len(self.size)):
+            mine = self.root(self.label[k])
+            other = np.array([self.root(x) != mine for x in classes.tolist()])
+            if not other.any():
+                continue
+            lo, hi = np.searchsorted(element, self.delta[k]), np.searchsorted(element, self.delta[k], side="right")
+            shared = np.bincount(owner[take_spans(lo, hi - lo)], minlength=len(size))
+            close = alike(size + self.size[k], len(self.delta[k]) + own - 2 * shared, similarity) & other[nth]
+            for x in np.unique(label[close]).tolist():
+                a, b = self.root(x), self.root(mine)
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
+                    out.append((min(a, b), max(a, b)))
+        return out
+
+
+def linked_strangers(known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): labels to be joined, from ``known``: texts a with hub b, size, delta, and the labels of both.
+
+    Two texts with one hub differ in exactly what their deltas differ in. Where their labels differ, one of them is a
+    stranger to the hub's class. So a hub's strangers meet all its texts, blocks of strangers against blocks of texts,
+    each of at most about ``BLOCK_BYTES`` of deltas; only labels that a link joins leave a block.
     """
+    strange = F.col("label") != F.col("hub_label")
+    each = F.octet_length("delta") + 64
+    hubs = known.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.when(strange, each).otherwise(0)).alias("s"), F.sum(each).alias("m")).filter("n > 1 and s > 0")
+    hubs = hubs.select("b", F.ceil(F.col("s") / BLOCK_BYTES).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK_BYTES).cast("int").alias("columns"))
+    dealt = known.join(hubs, "b")
+    at = F.xxhash64("a")
+    block, salt = F.pmod(at, F.col("rows")).cast("int"), F.pmod(at, F.col("columns")).cast("int")
+    strangers = dealt.filter(strange).select("b", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("salt"), F.lit(0).alias("role"), "size", "label", "delta")
+    members = dealt.select("b", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("block"), salt.alias("salt"), F.lit(1).alias("role"), "size", "label", "delta")
+    place = ["b", "block", "salt"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, Group()
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):  # bounded pieces
-                part = batch.slice(i, 64)
-                each = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
-                size = [len(x) for x in each]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(k).to_numpy(), size)) for k in range(3)), pa.array(np.concatenate(each))], ["node", "size", "label", "e"])
-
-    every = written(members.join(own, "node").select("node", "size", "label", "own").mapInArrow(task, "node long, size long, label long, e long"), "prefixes")
-    spread = every.select("e", "label").distinct().groupBy("e").agg(F.count("*").alias("labels")).filter("labels > 1")
-    # elements of a single label come first and meet nobody: of them only the number is needed
-    shared = every.join(spread, "e")
-    met = shared.groupBy("node").agg(F.count("*").alias("n_shared"))
-    shared = shared.join(met, "node")
-    at = F.col("size") - F.col("n_shared") + F.row_number().over(Window.partitionBy("node").orderBy("labels", "e"))
-    prefix = shared.withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1).select("e", "node", "size", "label", "at")
-    prefix = written(prefix, "prefix")
-    # a common element's members are dealt to blocks, and each block meets all of them
-    blocks = prefix.groupBy("e").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("e", "blocks")
-    dealt = prefix.join(blocks, "e")
-    left = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    right = dealt.select("e", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "label", "at")))
-    behind = 1 + F.least(F.col("size") - F.col("at"), F.col("size_b") - F.col("at_b"))
-    enough = behind >= similarity / (1 + similarity) * (F.col("size") + F.col("size_b")) - 1e-6
-    fits = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-6
-    return left.join(right, ["e", "block"]).filter((F.col("label") < F.col("label_b")) & fits & enough).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+            where = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
+            cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            out: list[tuple[int, int]] = []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                here = tuple(where[:3, i].tolist())
+                if here != now:
+                    now, group = here, Group()
+                part = batch.slice(i, j - i)
+                if where[3, i] == 0:
+                    group.size += part.column("size").to_pylist()
+                    group.label += part.column("label").to_pylist()
+                    group.delta += [np.frombuffer(x.as_py(), np.uint64) for x in part.column("delta")]
+                else:
+                    out += group.merged(part, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    both = strangers.unionByName(members).repartition(*place).sortWithinPartitions(*place, "role")
+    return both.mapInArrow(task, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) of the nodes that share a bucket with another."""
-    # texts of very different sizes can't be alike enough: such pairs are never made
-    fits = F.least("size", F.col("hub.size")) >= similarity * F.greatest("size", F.col("hub.size"))
-    rows = nodes.select("node", "size", F.explode("bands").alias("key"))
+    rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = rows.join(shared, "key")
+    met = written(rows.join(shared, "key"), "met")
+    # the member that meets most others over all bands is a bucket's hub: the base of a family of copies
     pop = met.groupBy("node").agg(F.sum("n").alias("pop"))
-    # kept by key on the executors' disks: all that follows within a bucket needs no shuffle; a lost part is made again
-    met = met.select("key", "node", "size").join(pop, "node").repartition("key").persist(StorageLevel.DISK_ONLY)
-    own_hub = F.struct("pop", (-F.col("node")).alias("neg"), "size")
-    best = F.max(own_hub)
-    # first every node is compared with the most popular of its hubs: links form a forest, a large family a star
-    hubs = met.groupBy("key").agg(best.alias("hub"))
-    first = met.join(hubs, "key").groupBy("node").agg(F.max(F.when(fits, F.col("hub")).otherwise(own_hub)).alias("hub")).select(F.col("node").alias("a"), (-F.col("hub.neg")).alias("b"))
-    first = written(first, "first_pairs")
-    own = written(candidate_elements(docs, nodes.join(first.select(F.col("a").alias("node")), "node", "left_semi")), "elements")
-    found = written(checked(first.filter("a != b"), own, similarity), "found")
-    up = roots(found.select(F.col("a").alias("node"), F.col("b").alias("parent")))
-    labels = written(first.select(F.col("a").alias("node")).join(up, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    # then all pairs of different classes that share a bucket
-    known = met.join(labels, "node").select("key", "node", "size", "label")
-    several = known.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "n")
-    rest = written(known.join(several, "key"), "rest")
-    met.unpersist()
-    few, many = rest.filter(F.col("n") <= FEW), rest.filter(F.col("n") > FEW).select("node", "size", "label").distinct()
-    other = few.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "label")))
-    fits = F.least("size", "size_b") >= similarity * F.greatest("size", "size_b")
-    listed = few.join(other, "key").filter((F.col("label") < F.col("label_b")) & fits).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    pairs = written(listed.union(prefix_pairs(many, own, similarity)).distinct(), "pairs")
-    found = written(checked(pairs, own, similarity), "found")
-    la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in ("a", "b"))
-    merged = components(found.join(la, "a").join(lb, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    best = F.max(F.struct("pop", (-F.col("node")).alias("neg")))
+    hubs = met.join(pop, "node").groupBy("key").agg(best.alias("hub")).select("key", (-F.col("hub.neg")).alias("b"))
+    pairs = written(met.join(hubs, "key").select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    own = written(candidate_elements(docs, nodes.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")), "elements")
+    found = written(compared(pairs.filter("a != b"), own, similarity), "compared")
+    near = components(found.filter("similar").select("a", "b"))
+    labels = written(pairs.select(F.col("a").alias("node")).distinct().join(near, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    # what is not of its hub's class may still be linked to another text of that hub
+    known = found.join(labels.withColumnRenamed("node", "a"), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("hub_label")), "b")
+    merged = components(linked_strangers(known, similarity)).select(F.col("node").alias("label"), F.col("label").alias("whole"))
     return written(labels.join(merged, "label", "left").select("node", F.coalesce("whole", "label").alias("label")), "labels")
 
 
@@ -330,9 +354,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one of the least id."""
-    kept = classes(docs).filter("keep").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct()
-    tkey = F.xxhash64("text")
-    rows = docs.withColumn("_own", tkey)
-    rows = rows.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tkey")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    """One document of each class: the one of the least id. ``docs``' columns are carried through whatever their names."""
+    frame, name = aliased(docs)
+    doc_id, text = name["doc_id"], name["text"]
+    slim = frame.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kept = classes(slim).filter("keep").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct()
+    rows = frame.withColumn("_own", F.xxhash64(text))
+    rows = rows.join(kept.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tkey")), "left_semi")
+    return rows.dropDuplicates([doc_id, "_own"]).select(*frame.columns).toDF(*docs.columns)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import Spans, chunks, column_bytes
+from pricelode.llm.storage import aliased, with_fields
 
 BITS = 16
 TRAIN_ROWS = 4000
@@ -147,9 +148,9 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 30, rate: float = 1
             for f, (hashed, _) in enumerate(grams(data, offsets)):
                 if len(hashed):
                     u, n = np.unique(hashed, return_counts=True)
-                    ids.append(u + (f << BITS))
-                    shares.append(n / len(hashed))
-        rows.append((np.concatenate(ids), np.concatenate(shares)) if ids else (np.zeros(0, np.int64), np.zeros(0)))
+                    ids.append((u + (f << BITS)).astype(np.int32))
+                    shares.append((n / len(hashed)).astype(np.float32))
+        rows.append((np.concatenate(ids), np.concatenate(shares)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.float32)))
     w = np.zeros(FAMILIES << BITS)
     g2 = np.full(FAMILIES << BITS, 1e-8)
     bias, b2 = 0.0, 1e-8
@@ -197,8 +198,8 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(x[0]), float(x[1])) if x[0] > 0 else (1.0, 0.0)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, where=None) -> list[tuple[bytes, int]]:
-    """A bounded sample of labelled texts (at most ``rows`` of ``most_bytes`` each), in a fixed order."""
+def sampled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, where=None) -> DataFrame:
+    """text and label of a bounded sample (at most ``rows`` texts of ``most_bytes`` each), in a fixed order."""
     wanted = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     if where is not None:
         wanted = wanted.filter(where)
@@ -206,7 +207,11 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_by
     picked = wanted.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(order, "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.octet_length("text") <= most_bytes)
     found = found.select(order.alias("_order"), "doc_id", "text", "_label").orderBy("_order", "doc_id", "text").limit(rows)
-    return [(r[2].encode(), r[3]) for r in found.collect()]
+    return found.select("text", F.col("_label").alias("label"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, where=None) -> list[tuple[bytes, int]]:
+    return [(r[0].encode(), r[1]) for r in sampled(docs, labels, rows, most_bytes, where).collect()]
 
 
 def train_split() -> object:
@@ -215,40 +220,49 @@ def train_split() -> object:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled(docs, labels, where=train_split())
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    """The model, fitted in one task on the bounded sample: the driver only gets its weights."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += [x.encode() for x in batch.column(0).to_pylist()]
+            y += batch.column(1).to_pylist()
+        m = fit(texts, y)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weight.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in (m.bias, m.slope, m.shift))], ["weight", "bias", "slope", "shift"])
+
+    sample = sampled(docs, labels, where=train_split()).coalesce(1)
+    found = sample.mapInArrow(task, "weight binary, bias double, slope double, shift double").collect()
+    weight, *rest = found[0] if found else (b"", 40.0, 1.0, 0.0)
+    return Model(np.frombuffer(bytes(weight) or bytes(4 * (FAMILIES << BITS)), np.float32).reshape(FAMILIES, -1), *rest)
 
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
 
 
-def judged(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``' columns ``keep`` with the counts, the probability and the verdict."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FAMILIES * 2**BITS floats, fixed
+def judged(frame: DataFrame, text: str, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``frame`` with the counts, the probability and the verdict on its column ``text``; its own names must not be of these."""
+    sent = frame.sparkSession.sparkContext.broadcast(model)  # FAMILIES * 2**BITS floats, fixed
+    at, added = frame.columns.index(text), [x.split()[0] for x in RESULT.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column_bytes(batch.column(0))
+            data, offsets = column_bytes(batch.column(at))
             p = sent.value.probability(data, offsets)
             whole = memoryview(data)
             rows = [counts(bytes(whole[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             failed = np.array(columns[5], bool)
             arrays = [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[skip:], *arrays], [*batch.schema.names[skip:], *(x.split()[0] for x in RESULT.split(", "))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *added])
 
-    names = ["_text" if c == "text" else f"_k{i}" for i, c in enumerate(keep)]
-    skip = int("text" not in keep)
-    frame = docs.select(docs["text"].alias("_text"), *(docs[c].alias(n) for c, n in zip(keep, names, strict=True) if c != "text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[skip:])
-    out = frame.mapInArrow(task, f"{kept}, {RESULT}")
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *(x.split()[0] for x in RESULT.split(", ")))
+    return frame.mapInArrow(task, with_fields(frame, RESULT))
 
 
 def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules and the model keep."""
-    return judged(docs, trained(docs, labels), docs.columns).filter("kept").select(*docs.columns)
+    """The documents that the rules and the model keep, with ``docs``' columns whatever their names."""
+    frame, name = aliased(docs)
+    return judged(frame, name["text"], trained(docs, labels)).filter("kept").select(*frame.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judged(docs, trained(docs, labels), ["doc_id"])
+    return judged(docs.select("doc_id", "text"), "text", trained(docs, labels)).drop("text")

@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,10 +78,9 @@ def unlike_their_hubs(rng):
     return texts + [" ".join(chain[:100] + [f"c{j}" if k < 9 * i else chain[100 + k] for k, j in enumerate(range(9 * i, 9 * i + 110))]) for i in range(5)]
 
 
-@pytest.mark.parametrize("few", [0, 50])
-def test_links_beside_the_hubs(spark, monkeypatch, few):
-    monkeypatch.setattr(neardup, "FEW", few)
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+@pytest.mark.parametrize("block", [neardup.BLOCK_BYTES, 5000])
+def test_links_beside_the_hubs(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block)
     texts = unlike_their_hubs(random.Random(11))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sketch = neardup.sketches(docs).withColumnsRenamed({"doc_id": "first_id", "n": "size"})
@@ -93,17 +91,40 @@ def test_links_beside_the_hubs(spark, monkeypatch, few):
     assert len(set(want)) < len(want) and len({(got[i], c) for i, c in enumerate(want)}) == len(set(want)) == len(set(got.values()))
 
 
-def test_prefix_pairs_miss_no_link(spark):
-    rng = random.Random(5)
-    own = []
-    for _ in range(6):
-        base = rng.sample(range(1, 10**6), rng.choice([1, 4, 5, 15, 40]))
-        own += [sorted({*rng.sample(base, max(1, len(base) - rng.randrange(1 + len(base) // 6))), *rng.sample(range(1, 10**6), rng.randrange(1 + len(base) // 6))}) for _ in range(12)]
-    rows = [(i, len(x), i // 2, np.array(x, np.uint64).tobytes()) for i, x in enumerate(own)]
-    table = spark.createDataFrame(rows, "node long, size long, label long, own binary")
-    got = {(r["a"], r["b"]) for r in neardup.prefix_pairs(table.drop("own"), table.select("node", "own"), 0.8).collect()}
-    want = {(i, j) for j in range(len(own)) for i in range(j) if i // 2 != j // 2 and len({*own[i]} & {*own[j]}) >= 0.8 * len({*own[i]} | {*own[j]})}
-    assert want and want <= got
+@pytest.mark.parametrize("block", [neardup.BLOCK_BYTES, 20_000])
+def test_recall_in_a_large_family(spark, monkeypatch, block):
+    """Variants of one text at all distances, many of them out of its reach: the classes of all pairs, through the real bands."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block)
+    rng = random.Random(23)
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(120))
+    texts = [base] + [edited(rng, base, rng.choice([1, 1, 2, 3, 4, 5, 6, 8, 12])) for _ in range(140)]
+    for _ in range(8):  # families of the family
+        again = edited(rng, rng.choice(texts), 5)
+        texts += [edited(rng, again, rng.choice([1, 2, 3])) for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    want = plain_classes(texts)
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if want[i] == want[j]]
+    assert len(set(want)) > 10 and all(want[i] == want[got[i]] for i in range(len(texts)))
+    assert sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+
+
+CLASHES = ["n_hit", "items", "n_words", "hit_spans", "n_lines_removed", "kept", "probability", "base_failed", "_own", "_id", "_tkey", "_spans", "_text", "_label", "k0", "k1", "_k0", "label", "node", "class_id", "a.b", "h 1"]
+
+
+def test_columns_of_any_name(spark, documents):
+    """Every stage carries extra columns through, whatever they are called."""
+    names = [*documents.columns, *CLASHES]
+    docs = documents.limit(60).select(*documents.columns, *(F.concat(F.lit(f"{i}-"), F.col("doc_id").cast("string")) for i in range(len(CLASHES)))).toDF(*names)
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    items = spark.createDataFrame([("x", "some words that are nowhere in any of these documents at all")], "item_id string, text string")
+    plain = {r["doc_id"]: r for r in docs.collect()}
+    for out in (ngramlr.passed(docs, labels), linededup.left(docs), neardup.deduped(docs), decontam.clean(docs, items)):
+        assert out.columns == names
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            assert list(r[5:]) == list(plain[r["doc_id"]][5:])
 
 
 def test_awkward_near(awkward, empty):

@@ -220,7 +220,7 @@ def test_decontamination(spark, documents, awkward, sf, block, monkeypatch):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(more)
     want = list(plain_hits(both(documents, awkward), [tuple(r) for r in items.select("item_id", "text").collect()]))
     monkeypatch.setattr(decontam.blocks, "__defaults__", (block,))
-    monkeypatch.setattr(decontam.matches, "__defaults__", (*decontam.matches.__defaults__[:2], block, None))
+    monkeypatch.setattr(decontam.matched, "__defaults__", (*decontam.matched.__defaults__[:2], block))
     got = rows(decontam.report(documents.unionByName(awkward), items))
     assert sorted_rows(got) == sorted_rows(want)
     assert sum(r["contaminated"] for r in got) > 3
