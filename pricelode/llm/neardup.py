@@ -43,7 +43,7 @@ COORDINATES = 256
 ROWS = 6
 BANDS = COORDINATES // ROWS
 #: Deltas that meet in one task at once, on either side; more of one hub are dealt to more blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)

@@ -130,6 +130,25 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
+def shares_of(texts: list[bytes], at_once: int = 250) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct n-grams (numbered over all families) and their shares: slices of a few large arrays, which are given back whole."""
+    rows = []
+    for k in range(0, len(texts), at_once):
+        ids, shares, size = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], []
+        for t in texts[k : k + at_once]:
+            data, offsets = joined([t])
+            size.append(0)
+            for f, (hashed, _) in enumerate(grams(data, offsets)) if len(data) else ():
+                if len(hashed):
+                    u, n = np.unique(hashed, return_counts=True)
+                    ids.append((u + (f << BITS)).astype(np.int32))
+                    shares.append((n / len(hashed)).astype(np.float32))
+                    size[-1] += len(u)
+        i, x, cut = np.concatenate(ids), np.concatenate(shares), np.cumsum([0, *size])
+        rows += [(i[a:b], x[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return rows
+
+
 def fit(texts: list[bytes], labels: list[int], epochs: int = 30, rate: float = 1.0) -> Model:
     """Adagrad on all rows' sparse shares; a fifth of the rows is kept for calibration."""
     y = np.array(labels, float)
@@ -140,17 +159,7 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = 30, rate: float = 1
     aside = np.arange(len(texts)) % 5 == 4
     if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
         aside[:] = False
-    rows = []
-    for t in texts:
-        data, offsets = joined([t])
-        ids, shares = [], []
-        if len(data):
-            for f, (hashed, _) in enumerate(grams(data, offsets)):
-                if len(hashed):
-                    u, n = np.unique(hashed, return_counts=True)
-                    ids.append((u + (f << BITS)).astype(np.int32))
-                    shares.append((n / len(hashed)).astype(np.float32))
-        rows.append((np.concatenate(ids), np.concatenate(shares)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.float32)))
+    rows = shares_of(texts)
     w = np.zeros(FAMILIES << BITS)
     g2 = np.full(FAMILIES << BITS, 1e-8)
     bias, b2 = 0.0, 1e-8

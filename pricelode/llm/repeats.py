@@ -1,22 +1,24 @@
 """Removal of repeated passages by a distributed sparse suffix array and its interval tree.
 
-A byte goes if a string of ``LENGTH`` (400) bytes that covers it also starts anywhere else.
+A byte goes if a string of ``LENGTH`` (400) bytes that covers it also starts anywhere else. Shorter repeats, of
+``SHORT`` (256) bytes or more, are found on the way and told, never cut: they are the passages of ``PASSAGE_WORDS`` words or more.
 
-1. Anchors. Every 400-byte window has a lowest-hashed ``SEED``-byte substring; equal windows have it at
-   equal places. These anchors (about one in 140 bytes) stand for the windows around them, so
+1. Anchors. Every window of ``SHORT`` bytes has a lowest-hashed ``SEED``-byte substring; equal windows have it at
+   equal places. These anchors (about one in 97 bytes) stand for the windows around them, so
    only they are shuffled, as hashes. Anchors whose hash is unique end here.
-2. Equal surroundings (all windows that can hold the anchor) are counted with map-side combining.
+2. Equal surroundings (all windows of ``LENGTH`` that can hold the anchor) are counted with map-side combining.
    Two or more of one kind are repeats as they stand, whatever their number: exact copies
    and the inside of a common passage never meet in one group.
 3. One place of each kind of surroundings goes into the suffix array: the bytes from the anchor on are
    the suffix, those before it the left context. Spark sorts the suffixes within a hash's
    partition; a stack scan of their common prefixes gives the intervals of the common-prefix
    tree; in each interval the left contexts are compared, and where they are diverse, every
-   occurrence keeps its longest left extension within the interval. Prefix and extension of 400 bytes
+   occurrence keeps its longest left extension within the interval. Prefix and extension of ``SHORT`` bytes
    or more together are a maximal repeat with all its occurrences.
-4. A hash with more than ``GROUP`` kinds of surroundings (the edge of a passage in very many
-   documents) would be one large group. There the windows around the anchor are counted by
-   hash, first in blocks, then one by one where a block is mixed: exact, and spread by window.
+4. A task holds a hash's kinds at once, so a hash of more than ``GROUP`` of them (the edge of a passage in very many
+   documents) is split by more bytes first (:func:`refined`): two places that share a window also share the
+   middle of all windows that begin near it, so the array is built over the places of one middle. Middles grow until a
+   group fits, or until they are whole windows, which are repeats as they stand.
 
 Positions are bytes of UTF-8. Defined cases: null and empty texts have no bytes; matches never cross
 documents; repeated rows are repeats of each other; rows with one doc_id and one text get one
@@ -33,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.bytesops import Spans, chunks, column_bytes
+from pricelode.llm.bytesops import Spans, chunks, column_bytes, runs, take_spans
 from pricelode.llm.storage import written
 
 LENGTH = 400
-SEED = 128
-GROUP = 1500
-BLOCKS = 7
+SHORT = 256
+SEED = 64
+PASSAGE_WORDS = 50
+#: Kinds of surroundings that a task holds at once, some 15 MB. More of one hash are split first; results are the same.
+GROUP = 20_000
+#: Into how many middles the windows around an anchor are split at each step.
+PARTS = 7
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -55,20 +61,20 @@ def sliding(values: np.ndarray, width: int, what: np.ufunc, fill: np.uint64) ->
     return what(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, short: int = SHORT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts' anchors: hash, hash of the surroundings, text, place in the text."""
     empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
     n = len(data) - seed + 1
-    if len(data) < length:
+    if len(data) < short:
         return empty
     spans = Spans(data)
     grams = spans.every(seed)
     grams[grams == _NONE] = 0
     room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes up to the text's end
     grams[room[:n] < seed] = _NONE
-    width = length - seed + 1
+    width = short - seed + 1
     least = sliding(grams, width, np.minimum, _NONE)
-    least[room[:n] < length] = 0
+    least[room[:n] < short] = 0
     # a gram is an anchor if it is the least of a whole window, one of those that start up to width - 1 before it
     most = sliding(least[::-1], width, np.maximum, np.uint64(0))[::-1]
     at = np.flatnonzero((most == grams) & (grams != _NONE) & (grams != 0))
@@ -80,14 +86,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
     return grams[at], around, doc, at - offsets[doc]
 
 
-def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
+def anchor_rows(docs: DataFrame, length: int, short: int, seed: int) -> DataFrame:
     names = ["h", "c", "doc_id", "tkey", "pos"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(2))
             for i, j in chunks(offsets):
-                h, c, doc, pos = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, seed)
+                h, c, doc, pos = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, short, seed)
                 row = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(pos.astype(np.int32))], names)
 
@@ -151,42 +157,43 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append([now, left])
 
 
-def extensions(before: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The longest common left extension of each row with any other row."""
-    order = np.lexsort(before.T[::-1]) if before.shape[1] else np.arange(len(before))
-    s = before[order]
-    near = common(s[1:], s[:-1], size[order][1:], size[order][:-1])
+def extensions(before: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The longest common left extension of each row with any other; ``order`` sorts the rows."""
+    s, n = before[order], size[order]
+    near = common(s[1:], s[:-1], n[1:], n[:-1])
     best = np.zeros(len(s), np.int64)
     best[order[1:]] = near
     best[order[:-1]] = np.maximum(best[order[:-1]], near)
     return best
 
 
-def tree_repeats(h: np.ndarray, before: pa.Array, after: pa.Array, length: int, seed: int) -> tuple[list[int], list[int], list[int]]:
-    """Row, left extension and prefix of all occurrences of maximal repeats. Rows are sorted by (h, after)."""
+def tree_repeats(group: np.ndarray, before: pa.Array, after: pa.Array, length: int, short: int, seed: int) -> tuple[list[int], list[int], list[int]]:
+    """Row, left extension and prefix of all occurrences of maximal repeats of ``short`` bytes or more. Rows are sorted by (group, after)."""
     a, size_a = padded(after, length)
     b, size_b = padded(before, length - seed)
     lcp = common(a[1:], a[:-1], size_a[1:], size_a[:-1])
-    lcp[h[1:] != h[:-1]] = 0
+    lcp[group[1:] != group[:-1]] = 0
     ext = common(b[1:], b[:-1], size_b[1:], size_b[:-1])
+    rank = np.empty(len(b), np.int64)
+    rank[np.argsort(b.view(f"S{b.shape[1]}").reshape(-1), kind="stable")] = np.arange(len(b))
     rows: list[int] = []
     lefts: list[int] = []
     prefixes: list[int] = []
-    full = np.zeros(len(h), bool)  # rows that can't be extended further to the left
-    near = ext.tolist()
+    full = np.zeros(len(group), bool)  # rows that can't be extended further to the left
+    near, least = ext.tolist(), short - (length - seed)
     for prefix, lo, hi in intervals(lcp.tolist()):
-        if prefix + length - seed < length:
+        if prefix < least:
             continue
         if hi == lo + 1:
-            if prefix + near[lo] >= length:
+            if prefix + near[lo] >= short:
                 rows += (lo, hi)
                 lefts += (near[lo], near[lo])
                 prefixes += (prefix, prefix)
             continue
         if full[lo : hi + 1].all():
             continue
-        best = extensions(b[lo : hi + 1], size_b[lo : hi + 1])
-        keep = np.flatnonzero((best + prefix >= length) & ~full[lo : hi + 1])
+        best = extensions(b[lo : hi + 1], size_b[lo : hi + 1], np.argsort(rank[lo : hi + 1]))
+        keep = np.flatnonzero((best + prefix >= short) & ~full[lo : hi + 1])
         rows += (keep + lo).tolist()
         lefts += best[keep].tolist()
         prefixes += [prefix] * len(keep)
@@ -194,107 +201,182 @@ def tree_repeats(h: np.ndarray, before: pa.Array, after: pa.Array, length: int,
     return rows, lefts, prefixes
 
 
-def from_tree(contexts: DataFrame, length: int, seed: int) -> DataFrame:
-    """h, doc_id, tkey, start, end of the occurrences that the interval trees give."""
-    names = ["h", "doc_id", "tkey", "start", "end"]
+def from_tree(contexts: DataFrame, length: int, short: int, seed: int) -> DataFrame:
+    """doc_id, tkey, start, end of the occurrences that the interval trees give; contexts of one ``g`` are one array."""
+    names = ["doc_id", "tkey", "start", "end"]
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        h = batch.column(0).to_numpy()
-        row, left, prefix = (np.array(x, np.int64) for x in tree_repeats(h, batch.column(4), batch.column(5), length, seed))
-        pos = batch.column(3).to_numpy()[row]
-        which = pa.array(row)
-        arrays = [batch.column(k).take(which) for k in range(3)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array((pos - left).astype(np.int32)), pa.array((pos + prefix).astype(np.int32))], names)
+        found = tree_repeats(batch.column(0).to_numpy(), batch.column(4), batch.column(5), length, short, seed)
+        row, left, prefix = (np.array(x, np.int64) for x in found)
+        pos, which = batch.column(3).to_numpy()[row], pa.array(row)
+        return pa.RecordBatch.from_arrays([batch.column(1).take(which), batch.column(2).take(which), pa.array((pos - left).astype(np.int32)), pa.array((pos + prefix).astype(np.int32))], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # the group that isn't over yet
         for batch in batches:
-            if len(batch):
-                table = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-                h = table.column(0).to_numpy()
-                cuts = np.flatnonzero(h[1:] != h[:-1]) + 1
-                at = 0
-                for k, c in enumerate(cuts.tolist()):  # whole groups only, some 2000 rows at a time
-                    if c - at >= 2000 or k == len(cuts) - 1:
-                        yield solve(table.slice(at, c - at))
-                        at = c
-                held = [table.slice(at)]
+            if not len(batch):
+                continue
+            g = batch.column(0).to_numpy()
+            cuts = (np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()
+            if held and held[0].column(0)[0].as_py() != g[0]:
+                cuts.insert(0, 0)
+            at = 0
+            for k, c in enumerate(cuts):  # whole groups only, some 2000 rows at a time
+                if held or c - at >= 2000 or k == len(cuts) - 1:
+                    part = pa.Table.from_batches([*held, batch.slice(at, c - at)]).combine_chunks().to_batches()
+                    held, at = [], c
+                    yield from map(solve, part)
+            held.append(batch.slice(at))
         if held:
-            yield solve(held[0])
+            yield from map(solve, pa.Table.from_batches(held).combine_chunks().to_batches())
 
     kind = contexts.schema["doc_id"].dataType.simpleString()
-    return contexts.repartition("h").sortWithinPartitions("h", "after").mapInArrow(task, f"h long, doc_id {kind}, tkey long, start int, end int")
+    return contexts.select("g", "doc_id", "tkey", "pos", "before", "after").repartition("g").sortWithinPartitions("g", "after").mapInArrow(task, f"doc_id {kind}, tkey long, start int, end int")
 
 
-def from_windows(contexts: DataFrame, length: int, seed: int) -> DataFrame:
-    """The same for the hashes of very many surroundings, by counting windows."""
+def split(contexts: DataFrame, width: int, window: int, seed: int) -> DataFrame:
+    """Places with the middles of their windows: one row for each ``width`` offsets at which a window of ``window`` bytes may start.
+
+    ``g`` is the hash of what all those windows share, and ``first`` the place of the first of them: the
+    whole of it where ``width`` is 1."""
     kind = contexts.schema["doc_id"].dataType.simpleString()
-    width = length - seed + 1
-    edges = [width * k // BLOCKS for k in range(BLOCKS + 1)]
-    place = ["h", "doc_id", "tkey", "pos"]
+    names = ["g", "doc_id", "tkey", "pos", "before", "after", "h", "lead", "upto"]
 
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                before, after = batch.column(4)[k].as_py(), batch.column(5)[k].as_py()
-                p, low, high = len(before), max(0, length - len(after)), min(width - 1, len(before))  # offsets of windows that fit
-                cut = [(n, a, b - 1) for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if max(a, low) <= min(b - 1, high)]
-                if not cut:
-                    continue
-                block, lead, tail = (np.array(x) for x in zip(*cut, strict=True))
-                first, last = np.maximum(lead, low), np.minimum(tail, high)
-                spans = Spans(np.frombuffer(before[::-1] + after, np.uint8))
-                whole = spans.of(p - last, p - first + length) + first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)
-                core = spans.of(p - lead, p - tail + length)  # what all windows of the block share
-                one = pa.array(np.full(len(first), k))
-                numbers = [pa.array(x.astype(np.int32)) for x in (block, first, last)]
-                hashes = [pa.array(x.view(np.int64)) for x in (whole, core)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(one) for c in range(6)), *numbers, *hashes], [*place, "before", "after", "block", "first", "last", "whole", "core"])
-
-    def by_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                before, after = batch.column(4)[k].as_py(), batch.column(5)[k].as_py()
-                offset = np.arange(batch.column(6)[k].as_py(), batch.column(7)[k].as_py() + 1)
-                whole = Spans(np.frombuffer(before[::-1] + after, np.uint8)).of(len(before) - offset, len(before) - offset + length)
-                one = pa.array(np.full(len(offset), k))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(one) for c in range(4)), pa.array(offset.astype(np.int32)), pa.array(whole.view(np.int64))], [*place, "offset", "window"])
-
-    head = f"h long, doc_id {kind}, tkey long, pos int, "
-    rows = contexts.repartition("h", "doc_id", "tkey", "pos").mapInArrow(by_block, head + "before binary, after binary, block int, first int, last int, whole long, core long")
-    rows = written(rows, "window_blocks")
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "pos")
-    wholes = written(rows.groupBy("h", "block", "core", "whole").agg(F.count("*").alias("n"), F.min(at).alias("at")), "window_wholes")
-    mixed = wholes.groupBy("h", "block", "core").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-    picked = wholes.join(mixed, ["h", "block", "core"], "left_semi").select("h", "block", F.col("at.doc_id").alias("_id"), F.col("at.tkey").alias("tkey"), F.col("at.pos").alias("pos"))
-    one = rows.join(picked, ["h", "block", "tkey", "pos"]).filter(F.col("doc_id").eqNullSafe(F.col("_id"))).select(*place, "before", "after", "first", "last")
-    single = written(one.mapInArrow(by_window, head + "offset int, window long"), "windows")
-    twice = single.groupBy("h", "offset", "window").count().filter("count > 1").drop("count")
-    sure = rows.join(wholes.filter("n > 1").select("h", "block", "core", "whole"), ["h", "block", "core", "whole"], "left_semi")
-    found = single.join(twice, ["h", "offset", "window"], "left_semi").select(*place, F.col("offset").alias("first"), F.col("offset").alias("last"))
-    found = sure.select(*place, "first", "last").unionByName(found)
-    return found.select("h", "doc_id", "tkey", (F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + length).alias("end"))
-
-
-def occurrences(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """Occurrences of repeats of ``length`` bytes or more: h (of the anchor), doc_id, tkey, start, end."""
-    rows = written(anchor_rows(docs, length, seed), "anchors")
+                before, after = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
+                p, low, high = len(before), batch.column(6)[k].as_py(), batch.column(7)[k].as_py()
+                lead = np.arange(low, high, width)  # bytes of the left context
+                tail = np.minimum(lead + width, high) - 1
+                fits = (lead <= p) & (window - tail <= len(after))  # at least one of the windows lies within the text
+                lead, tail = lead[fits], tail[fits]
+                from_, to = p - np.minimum(lead, p), np.minimum(p - tail + window, p + len(after))
+                text = Spans(np.frombuffer(before[::-1] + after, np.uint8))
+                g = text.of(from_, to) + (lead + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                one = pa.array(np.full(len(lead), k))
+                same = [batch.column(c).take(one) for c in range(6)]
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *same, pa.array(lead.astype(np.int32)), pa.array((tail + 1).astype(np.int32))], names)
+
+    rows = contexts.select("doc_id", "tkey", "pos", "before", "after", "h", "lead", "upto").repartition("doc_id", "tkey", "pos")
+    out = rows.mapInArrow(task, f"g long, doc_id {kind}, tkey long, pos int, before binary, after binary, h long, lead int, upto int")
+    return out.withColumn("g", F.xxhash64("h", "g"))
+
+
+def refined(contexts: DataFrame, length: int, short: int, seed: int, group: int) -> DataFrame | None:
+    """The same for hashes of more than ``group`` kinds: trees over places that share a middle, and whole windows where that many share one."""
+    found = None
+
+    def add(rows: DataFrame) -> None:
+        nonlocal found
+        found = rows if found is None else found.unionByName(rows)
+
+    for window in (short, length):
+        width = window - seed + 1
+        left = contexts.withColumn("lead", F.lit(0)).withColumn("upto", F.lit(width))
+        while True:
+            width = -(-width // PARTS)
+            parts = written(split(left, width, window, seed), "middles")
+            n = parts.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")
+            if width == 1:
+                whole = parts.join(n.filter(F.col("n") > group), "g", "left_semi")
+                add(whole.select("doc_id", "tkey", (F.col("pos") - F.col("lead")).alias("start"), (F.col("pos") - F.col("lead") + window).alias("end")))
+                add(from_tree(parts.join(n.filter(F.col("n") <= group), "g", "left_semi"), length, short, seed))
+                break
+            add(from_tree(parts.join(n.filter(F.col("n") <= group), "g", "left_semi"), length, short, seed))
+            left = parts.join(n.filter(F.col("n") > group), "g", "left_semi")
+            if left.isEmpty():
+                break
+    return found
+
+
+def occurrences(docs: DataFrame, length: int = LENGTH, short: int = SHORT, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """Occurrences of repeats of ``short`` bytes or more: doc_id, tkey, start, end; those of ``length`` or more are as long here."""
+    rows = written(anchor_rows(docs, length, short, seed), "anchors")
     again = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = written(rows.join(again, "h", "left_semi"), "repeated_anchors")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "pos")
     kinds = written(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("at")), "surroundings")
     equal = rows.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
     # the ends are cut to the text where the bytes are at hand
-    found = equal.select("h", "doc_id", "tkey", F.greatest(F.col("pos") - (length - seed), F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
+    found = equal.select("doc_id", "tkey", F.greatest(F.col("pos") - (length - seed), F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
     many = kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
     places = kinds.join(many, "h").select("h", "m", "at.doc_id", "at.tkey", "at.pos")
-    found = found.unionByName(from_tree(surroundings(docs, places.filter(F.col("m") <= group), length, seed), length, seed))
+    found = found.unionByName(from_tree(surroundings(docs, places.filter(F.col("m") <= group), length, seed).withColumnRenamed("h", "g"), length, short, seed))
     hot = places.filter(F.col("m") > group)
     if not hot.isEmpty():
-        found = found.unionByName(from_windows(surroundings(docs, hot, length, seed), length, seed))
+        found = found.unionByName(refined(written(surroundings(docs, hot, length, seed), "contexts"), length, short, seed, group))
     return found
 
 
+_blank = np.zeros(256, bool)
+_blank[list(b" \t\n\r\x0b\x0c")] = True
+
+
+def covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A mask of the bytes within any of the spans, which are cut to their texts."""
+    edge = np.zeros(offsets[-1] + 1, np.int32)
+    np.add.at(edge, offsets[doc] + start, 1)
+    np.add.at(edge, np.minimum(offsets[doc] + end, offsets[doc + 1]), -1)
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+
+def masked_runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True within each text, and each text's first run (n + 1 places)."""
+    starts, ends = runs(np.insert(mask, offsets[1:-1], False))  # a gap between texts
+    gap = np.searchsorted(offsets[1:-1] + np.arange(len(offsets) - 2), starts, side="right")
+    starts, ends = starts - gap, ends - gap
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def removed(docs: DataFrame, length: int = LENGTH, short: int = SHORT, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, spans (maximal removed runs, in bytes), kept (the remaining bytes) and passages (repeated runs of PASSAGE_WORDS or more)."""
+    packed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
+    spans = occurrences(docs, length, short, seed, group).groupBy("doc_id", "tkey").agg(F.collect_list(packed).alias("spans"))
+    rows = with_text(docs, spans, "left").select("doc_id", "text", "spans")
+    names = ["doc_id", "n_bytes", "spans", "kept", "passages"]
+
+    def lists(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        base = np.repeat(offsets[:-1], np.diff(first))
+        both = pa.StructArray.from_arrays([pa.array((x - base).astype(np.int32)) for x in (starts, ends)], ["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), both)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(1))
+            for i, j in chunks(offsets):
+                at = offsets[i : j + 1] - offsets[i]
+                text, some = data[offsets[i] : offsets[j]], batch.column(2).slice(i, j - i)
+                n = np.nan_to_num(some.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                span = some.flatten().to_numpy()
+                doc, start, end = np.repeat(np.arange(j - i), n), span >> 32, span & 0xFFFFFFFF
+                long = end - start >= length
+                gone, told = covered(doc[long], start[long], end[long], at), covered(doc, start, end, at)
+                starts, ends, first = masked_runs(told, at)
+                solid = ~_blank[text]
+                inside = np.concatenate(([False], solid[:-1]))  # whether a word may go on from the byte before
+                inside[at[:-1][at[:-1] < len(text)]] = False
+                begins = np.concatenate(([0], np.cumsum(solid & ~inside)))
+                enough = begins[ends] - begins[starts] >= PASSAGE_WORDS
+                kept_runs = np.concatenate(([0], np.cumsum(enough)))
+                passages = lists(starts[enough], ends[enough], kept_runs[first], at)
+                left, size = text[~gone], np.concatenate(([0], np.cumsum(~gone)))[at]
+                kept = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(size.astype(np.int32)), pa.py_buffer(left)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), lists(*masked_runs(gone, at), at), kept, passages], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    run = "array<struct<start:int,end:int>>"
+    return rows.mapInArrow(task, f"doc_id {kind}, n_bytes long, spans {run}, kept binary, passages {run}")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, a digest of the remaining bytes, and how many repeated passages of many words there are."""
+    return removed(docs).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"), F.size("passages").cast("long").alias("n_passages"),
+    )
+
+
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """Maximal runs of the spans' union within n bytes."""
     out: list[list[int]] = []
@@ -307,55 +389,24 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+def kept(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     parts, at = [], 0
-    for a, b in runs:
+    for a, b in gone:
         parts.append(text[at:a])
         at = b
     return b"".join([*parts, text[at:]])
 
 
-def removed(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, spans (maximal removed runs, in bytes) and kept (the remaining bytes)."""
-    spans = occurrences(docs, length, seed, group).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    rows = with_text(docs, spans, "left").select("doc_id", "text", "spans")
-    names = ["doc_id", "n_bytes", "spans", "kept"]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            sizes, lists, bytes_ = [], [], []
-            for t, s in zip(batch.column(1), batch.column(2), strict=True):
-                text = (t.as_py() or "").encode()
-                runs = []
-                if s.is_valid:
-                    start, end = s.values.flatten()
-                    runs = merged(list(zip(start.to_pylist(), end.to_pylist(), strict=True)), len(text))
-                sizes.append(len(text))
-                lists.append([{"start": a, "end": b} for a, b in runs])
-                bytes_.append(kept(text, runs))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(lists, kind), pa.array(bytes_, pa.binary())], names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(task, f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
-
-
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and a digest of the remaining bytes."""
-    return removed(docs).select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
-
-
-def plain(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
-    """The same by brute force, for tests: n_bytes, n_removed, n_spans, digest."""
+def plain_runs(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """By brute force, for tests: each text's runs of bytes that a repeated string of ``length`` covers."""
     seen: dict[bytes, int] = {}
     for t in texts:
         for i in range(len(t) - length + 1):
             w = t[i : i + length]
             seen[w] = seen.get(w, 0) + 1
-    out = []
-    for t in texts:
-        runs = merged([(i, i + length) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1], len(t))
-        out.append((len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(t, runs)).hexdigest()))
-    return out
+    return [merged([(i, i + length) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1], len(t)) for t in texts]
+
+
+def plain(texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
+    """The same by brute force, for tests: n_bytes, n_removed, n_spans, digest."""
+    return [(len(t), sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept(t, gone)).hexdigest()) for t, gone in zip(texts, plain_runs(texts, length), strict=True)]
