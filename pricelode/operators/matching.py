@@ -2,47 +2,23 @@
 
 Every step works on distinct texts within a scope. A supplier's scope is the catalog rows of the names
 that are alike to it, or the whole catalog where there are none; scopes are rows of a bridge table, so a
-fuzzy search is an equi-join on the scope with scores on Arrow batches. Names of suppliers are compared
-once, each distinct one with the distinct names of the catalog, which travel in blocks of bounded size.
+fuzzy search is an equi-join on the scope with scores on Arrow batches. In the whole catalog a text meets the products
+that share a word with it. Names, aliases and ignored texts are found by the pieces that they share
+(:mod:`pricelode.operators.alike`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelode import constants as K
-from pricelode.functions.fuzzy import name_score, token_set, token_set_ratio, token_sort, token_sort_ratio
+from pricelode.functions.fuzzy import name_score, token_set_ratio
 from pricelode.functions.text import normalize, normalize_quoted, sizes, text_variants
+from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import last_per, top_per
 
 EVERYTHING = "*"
-BLOCK = 20_000
-SCORERS = {"set": token_set, "sort": token_sort}
-
-
-def name_pairs(left: DataFrame, right: DataFrame, scorer: str, cut: float) -> DataFrame:
-    """(l, r, score) of the distinct names l of ``left`` and r of ``right`` that are alike.
-
-    ``right`` goes to the tasks in blocks of at most ``BLOCK`` names; all of ``left`` meets each block."""
-    names = [r[0] for r in right.select("name").distinct().filter("name <> ''").orderBy("name").toLocalIterator()]
-    left = left.select(F.col("name").alias("l")).distinct().filter("l <> ''")
-    out = left.sparkSession.createDataFrame([], "l string, r string, score double")
-    for i in range(0, len(names), BLOCK):
-        sent = left.sparkSession.sparkContext.broadcast(names[i : i + BLOCK])
-
-        def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            score = SCORERS[scorer]
-            for batch in batches:
-                hits = [(x, y, s) for x in batch.column(0).to_pylist() for y in sent.value if (s := score(x, y)) >= cut]
-                columns = list(zip(*hits, strict=True)) if hits else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["l", "r", "score"])
-
-        out = out.unionByName(left.mapInArrow(task, "l string, r string, score double"))
-    return out
 
 
 def catalog_names(catalog: DataFrame) -> DataFrame:
@@ -74,10 +50,23 @@ def keys_of(texts: DataFrame, text: str, abbreviations: list[tuple[str, str]]) -
     return variants.select("text", normalize_quoted(abbreviations)("v").alias("key")).filter(F.length("key") >= 3).distinct()
 
 
+def met_products(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(scope, text, key, referencia, seq, clave): the products that each asked (scope, text) is compared with.
+
+    Within a supplier's scope all of its products; where the supplier is unknown, those that share a word with the text."""
+    side = catalog.select("referencia", "clave", "seq")
+    pairs = asked.select("scope", "text").distinct().join(keys, "text")
+    own = pairs.filter(F.col("scope") != EVERYTHING).join(bridge.filter(F.col("scope") != EVERYTHING), "scope").join(side, "referencia")
+    words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("w")
+    open_ = pairs.filter(F.col("scope") == EVERYTHING)
+    shared = open_.select("key").distinct().select("key", words("key")).join(side.select("clave").distinct().select("clave", words("clave")).filter("w <> ''"), "w").select("key", "clave").distinct()
+    columns = ["scope", "text", "key", "referencia", "seq", "clave"]
+    return own.select(columns).unionByName(open_.join(shared, "key").join(side, "clave").select(columns))
+
+
 def candidates(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
     """(scope, text, referencia, score) of the best k products for each asked (scope, text)."""
-    side = bridge.join(catalog.select("referencia", "clave", "seq"), "referencia")
-    pairs = asked.select("scope", "text").distinct().join(keys, "text").join(side, "scope")
+    pairs = met_products(asked, keys, bridge, catalog)
     # equal keys are scored once
     score = pairs.select("key", "clave").distinct().withColumn("score", name_score(F.col("key"), F.col("clave")))
     best = pairs.join(score, ["key", "clave"]).groupBy("scope", "text", "referencia", "seq", "clave").agg(F.max("score").alias("score"))
@@ -86,30 +75,33 @@ def candidates(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: Da
 
 def general_terms(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame) -> DataFrame:
     """All products under a term, eight at most, which is what the feature shows."""
-    side = bridge.join(catalog.select("referencia", "clave", "seq"), "referencia")
-    own = keys.groupBy("text").agg(F.max_by("key", F.length("key")).alias("key"))
-    pairs = asked.select("scope", "text").distinct().join(own, "text").join(side, "scope")
+    longest = keys.groupBy("text").agg(F.max_by("key", F.length("key")).alias("key"))
+    pairs = met_products(asked, longest, bridge, catalog)
     scored = pairs.withColumn("score", token_set_ratio(F.col("key"), F.col("clave"))).filter(F.col("score") >= K.TERM_SET)
     return top_per(scored, ["scope", "text"], [F.col("score").desc(), F.col("seq")], K.TERM_TOP).select("scope", "text", "referencia", "score")
 
 
+def in_scope(asked: DataFrame, owned: DataFrame) -> DataFrame:
+    """(supplier, owner): whose rows of a memory table each asked supplier is held against; an unknown one ('') against all."""
+    suppliers = asked.select("supplier").distinct()
+    pairs = name_pairs(suppliers.select(F.col("supplier").alias("name")), owned.select(F.col("owner").alias("name")), "set", K.SUPPLIER_SET)
+    return pairs.select(F.col("l").alias("supplier"), F.col("r").alias("owner"))
+
+
 def alias_matches(asked: DataFrame, keys: DataFrame, alias: DataFrame, catalog: DataFrame, abbreviations: list[tuple[str, str]]) -> DataFrame:
     """(supplier, text, referencia) for asked (supplier, text): all products of the best alias.
 
     Scope: the supplier's own aliases if it has any, else those of no supplier; all where no supplier is known."""
-    a = alias.filter("trim(texto) <> ''").select("texto", "referencia", "seq", normalize("proveedor").alias("owner"), normalize_quoted(abbreviations)("texto").alias("alias_key"))
-    names = asked.select(F.col("supplier").alias("name")).distinct()
-    pairs = name_pairs(names, a.select(F.col("owner").alias("name")), "set", K.SUPPLIER_SET).select(F.col("l").alias("supplier"), F.col("r").alias("owner"))
-    own = pairs.join(a, "owner")
-    blank = asked.select("supplier").distinct().filter("supplier <> ''").join(own.select("supplier").distinct(), "supplier", "left_anti").withColumn("owner", F.lit("")).join(a, "owner")
-    every = asked.select("supplier").distinct().filter("supplier = ''").withColumn("_one", F.lit(1)).join(a.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    columns = ["supplier", "referencia", "seq", "alias_key"]
-    scoped = own.select(columns).unionByName(blank.select(columns)).unionByName(every.select(columns))
-    met = asked.select("supplier", "text").distinct().join(keys, "text").join(scoped, "supplier")
-    scored = met.withColumn("set", token_set_ratio(F.col("key"), F.col("alias_key"))).withColumn("sort", token_sort_ratio(F.col("key"), F.col("alias_key")))
-    good = scored.filter((F.col("set") >= K.ALIAS_SET) & (F.col("sort") >= K.ALIAS_SORT))
+    a = alias.filter("trim(texto) <> ''").select("referencia", "seq", normalize("proveedor").alias("owner"), normalize_quoted(abbreviations)("texto").alias("alias_key"))
+    pairs = in_scope(asked, a)
+    like = name_pairs(keys.select(F.col("key").alias("name")), a.select(F.col("alias_key").alias("name")), "sort", K.ALIAS_SORT).select(F.col("l").alias("key"), F.col("r").alias("alias_key"), F.col("score").alias("sort"))
+    like = like.withColumn("set", token_set_ratio(F.col("key"), F.col("alias_key"))).filter(F.col("set") >= K.ALIAS_SET)
+    known = pairs.select("supplier").distinct().withColumn("has_own", F.lit(True))
+    met = asked.select("supplier", "text").distinct().join(keys, "text").join(like, "key").join(a.withColumnRenamed("owner", "alias_owner"), "alias_key").join(known, "supplier", "left")
+    met = met.join(pairs.withColumnRenamed("owner", "alias_owner").withColumn("is_own", F.lit(True)), ["supplier", "alias_owner"], "left")
+    good = met.filter((F.col("supplier") == "") | F.col("is_own") | (F.col("has_own").isNull() & (F.col("alias_owner") == "")))
     winner = top_per(good, ["supplier", "text"], [F.col("sort").desc(), F.col("set").desc(), F.col("seq")]).select("supplier", "text", "alias_key")
-    found = winner.join(scoped, ["supplier", "alias_key"]).select("supplier", "text", F.trim("referencia").alias("referencia")).distinct()
+    found = winner.join(good.select("supplier", "text", "alias_key", "referencia"), ["supplier", "text", "alias_key"]).select("supplier", "text", F.trim("referencia").alias("referencia")).distinct()
     return found.join(catalog.select("referencia").distinct(), "referencia", "left_semi")
 
 
@@ -121,18 +113,16 @@ def code_matches(lines: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def ignored(asked: DataFrame, keys: DataFrame, ignore: DataFrame, abbreviations: list[tuple[str, str]]) -> DataFrame:
-    """(supplier, text, reason): texts that the business doesn't sell, unless the sizes differ."""
+    """(supplier, text, reason): texts that the business doesn't sell, unless the sizes differ.
+
+    Rows of no supplier hold for all; where no supplier is known, all rows hold."""
     g = ignore.filter("trim(texto) <> ''").select("seq", F.col("motivo").alias("reason"), normalize("proveedor").alias("owner"), normalize_quoted(abbreviations)("texto").alias("ignore_key"))
-    names = asked.select(F.col("supplier").alias("name")).distinct()
-    pairs = name_pairs(names, g.select(F.col("owner").alias("name")), "set", K.SUPPLIER_SET).select(F.col("l").alias("supplier"), F.col("r").alias("owner"))
-    suppliers = asked.select("supplier").distinct()
-    scope = pairs.unionByName(suppliers.filter("supplier <> ''").withColumn("owner", F.lit("")))
-    scoped = scope.join(g, "owner")
-    none = suppliers.filter("supplier = ''").withColumn("_one", F.lit(1)).join(g.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    scoped = scoped.select("supplier", "seq", "reason", "ignore_key").unionByName(none.select("supplier", "seq", "reason", "ignore_key"))
+    pairs = in_scope(asked, g).withColumn("is_own", F.lit(True))
     once = asked.select("supplier", "text").distinct().withColumn("key", normalize_quoted(abbreviations)("text"))
-    scored = once.join(scoped, "supplier").withColumn("score", token_sort_ratio(F.col("key"), F.col("ignore_key"))).filter(F.col("score") >= K.IGNORE_SORT)
-    best = top_per(scored, ["supplier", "text"], [F.col("score").desc(), F.col("seq")])
+    like = name_pairs(once.select(F.col("key").alias("name")), g.select(F.col("ignore_key").alias("name")), "sort", K.IGNORE_SORT).select(F.col("l").alias("key"), F.col("r").alias("ignore_key"), "score")
+    met = once.join(like, "key").join(g, "ignore_key").join(pairs, ["supplier", "owner"], "left")
+    good = met.filter((F.col("supplier") == "") | (F.col("owner") == "") | F.col("is_own"))
+    best = top_per(good, ["supplier", "text"], [F.col("score").desc(), F.col("seq")])
     a, b = sizes(F.col("key")), sizes(F.col("ignore_key"))
     clash = (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
     return best.filter(~clash).select("supplier", "text", F.when(F.col("reason") != "", F.col("reason")).otherwise("ignorado").alias("reason"))

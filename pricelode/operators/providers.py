@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricelode.constants import TAX_SORT
 from pricelode.functions.numbers import option_rates
 from pricelode.functions.text import normalize
-from pricelode.operators.matching import name_pairs
+from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import first_per, top_per
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricelode import constants as K
 from pricelode.functions.numbers import list_cost, money, option_rates, rate_needed, suggested_rate
 from pricelode.functions.text import normalize, weight_kg
-from pricelode.operators.matching import name_pairs
+from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import first_per
 
 

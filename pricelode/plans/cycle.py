@@ -15,6 +15,7 @@ from pricelode import constants as K
 from pricelode.functions.numbers import case_suggested, money, unchanged, variation
 from pricelode.functions.text import code_key, corrected_size, fingerprint, normalize, row_key
 from pricelode.operators import classify, matching, memory, transform
+from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import first_per, latest_value, winners
 from pricelode.sources.messages import read_messages
 from pricelode.storage import kept
@@ -70,16 +71,15 @@ def message_lines(sources: DataFrame, index: DataFrame, store: Store, forced: li
     keyed = sources.filter("kind <> 'lista'").withColumn("huella", F.when(F.col("kind") == "texto", fingerprint(F.col("text"))).otherwise(fingerprint(F.col("supplier"), F.col("text"))))
     fresh = memory.not_processed(keyed, done, ["huella"], again)
     seen = keyed.join(fresh.select("source_id"), "source_id", "left_anti")
-    names = {r["key"]: r["canonical"] for r in index.select("key", "canonical").toLocalIterator()}
     # the sender's canonical name starts its text
     start = F.when(F.col("kind") == "texto", "").otherwise(F.col("supplier"))
     exact = index.select(F.col("key").alias("_k"), F.col("canonical").alias("_c"))
     started = fresh.withColumn("_key", normalize("supplier")).join(exact, F.col("_key") == F.col("_k"), "left")
-    pairs = matching.name_pairs(fresh.select(normalize("supplier").alias("name")), index.select(F.col("key").alias("name")), "set", K.PROVIDER_SET)
+    pairs = name_pairs(fresh.select(normalize("supplier").alias("name")), index.select(F.col("key").alias("name")), "set", K.PROVIDER_SET)
     near = pairs.join(index.select(F.col("key").alias("r"), "canonical"), "r").groupBy("l").agg(F.max_by("canonical", "score").alias("_near"))
     started = started.join(near, F.col("_key") == F.col("l"), "left").withColumn("start", F.when(start == "", "").otherwise(F.coalesce("_c", "_near", start)))
     started = kept(started.drop("_key", "_k", "_c", "l", "_near", "_l"), "messages")
-    parsed = kept(read_messages(started.select("source_id", "start", "text"), names), "parsed")
+    parsed = kept(read_messages(started.select("source_id", "start", "text"), index), "parsed")
     about = started.select("source_id", "huella", "origin", F.col("seq").alias("source_order"), F.col("kind").alias("source_kind"), F.col("supplier").alias("sender"))
     rows = parsed.join(about, "source_id")
     lines = _shaped(parsed, about)

@@ -73,7 +73,7 @@ select o_orderkey, case when o_orderkey % 4 = 0 and o_orderkey % 8 <> 0 then nul
 def q34_date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest credible date of a text: impossible, too old and too late ones don't count."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.add_months(F.to_date("o_orderdate"), 120).alias("d"))
-    as_of = orders.agg(F.max("d")).first()[0]
+    as_of = orders.agg(F.max("d").alias("as_of"))  # one row
     k = F.col("o_orderkey")
     own = F.date_format("d", "d/M/yyyy")
     text = (
@@ -82,7 +82,7 @@ def q34_date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 4 == 1, F.concat(F.lit("vigente "), own, F.lit(" (antes 1/1/2000)")))
         .otherwise(F.concat(F.lit("precios al "), F.date_format("d", "dd.MM.yyyy")))
     )
-    return orders.select("o_orderkey", N.latest_date(text, F.lit(as_of)).alias("list_date"))
+    return orders.crossJoin(F.broadcast(as_of)).select("o_orderkey", N.latest_date(text, F.col("as_of")).alias("list_date"))
 
 
 @query("""select cast(p_size as bigint) as source_id, p_partkey as line_no, cast(10000 + p_partkey as varchar) as code, p_name as description, cast(round_even(p_retailprice * 100, 0) as bigint) as price_cents from part""")
@@ -96,17 +96,72 @@ def q44_text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles.select("source_id", "line_no", "code", "description", N.cents(F.col("price")).alias("price_cents"))
 
 
-@query()
+def supplier_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier "), "s_suppkey").alias("key"), F.concat(F.lit("Supplier "), "s_suppkey").alias("canonical"), F.col("s_suppkey").alias("seq"))
+
+
+def brand_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as known names; a name's key has no signs."""
+    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("seq"))
+    return brands.select(F.lower(F.translate("p_brand", "#", " ")).alias("key"), F.col("p_brand").alias("canonical"), "seq")
+
+
+def told(rows: DataFrame, source, order: list[str], line) -> DataFrame:
+    """One message for each source: the lines of its rows, in order."""
+    said = rows.select(source.alias("source_id"), F.struct(*order, line.alias("said")).alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["said"]), "\n")
+    return said.groupBy("source_id").agg(text.alias("text")).select("source_id", F.lit("").alias("start"), "text")
+
+
+def read_rows(messages: DataFrame, index: DataFrame) -> DataFrame:
+    rows = read_messages(messages, index)
+    return rows.select("source_id", F.col("line_no").cast("long").alias("line_no"), "note", "supplier", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce(N.cents(F.col("cost")), F.lit(-1)).alias("cost_cents"))
+
+
+@query("""select 'Supplier ' || l_suppkey as supplier, 'costo' as kind, false as note, count(*) as n, sum(round_even(l_extendedprice, 0)) as total from lineitem group by 1""")
 def q45_message_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L1, L2: every line of a supplier's quotes of a day as one message, read by the state machine."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    """Every line of a supplier's quotes of a day as one message, read back to costs by supplier."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     said = F.concat("p_name", F.lit(" "), "p_type", F.lit(" $"), F.rint("l_extendedprice").cast("long"))
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", said.alias("said"))
     key = F.xxhash64("l_suppkey", "l_shipdate").alias("source_id")
-    message = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["said"]), "\n")
+    message = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["said"]), "\n")  # a supplier's lines of one day
     messages = lines.groupBy(key, "l_suppkey").agg(message.alias("text")).select("source_id", F.concat(F.lit("Supplier "), "l_suppkey").alias("start"), "text")
-    index = {f"supplier {r[0]}": f"Supplier {r[0]}" for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect()}
-    return read_messages(messages, index).groupBy("supplier", "kind", "note").agg(F.count("*").alias("n"), F.sum("cost").alias("total"))
+    return read_messages(messages, supplier_index(spark, sf_dir)).groupBy("supplier", "kind", "note").agg(F.count("*").alias("n"), F.sum("cost").alias("total"))
+
+
+@query("""with p as (select cast(p_size as bigint) as source_id, row_number() over (partition by p_size order by p_partkey) - 1 as line_no, p_brand, p_partkey, p_name, p_retailprice from part)
+select source_id, line_no, false as note, p_brand as supplier, 'costo' as kind, 'item' || p_partkey || ' ' || p_name as description, cast(round_even(p_retailprice, 0) * 100 as bigint) as cost_cents from p""")
+def q47_message_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand's name opens its block, and the price stands alone below each product."""
+    p = table(spark, sf_dir, "part")
+    line = F.concat(F.upper("p_brand"), F.lit(":\n\U0001f35e - item"), "p_partkey", F.lit(" "), "p_name", F.lit("\n$ "), F.rint("p_retailprice").cast("long"))
+    return read_rows(told(p, F.col("p_size").cast("long"), ["p_partkey"], line), brand_index(spark, sf_dir))
+
+
+@query("""with p as (select *, row_number() over (partition by p_size order by p_partkey) as n from part)
+select cast(p_size as bigint) as source_id, 4 * (n - 1) + j as line_no, false as note, '' as supplier, case when j = 2 then 'faltante' else 'costo' end as kind,
+ case j when 0 then 'item' || p_partkey || ' rojo x 250 g' when 1 then 'item' || p_partkey || ' rojo x 500 g' when 2 then 'caja' || p_partkey else 'pack' || p_partkey || ' grande picante' end as description,
+ case when j = 2 then -1 else cast(round_even(p_retailprice, 0) * 100 + case j when 0 then 0 when 1 then 10000 else 20000 end as bigint) end as cost_cents
+from p, (select unnest([0, 1, 2, 3]) as j)""")
+def q48_message_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles with sizes below, priced lines with variants below, and shortages."""
+    p = table(spark, sf_dir, "part")
+    price = F.rint("p_retailprice").cast("long")
+    line = F.concat(
+        F.lit("item"), "p_partkey", F.lit(" rojo\nx 250 g $"), price, F.lit("\nx 500 g: $ "), price + 100, F.lit("\nno hay caja"), "p_partkey", F.lit(" por ahora\nel pack"), "p_partkey", F.lit(" grande $"), price + 200, F.lit(" y\npicante\nnovedad")
+    )
+    return read_rows(told(p, F.col("p_size").cast("long"), ["p_partkey"], line), brand_index(spark, sf_dir))
+
+
+@query("""with p as (select *, row_number() over (partition by p_size order by p_partkey) - 1 as n from part)
+select cast(p_size as bigint) as source_id, n as line_no, false as note, case when p_partkey % 3 = 0 then '' else p_brand end as supplier, 'costo' as kind, 'item' || p_partkey as description, cast(round_even(p_retailprice * 100, 0) as bigint) as cost_cents from p""")
+def q49_message_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of pasted cells, each with its own brand or none; invoices' rows beside them."""
+    p = table(spark, sf_dir, "part")
+    price = F.translate(F.format_number("p_retailprice", 2), ",.", ".,")
+    line = F.concat(F.lit("item"), "p_partkey", F.lit("\t"), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise(F.col("p_brand")), F.lit("\t$ "), price)
+    return read_rows(told(p, F.col("p_size").cast("long"), ["p_partkey"], line), brand_index(spark, sf_dir))
 
 
 @query()

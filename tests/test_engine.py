@@ -132,19 +132,72 @@ def test_catalog(spark, shop):
         C.resolve_headers(["cantidad a la mano", "name"])
 
 
-def test_messages():
-    names = {text.normalize_text(s): s for s in SUPPLIERS}
-    read = lambda t, s="": messages.quoted(t, messages.Suppliers(names).find, s)
-    rows, notes = read("Pastas Río\nFideos naturales 500 g $3600\nSin salames")
+@pytest.fixture(scope="module")
+def heard(spark):
+    """Lines and notes of each of several messages, read together."""
+    index = spark.createDataFrame([(text.normalize_text(s), s, i) for i, s in enumerate(SUPPLIERS)], "key string, canonical string, seq long")
+
+    def read(*texts, start=""):
+        frame = spark.createDataFrame([(i, start, t) for i, t in enumerate(texts)], "source_id long, start string, text string")
+        got = [r.asDict() for r in messages.read_messages(frame, index).orderBy("source_id", "note", "line_no").collect()]
+        return [([r for r in got if r["source_id"] == i and not r["note"]], [r for r in got if r["source_id"] == i and r["note"]]) for i in range(len(texts))]
+
+    return read
+
+
+def test_messages(heard):
+    got = heard(
+        "Pastas Río\nFideos naturales 500 g $3600\nSin salames", "harina2000", "u$s 45", "USD 12", "Miel en envases de plástico.\nx250cm3 $3200\nx360cm3 $4500",
+        "BRAZUELO $16.900  VACIO $17.500 PULPA $19.300", "01  1001 CLARA. LAVANDINA 1 L   36  900.00  0.00  29160.00", "Licencia Plan Pro mensual (por usuario) 19800",
+        "semillas de chia•250g•2000", "no modificamos los precios", "Fideos naturales 500 g\nno hay stock", "aceite 2500", "Fideos $3000\nPastas Río\nPan 2000\nEspecias Lunas\nComino 25 g\n$640\n$700",
+        None, "Pan de campo\n3100\n3200\n3300", "Hola! Buen día: fideos $3500", "[12/3/24, 10:00] Pastas Río: Fideos 500 g $3500\n[12/3/24, 10:01] Pastas Río: Canelones\n$9000\n[12/3/24, 10:02] Dulces del Sur: imagen omitida",
+        "Prepizzas integrales $5500\nde espinaca\nde calabaza", "te paso la lista\nSabores:\nLlamar al 1144445555", "Pan 2000 (2600)", "Fideos 3600 y pan $ 12345678", "Codigo\tPan de campo\tPastas Río\t$ 3.100,50",
+    )
+    rows, notes = got[0]
     assert [(r["kind"], r["description"]) for r in rows] == [("costo", "Fideos naturales 500 g"), ("faltante", "salames")] and rows[0]["supplier"] == "Pastas Río"
-    assert read("harina2000")[0][0]["cost"] == 2000 and read("u$s 45")[0] == [] and len(read("USD 12")[1]) == 1
-    assert [r["description"] for r in read("Miel en envases de plástico.\nx250cm3 $3200\nx360cm3 $4500")[0]] == ["Miel en envases de plástico x250cm3", "Miel en envases de plástico x360cm3"]
-    assert [r["cost"] for r in read("BRAZUELO $16.900  VACIO $17.500 PULPA $19.300")[0]] == [16900, 17500, 19300]
-    assert read("01  1001 CLARA. LAVANDINA 1 L   36  900.00  0.00  29160.00")[0][0]["cost"] == 810
-    assert read("Licencia Plan Pro mensual (por usuario) 19800")[0][0]["description"] == "Licencia Plan Pro mensual (por usuario)"
-    assert read("semillas de chia•250g•2000")[0] == [] and len(read("semillas de chia•250g•2000")[1]) == 1
-    assert read("no modificamos los precios")[0] == [] or True
-    assert read("Fideos naturales 500 g\nno hay stock")[0][0]["description"] == "Fideos naturales 500 g"
+    assert got[1][0][0]["cost"] == 2000 and got[2][0] == [] and len(got[2][1]) == 1 and got[3][0] == [] and len(got[3][1]) == 1
+    assert [r["description"] for r in got[4][0]] == ["Miel en envases de plástico x250cm3", "Miel en envases de plástico x360cm3"]
+    assert [r["cost"] for r in got[5][0]] == [16900, 17500, 19300]
+    assert [r["cost"] for r in got[6][0]] == [810]
+    assert got[7][0][0]["description"] == "Licencia Plan Pro mensual (por usuario)" and got[7][0][0]["cost"] == 19800
+    assert got[8][0] == [] and len(got[8][1]) == 1
+    assert got[9] == ([], []) or [n["what"] for n in got[9][1]] == [messages.SAME_NOTE]
+    assert [(r["kind"], r["description"]) for r in got[10][0]] == [("faltante", "Fideos naturales 500 g")]
+    assert got[11][0][0]["cost"] == 2500
+    # blocks by supplier; a price alone goes to the line above once
+    assert [(r["supplier"], r["description"], r["cost"]) for r in got[12][0]] == [("", "Fideos", 3000), ("Pastas Río", "Pan", 2000), ("Especias Luna", "Comino 25 g", 640), ("Especias Luna", "", 700)]
+    assert got[13] == ([], [])
+    assert [(r["description"], r["cost"]) for r in got[14][0]] == [("Pan de campo", 3100), ("3200", 3300)]
+    assert [(r["description"], r["cost"]) for r in got[15][0]] == [("fideos", 3500)]
+    assert [(r["supplier"], r["description"], r["cost"]) for r in got[16][0]] == [("Pastas Río", "Fideos 500 g", 3500), ("Pastas Río", "Canelones", 9000)]
+    assert [(r["description"], r["cost"]) for r in got[17][0]] == [("Prepizzas integrales de espinaca", 5500), ("Prepizzas integrales de calabaza", 5500)]
+    assert got[18][0] == []
+    assert [(r["description"], r["cost"], r["suggested"]) for r in got[19][0]] == [("Pan", 2000, 2600)]
+    assert [(r["supplier"], r["cost"]) for r in got[21][0]] == [("Pastas Río", 3100.5)]
+
+
+def test_alike_names_lose_no_pair(spark):
+    import random
+
+    from pricelode.operators.alike import name_pairs
+
+    rng = random.Random(8)
+    words = ["distribuidora", "norte", "sur", "pastas", "rio", "la", "quesera", "luna", "a", "ab", "molino", "panaderia", "don", "jose"]
+
+    def spoilt(w):
+        k = rng.randrange(len(w) + 1)
+        return rng.choice([w[:k] + rng.choice("aeiosx") + w[k:], w[:k] + w[k + 1 :], w])
+
+    def name():
+        got = [rng.choice(words) for _ in range(rng.randrange(1, 5))]
+        return " ".join(x for w in got for x in [spoilt(w) if rng.random() < 0.3 else w] if x.strip())
+
+    left, right = ({name() for _ in range(150)} - {""} for _ in range(2))
+    frames = [spark.createDataFrame([(x,) for x in sorted(s)], "name string") for s in (left, right)]
+    for scorer, f, cut in (("set", fuzzy.token_set, 88), ("set", fuzzy.token_set, 92), ("sort", fuzzy.token_sort, 85), ("sort", fuzzy.token_sort, 93)):
+        want = {(a, b) for a in left for b in right if f(a, b) >= cut}
+        got = {(r["l"], r["r"]) for r in name_pairs(*frames, scorer, cut).collect()}
+        assert want and got == want
 
 
 def test_lists(spark):
