@@ -350,7 +350,7 @@ def removed(docs: DataFrame, length: int = LENGTH, short: int = SHORT, seed: int
                 n = np.nan_to_num(some.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
                 span = some.flatten().to_numpy()
                 doc, start, end = np.repeat(np.arange(j - i), n), span >> 32, span & 0xFFFFFFFF
-                long = end - start >= length
+                long = np.minimum(end, np.diff(at)[doc]) - start >= length  # a text may end before its surroundings would
                 gone, told = covered(doc[long], start[long], end[long], at), covered(doc, start, end, at)
                 starts, ends, first = masked_runs(told, at)
                 solid = ~_blank[text]

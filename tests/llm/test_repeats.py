@@ -15,7 +15,7 @@ def cases(documents, awkward):
     for i in range(60):
         b, a, n = rng.choice(base), rng.randrange(2000), rng.randrange(100, 1500)
         rows.append((1000 + i, noise() + b[a : a + n] + noise()))
-    rows += [(2001, "a" * 1000), (2004, "x" * 399), (2004, "x" * 400), (2005, "lorem ipsum " * 50), (2005, "lorem ipsum " * 50), (None, "q" + "lorem ipsum " * 40)]
+    rows += [(2001, "a" * 1000), (2004, "x" * 399), (2004, "x" * 400), (2005, "lorem ipsum " * 50), (2005, "lorem ipsum " * 50), (2006, "".join(map(str, range(120)))), (2007, "".join(map(str, range(120)))), (None, "q" + "lorem ipsum " * 40)]
     frame = documents.sparkSession.createDataFrame(rows, "doc_id long, text string")
     return documents.limit(80).select("doc_id", "text").unionByName(awkward.select("doc_id", "text")).unionByName(frame)
 
