@@ -48,6 +48,13 @@ def list_number(c: Column, decimal: Column) -> Column:
     return F.when(t.rlike(r"^\d+[.,]\d{2}$"), F.replace(t, F.lit(","), F.lit("."))).otherwise(plain).try_cast("double")
 
 
+def price_in_cell(c: Column) -> Column:
+    """The number of a cell, its digits joined: one after a peso sign first, else the first of two digits or more; empty without any."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " ")
+    after = F.regexp_extract(t, r"\$\s*(\d[\d\s.,]*\d)", 1)
+    return F.regexp_replace(F.when(after != "", after).otherwise(F.regexp_extract(t, r"(\d[\d\s.,]*\d)", 1)), r"\s+", "")
+
+
 def decimal_signal(c: Column) -> Column:
     """What a price's form says about the decimal mark: strong "." or ",", else null."""
     t = F.replace(c, F.lit(" "), F.lit(""))

@@ -84,6 +84,28 @@ def text_variants(c: Column) -> Column:
     return F.array_distinct(F.array(c, F.regexp_replace(c, r"^\s*\d{1,3}\s+(?=[a-zA-Záéíóúñ])", "")))
 
 
+#: How each unit is spelled in names; fixed values.
+SPELLED = {"g": r"(?:kilos?|kgs?|kg|gramos?|grs?|gr|gs|g)", "cc": r"(?:litros?|lts?|lt|l|cc|ml)", "u": r"(?:unidades?|unid\.?|un|u|uds?)"}
+
+
+def with_size(name: Column, quoted: Column) -> Column:
+    """The name with its first size of the quote's unit replaced by the quote's; ``quoted`` is normalized."""
+    value, unit = (F.regexp_extract(quoted, r"\b(\d+(?:\.\d+)?)(g|cc|u)\b", k) for k in (1, 2))
+    put = F.concat(F.lit("$1"), value, F.lit(" "), unit)
+    out = name
+    for u, spelled in SPELLED.items():
+        out = F.when(unit == u, F.regexp_replace(name, F.lit(rf"(?isU)^(.*?)\b\d+(?:[.,]\d+)?\s*{spelled}\b"), put)).otherwise(out)
+    return out
+
+
+def joined_letters(c: Column) -> Column:
+    """Letters that the page spaced out are a word again, and a stray capital inside a word goes."""
+    letter = "[A-Za-zÁÉÍÓÚáéíóúÑñ]"
+    runs = F.regexp_extract_all(c, F.lit(rf"(?U)\b((?:{letter} ){{2,}}{letter})\b"), F.lit(1))
+    whole = F.aggregate(runs, c, lambda text, run: F.replace(text, run, F.replace(run, F.lit(" "), F.lit(""))))
+    return F.regexp_replace(whole, "([a-záéíóúñ]) [A-Z] ([a-záéíóúñ])", "$1$2")
+
+
 # --- plain versions for the Arrow UDFs
 
 _UNITS = {u: ("g", 1000) for u in ("kilo", "kilos", "kg", "kgs")}
@@ -165,8 +187,7 @@ def corrected_size(quoted: str, name: str, own=()) -> str:
     if not m:
         return name
     value, unit = m.groups()
-    spelled = {"g": r"(?:kilos?|kgs?|kg|gramos?|grs?|gr|gs|g)", "cc": r"(?:litros?|lts?|lt|l|cc|ml)", "u": r"(?:unidades?|unid\.?|un|u|uds?)"}[unit]
-    return re.sub(rf"\b\d+(?:[.,]\d+)?\s*{spelled}\b", f"{value} {unit}", name, count=1, flags=re.I)
+    return re.sub(rf"\b\d+(?:[.,]\d+)?\s*{SPELLED[unit]}\b", f"{value} {unit}", name, count=1, flags=re.I)
 
 
 @F.pandas_udf(StringType())

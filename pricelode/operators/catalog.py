@@ -57,9 +57,14 @@ def is_non_product(name: Column) -> Column:
 
 
 def without_prefixes(df: DataFrame, name: str, prefixes: DataFrame, column: str) -> DataFrame:
-    """rows whose name, accents and case aside, starts with none of the (few) prefixes."""
+    """rows whose name, accents and case aside, starts with none of the prefixes.
+
+    Each distinct name meets the prefixes by its own beginnings of their lengths, so any number of prefixes is an equi-join."""
     own = prefixes.select(folded(F.trim(column)).alias("_prefix")).filter("_prefix != ''").distinct()
-    return df.join(F.broadcast(own), folded(F.col(name)).startswith(F.col("_prefix")), "left_anti")
+    lengths = own.agg(F.collect_set(F.length("_prefix")).alias("_lengths"))  # one row; as many as a name is long at most
+    begins = df.select(F.col(name).alias("_name")).distinct().crossJoin(F.broadcast(lengths)).select("_name", F.explode("_lengths").alias("_n"))
+    hit = begins.withColumn("_prefix", F.substring(folded(F.col("_name")), F.lit(1), F.col("_n"))).join(own, "_prefix", "left_semi").select("_name").distinct()
+    return df.join(hit, F.col(name) == F.col("_name"), "left_anti")
 
 
 def collapse_tags(df: DataFrame, named: Column, tag: str, by: list[str], seq: str, joiner: str = "; ") -> DataFrame:

@@ -35,8 +35,8 @@ def ready(alert_: Column, state: Column, rate_missing: Column) -> Column:
     return (alert_ == "") & (state == "ok") & ~F.coalesce(rate_missing, F.lit(False))
 
 
-def control(df: DataFrame, variable: Column) -> DataFrame:
-    """Estimated price, margin and what to look at. Needs before, cost, price, change."""
+def control(df: DataFrame, variable: Column, renamed: Column | None = None) -> DataFrame:
+    """Estimated price, margin and what to look at. Needs before, cost, price, change; renamed: a product's new name, or null."""
     before, cost, price, change = (F.col(c) for c in ("before", "cost", "price", "change"))
     has = F.coalesce(price, F.lit(0.0)) != 0
     margin = F.when(variable, F.when(has, money((price - cost) / price * 100, 1))).otherwise(F.when(has & (before != 0), money((price - before) / price * 100, 1)))
@@ -47,6 +47,7 @@ def control(df: DataFrame, variable: Column) -> DataFrame:
             F.when(F.abs(change) > EYE_CHECK, F.concat(F.lit("cambia "), F.when(change >= 0, "+").otherwise(""), F.rint(change).cast("long").cast("string"), F.lit("%"))),
             F.when(change < 0, "baja de precio"),
             F.when(before == 0, "no tenía costo"),
+            F.lit(None).cast("string") if renamed is None else F.concat(F.lit("cambia el nombre a: "), renamed),
         )
     )
     return df.withColumn("estimate", estimate).withColumn("margin", margin).withColumn("look", F.concat_ws(" · ", flags))

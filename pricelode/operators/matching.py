@@ -16,7 +16,7 @@ from pricelode import constants as K
 from pricelode.functions.fuzzy import name_score, token_set_ratio
 from pricelode.functions.text import normalize, normalize_quoted, sizes, text_variants
 from pricelode.operators.alike import name_pairs
-from pricelode.operators.ordering import last_per, top_per
+from pricelode.operators.ordering import first_per, last_per, top_per
 
 EVERYTHING = "*"
 
@@ -144,6 +144,14 @@ def same_named(best: DataFrame) -> DataFrame:
     return rows.select("scope", "text", top["referencia"].alias("name_ref"), (-top["neg"]).alias("name_score"), F.coalesce(F.get("x", F.lit(1))["clave"] == top["clave"], F.lit(False)).alias("twin"), options.alias("options"))
 
 
+def alternatives(best: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(scope, text, alternativas): the candidates after the first, in words."""
+    names = first_per(catalog, ["referencia"]).select("referencia", "nombre_completo")
+    said = F.concat("referencia", F.lit("="), "nombre_completo", F.lit(" ("), F.rint("score").cast("int").cast("string"), F.lit(")"))
+    rows = best.join(names, "referencia").groupBy("scope", "text").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "seq", said.alias("said")))).alias("x"))  # three at most
+    return rows.select("scope", "text", F.array_join(F.transform(F.slice("x", 2, 10), lambda o: o["said"]), " | ").alias("alternativas"))
+
+
 def product_columns(catalog: DataFrame) -> DataFrame:
     """What a matched line takes from its product; of equal references the last row counts."""
     last = last_per(catalog, ["referencia"])

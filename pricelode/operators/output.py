@@ -1,16 +1,22 @@
-"""What a cycle writes (K1-K10, P16, O1): import table behind its gate, rotation, report, history, memory snapshots."""
+"""What a cycle writes (K1-K10, A4, P14, P16, O1, O6, W12): import table behind its gate, rotation, report, control, memory snapshots."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelode.operators import memory, verify
+from pricelode.constants import SUPPLIER_SET
+from pricelode.functions.text import normalize
+from pricelode.operators import classify, memory, verify
+from pricelode.operators.alike import name_pairs
+
+#: Complete memory snapshots that stay.
+KEPT_VERSIONS = 10
 
 #: Sheets of the report: name -> frame of the cycle's result.
 REPORT = {
     "Listos": "listos", "Confirmar": "confirmar", "Esperan IVA": "esperan_iva", "Gramajes": "gramajes", "Ignorados": "ignorados", "Fuera de catalogo": "fuera_de_catalogo",
-    "Salteados": "saltados", "Sin cambio": "sin_cambio", "Avisos": "avisos", "Notas": "notas", "Rotacion": "rotacion", "No mencionados": "no_mencionados",
+    "Salteados": "saltados", "Sin cambio": "sin_cambio", "Avisos": "avisos", "Notas": "notas", "Control": "control", "Rotacion": "rotacion", "No mencionados": "no_mencionados",
 }
 
 
@@ -45,23 +51,73 @@ def write_rotation(rotation: DataFrame, path: str) -> bool:
 
 
 def write_report(result: dict[str, DataFrame], path: str) -> None:
-    """Part of K5 (no Control sheet): a folder of tables, nested columns as JSON."""
+    """K5: a folder of tables, nested columns as JSON."""
     for sheet, name in REPORT.items():
         df = result[name]
         flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
         df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/{sheet}")
 
 
-def save_memory(tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """K7, part of K9 (all versions stay): a new snapshot beside the old ones; readers take the highest version that is complete."""
+def control(result: dict[str, DataFrame], variable: DataFrame) -> DataFrame:
+    """All that is about to change, what is odd first; variable (nombre): suppliers whose prices don't follow their costs."""
+    ready = result["listos"].select("referencia", "default_code", F.col("nombre_odoo").alias("producto"), F.coalesce("costo_actual", F.lit(0.0)).alias("before"), F.col("costo_nuevo").alias("cost"), F.col("pv_actual").alias("price"), F.col("variacion").alias("change"), "fuente", "proveedor", "origen", "codigo", F.col("line").alias("dice"))
+    names = result["gramajes"].filter("ok_rename and nombre_corregido <> ''").groupBy("referencia").agg(F.max("nombre_corregido").alias("renamed"))
+    asked = ready.select(normalize("fuente").alias("name")).unionByName(ready.select(normalize("proveedor").alias("name")))
+    free = name_pairs(asked, variable.select(normalize("nombre").alias("name")), "set", SUPPLIER_SET).select(F.col("l").alias("name")).distinct()
+    keyed = ready.withColumns({"_f": normalize("fuente"), "_p": normalize("proveedor")})
+    for k in ("_f", "_p"):
+        keyed = keyed.join(free.select(F.col("name").alias(k), F.lit(True).alias(f"{k}_free")), k, "left")
+    keyed = keyed.withColumn("variable", F.coalesce("_f_free", "_p_free", F.lit(False))).join(names, "referencia", "left")
+    out = classify.control(keyed, F.col("variable"), F.col("renamed")).withColumn("kind", F.when(F.col("variable"), "variable").otherwise("fijo"))
+    return control_order(out.select("referencia", "default_code", "producto", "before", "cost", "change", "price", "estimate", "margin", "kind", "fuente", "origen", "codigo", "dice", "look"))
+
+
+def save_memory(tables: dict[str, DataFrame], path: str, version: int, keep: int = KEPT_VERSIONS) -> None:
+    """A new snapshot beside the old ones. Its row in the manifest is written last, so a snapshot that broke off is never
+    read; all but the newest ``keep`` complete ones are deleted after that."""
+    spark = next(iter(tables.values())).sparkSession
     for name in memory.TABLES:
         if name in tables:
-            memory.aligned(tables[name], name).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+            memory.aligned(tables[name], name).write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+    spark.range(1).select(F.lit(version).cast("long").alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/manifest")
+    old = complete_versions(spark, path)[keep:]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for v in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
+
+
+def complete_versions(spark: SparkSession, path: str) -> list[int]:
+    """The snapshots that were finished, the newest first; older ones than the kept are gone."""
+    return [r[0] for r in spark.read.parquet(f"{path}/manifest").select("version").distinct().orderBy(F.col("version").desc()).limit(1000).collect()]
+
+
+def load_memory(spark: SparkSession, path: str, version: int | None = None, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The newest complete snapshot, or the one asked for."""
+    version = complete_versions(spark, path)[0] if version is None else version
+    return {n: spark.read.schema(memory.schema_of(n)).parquet(f"{path}/version={version}/{n}") for n in names or memory.TABLES}
+
+
+def last_import(history: DataFrame) -> DataFrame:
+    """The rows of the last day on which something went out."""
+    out = history.filter("estado in ('generado', 'verificado', 'no se aplicó')")
+    return out.join(out.agg(F.max("fecha").alias("fecha")), "fecha", "left_semi")
+
+
+def history_tail(history: DataFrame, rows: int = 200) -> DataFrame:
+    """The newest rows of the history, newest first; the number is the feature."""
+    return history.orderBy(F.col("seq").desc()).limit(rows)
 
 
-def load_memory(spark: SparkSession, path: str, version: int, names: list[str]) -> dict[str, DataFrame]:
-    """S14."""
-    return {n: spark.read.schema(memory.schema_of(n)).parquet(f"{path}/version={version}/{n}") for n in names}
+def source_counters(sources: DataFrame, seen: DataFrame, lines: DataFrame, articles: DataFrame | None = None) -> DataFrame:
+    """A4: for each source (origin) of a cycle: messages read and seen before, priced lines, articles of lists."""
+    out = sources.groupBy(F.col("origin").alias("origen")).agg(F.count_if(F.col("kind") != "lista").alias("messages"))
+    again = seen.groupBy(F.col("origin").alias("origen")).agg(F.count("*").alias("again"))
+    priced = lines.groupBy("origen").agg(F.count_if(F.col("tipo") == "costo").alias("prices"), F.countDistinct("huella").alias("read"))
+    out = out.join(again, "origen", "left").join(priced, "origen", "full")
+    listed = articles.groupBy("origen").agg(F.count("*").alias("articles")) if articles is not None else None
+    out = out.join(listed, "origen", "full") if listed is not None else out.withColumn("articles", F.lit(0).cast("long"))
+    return out.select("origen", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("messages", "again", "read", "prices", "articles")))
 
 
 def control_order(df: DataFrame) -> DataFrame:

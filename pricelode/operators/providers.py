@@ -1,13 +1,14 @@
-"""Supplier cards, product lookup by typed name, review cards, counts."""
+"""Supplier cards, product lookup by typed name, review cards, counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelode.constants import TAX_SORT
+from pricelode.constants import PER_PRODUCT, TAX_SORT
 from pricelode.functions.numbers import option_rates
 from pricelode.functions.text import normalize
+from pricelode.operators import memory
 from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import first_per, top_per
 
@@ -37,6 +38,35 @@ def find_products(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     return top_per(exact.unionByName(same), ["asked"], [F.col("way"), F.col("seq")]).select("asked", "referencia")
 
 
+def register(asked: DataFrame, cards: DataFrame) -> DataFrame:
+    """M8: the cards with those of typed names (asked, tipo) that no card is like; a known card without a kind takes the new one."""
+    tidy = asked.select(F.trim(F.regexp_replace("asked", r"\s+", " ")).alias("asked"), "tipo").filter("asked <> ''")
+    known = find_cards(tidy, cards)
+    kinds = tidy.join(known, "asked").filter("tipo <> ''").groupBy("nombre").agg(F.min("tipo").alias("_tipo"))
+    old = cards.join(kinds, "nombre", "left").withColumn("tipo", F.when(F.col("tipo") == "", F.coalesce("_tipo", F.lit(""))).otherwise(F.col("tipo"))).select(cards.columns)
+    new = tidy.join(known, "asked", "left_anti").groupBy(normalize("asked").alias("_key")).agg(F.min("asked").alias("nombre"), F.max("tipo").alias("tipo"))
+    blank = {c: F.lit("") for c in ("alias", "iva_lista", "nota")}
+    new = new.select(F.row_number().over(Window.orderBy("nombre")).cast("long").alias("seq"), "nombre", "tipo", F.lit("fijo").alias("margen"), *(v.alias(c) for c, v in blank.items()))  # names typed at once
+    return memory.append(old, new.select(cards.columns))
+
+
+def set_tax(asked: DataFrame, cards: DataFrame, taxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M9: cards and tax rules after typed names (asked, iva_lista) said how their prices come; other words change nothing."""
+    rate, per, extra, included = option_rates(F.col("iva_lista"))
+    said = asked.filter(per.isNotNull())
+    cards = register(said.select("asked", F.lit("").alias("tipo")), cards)
+    named = find_cards(said.select("asked"), cards).join(said, "asked").groupBy("nombre").agg(F.max("iva_lista").alias("_iva"))
+    new_cards = cards.join(named, "nombre", "left").withColumn("iva_lista", F.coalesce("_iva", "iva_lista")).select(cards.columns)
+    word = F.when(per, PER_PRODUCT).otherwise(rate.cast("string"))
+    rules = named.withColumnRenamed("_iva", "iva_lista").select(
+        F.row_number().over(Window.orderBy("nombre")).cast("long").alias("seq"), F.lit("proveedor").alias("ambito"), F.col("nombre").alias("clave"), word.alias("iva"), extra.cast("string").alias("percepcion"),
+        F.lit("según la ficha del proveedor").alias("nota"), F.when(included, "si").otherwise("").alias("incluido"),
+    )
+    keys = rules.select(normalize("clave").alias("_key"))
+    old = taxes.withColumn("_key", F.when(F.col("ambito") == "proveedor", normalize("clave"))).join(keys, "_key", "left_anti").select(taxes.columns)
+    return new_cards, memory.append(old, rules.select(taxes.columns))
+
+
 def supplier_list(cards: DataFrame) -> DataFrame:
     """Cards with their aliases apart, margin fijo where none is named, in order of names."""
     alias = F.filter(F.transform(F.split("alias", r"\|"), lambda x: F.trim(x)), lambda x: x != "")

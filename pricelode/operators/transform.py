@@ -18,12 +18,12 @@ def tax_rules(taxes: DataFrame, suppliers: DataFrame, nicknames: DataFrame) -> D
     key, rate (null: per product), surcharge, included, seq."""
     written = taxes.filter("ambito = 'proveedor'").select("seq", normalize("clave").alias("key"), F.col("iva").alias("word"), F.expr("coalesce(try_cast(percepcion as double), 0)").alias("surcharge"), (F.col("incluido") == "si").alias("included"))
     rate, per, _, _ = option_rates(F.col("iva_lista"))
-    cards = suppliers.filter(F.col("iva_lista").startswith("incluido")).select((F.col("seq") + 10**6).alias("seq"), normalize("nombre").alias("key"), F.when(per, K.PER_PRODUCT).otherwise(rate.cast("string")).alias("word"), F.lit(0.0).alias("surcharge"), F.lit(True).alias("included"))
+    cards = suppliers.filter(F.col("iva_lista").startswith("incluido")).select((F.col("seq") + 2**40).alias("seq"), normalize("nombre").alias("key"), F.when(per, K.PER_PRODUCT).otherwise(rate.cast("string")).alias("word"), F.lit(0.0).alias("surcharge"), F.lit(True).alias("included"))
     known = first_per(written.unionByName(cards.filter("word is not null")), ["key"])
     groups = nicknames.select(F.array("alias", "proveedor").alias("names")).unionByName(suppliers.select(F.concat(F.array("nombre"), F.filter(F.transform(F.split("alias", r"\|"), lambda x: F.trim(x)), lambda x: x != "")).alias("names")))
     numbered = groups.withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("names").alias("raw")).select("g", normalize("raw").alias("key")).filter("key <> ''")
     rule = first_per(numbered.join(known, "key").select("g", "word", "surcharge", "included", "seq"), ["g"])
-    other = numbered.join(rule, "g").join(known.select("key"), "key", "left_anti").withColumn("seq", F.col("seq") + 2 * 10**6).select("seq", "key", "word", "surcharge", "included")
+    other = numbered.join(rule, "g").join(known.select("key"), "key", "left_anti").withColumn("seq", F.col("seq") + 2**41).select("seq", "key", "word", "surcharge", "included")
     every = first_per(known.unionByName(other), ["key"])
     return every.select("key", F.expr("try_cast(word as double)").alias("rate"), "surcharge", "included", "seq")
 

@@ -36,6 +36,22 @@ def other_changes(expected: DataFrame, before: DataFrame, after: DataFrame) -> D
     return both.filter(F.abs(F.col("was") - F.col("now")) > CENT).join(expected.select("id"), "id", "left_anti")
 
 
+def totals(checked: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """A10: one row: how many costs were taken, of how many; products before and after; new ones; and whether all is well."""
+    own = checked.agg(F.count_if(F.col("state") == "ok").alias("ok"), F.count("*").alias("total"))
+    fresh = new_products(before, after).agg(F.count("*").alias("new"))
+    sizes = before.agg(F.count("*").alias("before")).crossJoin(after.agg(F.count("*").alias("after")))
+    out = own.crossJoin(sizes).crossJoin(fresh)  # one row each
+    return out.withColumn("all_well", (F.col("total") > 0) & (F.col("ok") == F.col("total")) & (F.col("new") == 0))
+
+
+def checked_history(history: DataFrame, found: DataFrame, key: str = "referencia") -> DataFrame:
+    """Generated rows of the history take the state that the check found (key, found); others stay as they are."""
+    out = history.join(found.select(key, "found"), key, "left")
+    state = F.when(F.col("estado") == "generado", F.coalesce("found", "estado")).otherwise(F.col("estado"))
+    return out.withColumn("estado", state).select(history.columns)
+
+
 def gate(table: DataFrame) -> DataFrame:
     """K2: violations of an import table (id, standard_price), as counts; all zero lets it pass."""
     repeated = table.groupBy("id").agg(F.count("*").alias("n"))

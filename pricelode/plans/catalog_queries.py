@@ -173,13 +173,13 @@ def q36_vat_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(first, "p_brand").select("p_brand", "n", F.lit(True).alias("ok"), F.array_join("x", " | ").alias("examples"))
 
 
-@query("""select 'old' as origin, p_partkey as id, p_name as name, null::varchar as note from part where p_size < 10
-union all by name select 'new' as origin, p_partkey as id, 'n' as note from part where p_size > 45""")
+@query("""select 'old' as origin, p_partkey as id, p_name as name, null::varchar as note from part where p_size <= 25
+union all by name select 'new' as origin, p_partkey as id, 'n' as note from part where p_size > 25""")
 def q41_union_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables with different columns, one under the other."""
     p = table(spark, sf_dir, "part")
-    old = p.filter("p_size < 10").select(F.lit("old").alias("origin"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    new = p.filter("p_size > 45").select(F.lit("new").alias("origin"), F.col("p_partkey").alias("id"), F.lit("n").alias("note"))
+    old = p.filter("p_size <= 25").select(F.lit("old").alias("origin"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    new = p.filter("p_size > 25").select(F.lit("new").alias("origin"), F.col("p_partkey").alias("id"), F.lit("n").alias("note"))
     return old.unionByName(new, allowMissingColumns=True)
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pricelode import constants as K
 from pricelode.functions.numbers import case_suggested, money, unchanged, variation
-from pricelode.functions.text import code_key, corrected_size, fingerprint, normalize, row_key
-from pricelode.operators import classify, matching, memory, transform
+from pricelode.functions.text import code_key, fingerprint, normalize, normalize_quoted, row_key, with_size
+from pricelode.operators import classify, matching, memory, output, providers, transform
 from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import first_per, latest_value, winners
 from pricelode.sources.messages import read_messages
@@ -43,8 +43,7 @@ class Store:
             out = memory.upsert_codes(old, new)
         else:
             out = memory.insert_absent(old, new, keys) if absent else memory.upsert(old, new, keys)
-        # memory tables are decisions of people: a few thousand rows; a snapshot cuts their lineage
-        self.tables[name] = self.spark.createDataFrame(out.collect(), memory.schema_of(name))
+        self.tables[name] = kept(out, f"memory_{name}")
 
     def setting(self, key: str) -> str:
         row = self.read("ajustes").filter(F.col("clave") == key).orderBy(F.col("seq").desc()).first()
@@ -63,8 +62,8 @@ def provider_index(catalog: DataFrame, nicknames: DataFrame) -> DataFrame:
     return nick.unionByName(first.join(nick.select("key"), "key", "left_anti"))
 
 
-def message_lines(sources: DataFrame, index: DataFrame, store: Store, forced: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Steps 3 and 4: new messages to lines and notes; what was processed isn't parsed again."""
+def message_lines(sources: DataFrame, index: DataFrame, store: Store, forced: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps 3 and 4: new messages to lines and notes, and the messages that were seen before; what was processed isn't parsed again."""
     spark = store.spark
     done = store.read("procesados").select("huella").distinct()
     again = spark.createDataFrame([(h,) for h in forced], "huella string")
@@ -85,14 +84,14 @@ def message_lines(sources: DataFrame, index: DataFrame, store: Store, forced: li
     lines = _shaped(parsed, about)
     notes = rows.filter("note").select(F.col("supplier").alias("proveedor"), F.col("what").alias("nota"), F.col("line").alias("linea"), "huella", F.col("origin").alias("origen"))
     old = seen.select(F.col("supplier").alias("proveedor"), F.lit("ya procesado: son los mismos precios").alias("nota"), F.substring("text", 1, 120).alias("linea"), "huella", F.col("origin").alias("origen"))
-    return lines, notes.unionByName(old)
+    return lines, notes.unionByName(old), seen
 
 
 def _shaped(parsed: DataFrame, about: DataFrame) -> DataFrame:
     rows = parsed.filter("not note").join(about, "source_id")
     source = F.when(F.col("source_kind") == "texto", F.col("block")).otherwise(F.col("sender"))
     return rows.select(
-        (F.col("source_id") * 1_000_000 + F.col("line_no")).alias("line_id"), F.col("supplier").alias("proveedor"), F.col("block").alias("proveedor_bloque"), "description", F.col("cost").alias("price"),
+        (F.shiftleft("source_id", 31) + F.col("line_no")).alias("line_id"), F.col("supplier").alias("proveedor"), F.col("block").alias("proveedor_bloque"), "description", F.col("cost").alias("price"),
         F.coalesce("month", F.lit("")).alias("mes"), "line", source.alias("fuente"), F.col("origin").alias("origen"), "huella", "source_order", F.col("kind").alias("tipo"), F.lit("").alias("codigo"), F.lit(False).alias("es_lista"),
     )
 
@@ -110,7 +109,8 @@ def matched(lines: DataFrame, catalog: DataFrame, store: Store, bridge: DataFram
     ignored = kept(matching.ignored(asked, keys, store.read("ignorar"), words).groupBy("supplier", "text").agg(F.min("reason").alias("reason")), "ignored")
     alias = kept(matching.alias_matches(asked, keys, store.read("alias"), catalog, words).groupBy("supplier", "text").agg(F.array_sort(F.collect_set("referencia")).alias("refs")), "aliases")
     scoped = rows.select("scope", F.col("description").alias("text")).unionByName(rows.select(F.col("block_scope").alias("scope"), F.col("description").alias("text"))).distinct()
-    best = kept(matching.same_named(matching.candidates(scoped, keys, bridge, catalog)), "best")
+    near = kept(matching.candidates(scoped, keys, bridge, catalog), "near")
+    best = kept(matching.same_named(near).join(matching.alternatives(near, catalog), ["scope", "text"], "left"), "best")
     terms = kept(matching.general_terms(scoped, keys, bridge, catalog), "terms")
     codes = matching.code_matches(rows.select("line"), catalog).withColumnRenamed("referencia", "code_ref")
 
@@ -129,11 +129,11 @@ def matched(lines: DataFrame, catalog: DataFrame, store: Store, bridge: DataFram
     reason = F.coalesce("reason_i1", "reason_i2")
     refs = F.coalesce("refs_a1", "refs_a2")
     second = (F.coalesce("name_score_n1", F.lit(-1.0)) < K.AUTO_SCORE) & (F.coalesce("name_score_n2", F.lit(-1.0)) > F.coalesce("name_score_n1", F.lit(-1.0)))
-    name_ref, score, twin, options = (F.when(second, F.col(f"{c}_n2")).otherwise(F.col(f"{c}_n1")) for c in ("name_ref", "name_score", "twin", "options"))
+    name_ref, score, twin, options, others = (F.when(second, F.col(f"{c}_n2")).otherwise(F.col(f"{c}_n1")) for c in ("name_ref", "name_score", "twin", "options", "alternativas"))
     score = F.when(twin, F.least(score, F.lit(K.AUTO_SCORE - 1.0))).otherwise(score)
-    out = out.withColumn("reason", reason).withColumn("refs", refs).withColumn("name_ref", name_ref).withColumn("by_name", score).withColumn("options", options)
+    out = out.withColumn("reason", reason).withColumn("refs", refs).withColumn("name_ref", name_ref).withColumn("by_name", score).withColumn("options", options).withColumn("alternativas", F.coalesce(others, F.lit("")))
     out = out.withColumn("moved", (F.col("refs_a1").isNull() & F.col("refs_a2").isNotNull()) | (F.col("refs").isNull() & F.col("code_ref").isNull() & F.coalesce(second, F.lit(False))))
-    out = kept(out.select(*rows.columns, "reason", "refs", "name_ref", "by_name", "options", "code_ref", "moved"), "answers")
+    out = kept(out.select(*rows.columns, "reason", "refs", "name_ref", "by_name", "options", "alternativas", "code_ref", "moved"), "answers")
     notice = F.col("tipo").isin("faltante", "sin cambio")
     listed = out.filter(F.col("reason").isNull() & notice).join(terms.withColumnsRenamed({"scope": "_s", "text": "_t", "referencia": "term_ref", "score": "term_score"}), (F.col("scope") == F.col("_s")) & (F.col("description") == F.col("_t"))).drop("_s", "_t")
     rest = out.join(listed.select("line_id").distinct(), "line_id", "left_anti")
@@ -145,7 +145,7 @@ def matched(lines: DataFrame, catalog: DataFrame, store: Store, bridge: DataFram
     state = F.when(F.col("reason").isNotNull(), "ignorado").when(ref.isNull() | (points < K.DOUBTFUL_SCORE), "sin match").when(points >= K.AUTO_SCORE, "ok").otherwise("revisar")
     single = exploded.withColumn("several", many).withColumn("referencia", F.when(state != "sin match", ref)).withColumn("score", F.rint(points).cast("int")).withColumn("via", via).withColumn("state", state)
     notices = listed.withColumn("several", F.lit(True)).withColumn("referencia", F.col("term_ref")).withColumn("score", F.rint("term_score").cast("int")).withColumn("via", F.lit("término general")).withColumn("state", F.lit("aviso"))
-    columns = [*lines.columns, "supplier_key", "sender_key", "moved", "several", "referencia", "score", "via", "state", "options"]
+    columns = [*lines.columns, "supplier_key", "sender_key", "moved", "several", "referencia", "score", "via", "state", "options", "alternativas"]
     found = single.select(columns).unionByName(notices.select(columns)).join(product, "referencia", "left")
     conflict = matching.size_conflict(F.col("description"), F.coalesce("nombre_odoo", F.lit("")), words)
     return found.withColumn("desajuste", F.when(F.col("several") | F.col("referencia").isNull(), "").otherwise(conflict))
@@ -262,8 +262,7 @@ def classified(rows: DataFrame, catalog: DataFrame, store: Store, approved: list
     ready = ranked.filter("place = 1").drop("place", "win_clave_renglon", "win_line", "win_costo_nuevo", "win_origen")
     losers = ranked.filter("place > 1").drop("place").withColumn("alerta", F.lit("otro renglón matcheó el mismo producto con más confianza"))
     asked = costs.filter(~good & (F.col("state") != "sin cambio")).unionByName(losers, allowMissingColumns=True)
-    rename = F.udf(corrected_size, "string")  # a handful of rows
-    sized = costs.filter("desajuste <> ''").withColumn("nombre_corregido", F.when(F.col("ok_rename"), rename("description", "nombre_odoo")).otherwise(""))
+    sized = costs.filter("desajuste <> ''").withColumn("nombre_corregido", F.when(F.col("ok_rename"), with_size(F.col("nombre_odoo"), normalize_quoted(store.abbreviations())("description"))).otherwise(""))
     turn = store.read("rotaciones").select("grupo", F.trim("referencia").alias("referencia")).join(first_per(catalog, ["referencia"]).select("referencia", "publicado", "id_externo", "nombre_completo"), "referencia")
     named = d.filter("referencia is not null").select("referencia").distinct()
     rotation = classify.rotation(turn.join(named.withColumn("_m", F.lit(True)), "referencia", "left"), "grupo", F.col("publicado"), F.col("_m")).drop("_m")
@@ -279,19 +278,23 @@ def run_cycle(catalog: DataFrame, store: Store, sources: DataFrame, articles: Da
     net = store.setting("costo_sin_iva") == "si"
     index = provider_index(catalog, store.read("proveedor_alias"))
     index = kept(index, "index")
-    lines, notes = message_lines(sources, index, store, list(forced))
+    lines, notes, seen = message_lines(sources, index, store, list(forced))
     lines = kept(lines.withColumn("price", money(F.col("price") * factor) if factor != 1 else F.col("price")), "lines")
     suppliers = lines.select(normalize("proveedor").alias("name")).unionByName(lines.select(normalize("proveedor_bloque").alias("name")))
     suppliers = suppliers.unionByName(catalog.select(F.col("clave_prov").alias("name"))).unionByName(index.select(normalize("canonical").alias("name")))
     if articles is not None:
+        # D3: a row that a list repeats as it stands says nothing new
+        articles = first_per(articles, ["fuente", "origen", "code", "description", "price"], "line_id")
         articles = articles.withColumn("price", money(F.col("price") * factor) if factor != 1 else F.col("price"))
         suppliers = suppliers.unionByName(articles.select(normalize("brand").alias("name"))).unionByName(articles.select(normalize("proveedor_bloque").alias("name")))
     bridge = kept(matching.scopes(suppliers.distinct(), catalog), "scopes")
     rows = matched(lines, catalog, store, bridge).withColumn("precio_bulto", F.lit(None).cast("double")).withColumn("units", F.lit(None).cast("int"))
     if articles is not None:
-        rows = rows.unionByName(matched_list(articles, catalog, store, bridge, index))
+        rows = rows.unionByName(matched_list(articles, catalog, store, bridge, index), allowMissingColumns=True)
     rows = kept(costed(kept(rows, "matched"), store, net), "costed")
     out = classified(rows, catalog, store, list(approved), list(skipped), list(source_ok))
+    out["control"] = output.control(out, providers.variable_margin(store.read("proveedores")))
+    out["fuentes"] = output.source_counters(sources, seen, lines, articles)
     return out | {"notas": notes, "huellas": lines.select("fuente", "huella", "origen").filter("fuente <> ''").distinct()}
 
 
@@ -308,8 +311,51 @@ def history_rows(result: dict[str, DataFrame], day: str) -> DataFrame:
     return result["listos"].select(*columns, F.lit("generado").alias("estado")).unionByName(same.select(*columns, F.lit("sin cambio").alias("estado")))
 
 
-def decide(store: Store, row: dict, action: str, answer: str = "") -> None:
-    """2.14: what a person's answer to a row does to the memory."""
+@dataclass
+class Answers:
+    """What was answered for this cycle alone: arguments of :func:`run_cycle`, kept as rows of a table between its runs."""
+
+    approved: set[tuple[str, str]] = field(default_factory=set)
+    skipped: set[str] = field(default_factory=set)
+    source_ok: set[tuple[str, str]] = field(default_factory=set)
+    forced: set[str] = field(default_factory=set)
+
+    def take(self, action: str, row: dict) -> bool:
+        """Whether the action is one of this cycle: forzar (a message again), aprobar, fuente_ok, saltar, and restaurar, which takes a skip back."""
+        if action == "forzar":
+            self.forced.add(row["huella"])
+        elif action == "aprobar":
+            self.approved.add((row["clave_renglon"], row["referencia"]))
+        elif action == "fuente_ok":
+            self.source_ok.add((row["clave_renglon"], row["referencia"]))
+        elif action == "saltar":
+            self.skipped.add(row["clave_renglon"])
+        elif action == "restaurar":
+            self.skipped.discard(row["clave_renglon"])
+        else:
+            return False
+        return True
+
+    def arguments(self) -> dict[str, list]:
+        return {k: sorted(getattr(self, k)) for k in ("approved", "skipped", "source_ok", "forced")}
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The answers as a table (kind, key, ref), to be kept with the cycle."""
+        flat = [(k, *(x if isinstance(x, tuple) else (x, ""))) for k, xs in self.arguments().items() for x in xs]
+        return spark.createDataFrame(flat, "kind string, key string, ref string")
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Answers:
+        out = cls()
+        for kind, key, ref in table.select("kind", "key", "ref").collect():  # what people answered in one cycle
+            getattr(out, kind).add((key, ref) if kind in ("approved", "source_ok") else key)
+        return out
+
+
+def decide(store: Store, row: dict, action: str, answer: str = "", answers: Answers | None = None) -> None:
+    """2.14: what a person's answer to a row does to the memory, or, for this cycle alone, to ``answers``."""
+    if answers is not None and answers.take(action, row):
+        return
     if action in ("elegir", "preferir"):
         if row["es_lista"] and row["codigo"]:
             store.put("codigos_proveedor", [{"proveedor": row["proveedor_bloque"], "codigo_proveedor": row["codigo"], "descripcion_proveedor": row["description"], "referencia_odoo": answer, "unidades": ""}], ["proveedor", "codigo_proveedor"])
@@ -317,6 +363,10 @@ def decide(store: Store, row: dict, action: str, answer: str = "") -> None:
             store.put("alias", [{"texto": row["description"], "referencia": answer, "proveedor": row["proveedor"]}], ["texto", "proveedor"])
     elif action == "bulto":
         store.put("codigos_proveedor", [{"proveedor": row["proveedor_bloque"], "codigo_proveedor": row["codigo"], "descripcion_proveedor": row["description"], "referencia_odoo": row["referencia"], "unidades": answer}], ["proveedor", "codigo_proveedor"])
+    elif action == "iva_proveedor":
+        asked = store.spark.createDataFrame([(row["proveedor_bloque"] or row["proveedor"], answer)], "asked string, iva_lista string")
+        cards, taxes = providers.set_tax(asked, store.read("proveedores"), store.read("impuestos"))
+        store.tables["proveedores"], store.tables["impuestos"] = kept(cards, "memory_proveedores"), kept(taxes, "memory_impuestos")
     elif action == "iva_producto":
         store.put("impuestos", [{"ambito": "referencia", "clave": row["referencia"], "iva": answer, "percepcion": "0"}], ["ambito", "clave"])
     elif action in ("gramaje", "presentacion", "variacion"):

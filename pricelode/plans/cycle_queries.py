@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelode.functions import numbers as N
-from pricelode.operators import classify, memory, verify
+from pricelode.functions.text import joined_letters, normalize_quoted, with_size
+from pricelode.operators import classify, memory, output, verify
 from pricelode.operators.ordering import latest_value, winners
 from pricelode.plans.registry import query, table
 
@@ -19,13 +20,13 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("k") == F.col("o_orderkey")).drop("o_orderkey")
 
 
-@query("""with r as (select l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, cast(round_even(l_extendedprice * 100, 0) as bigint) c from lineitem where l_returnflag = 'A'),
+@query("""with r as (select l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, cast(round_even(l_extendedprice * 100, 0) as bigint) c from lineitem),
 w as (select *, row_number() over (partition by l_partkey order by l_quantity desc, l_orderkey desc, l_linenumber, l_suppkey, c) place, first_value(l_suppkey) over (partition by l_partkey order by l_quantity desc, l_orderkey desc, l_linenumber, l_suppkey, c) win_l_suppkey,
  first_value(c) over (partition by l_partkey order by l_quantity desc, l_orderkey desc, l_linenumber, l_suppkey, c) win_cost from w0)
 select l_partkey, l_orderkey, l_linenumber, l_suppkey, c as cost, place, win_l_suppkey, win_cost from w""".replace("w as (select *,", "w0 as (select * from r), w as (select *,"))
 def q16_winner_loser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row wins a product; the others say who won."""
-    rows = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").withColumn("cost", N.cents(F.col("l_extendedprice")))
+    rows = table(spark, sf_dir, "lineitem").withColumn("cost", N.cents(F.col("l_extendedprice")))
     order = [F.col("l_quantity").desc(), F.col("l_orderkey").desc(), F.col("l_linenumber"), F.col("l_suppkey"), F.col("cost")]
     out = winners(rows.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "cost"), "l_partkey", order, ["l_suppkey", "cost"])
     return out.drop("l_quantity")
@@ -111,10 +112,62 @@ def q35_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 select o.o_orderkey, case when o.o_orderstatus = 'F' then coalesce(v.state, 'generado') else 'sin cambio' end as state from orders o left join v on v.o_orderkey = o.o_orderkey""")
 def q38_history_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one generation take the state that the check found."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    found = orders.filter("o_orderstatus = 'F' and o_orderkey % 4 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "verificado").otherwise("no se aplicó").alias("found"))
-    state = F.when(F.col("o_orderstatus") == "F", F.coalesce("found", F.lit("generado"))).otherwise("sin cambio")
-    return orders.join(found, "o_orderkey", "left").select("o_orderkey", state.alias("state"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "generado").otherwise("sin cambio").alias("estado"))
+    found = orders.filter("estado = 'generado' and o_orderkey % 4 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "verificado").otherwise("no se aplicó").alias("found"))
+    return verify.checked_history(orders, found, "o_orderkey").select("o_orderkey", F.col("estado").alias("state"))
+
+
+@query(f"""with {EXPORTS}, c as (select e.id, case when abs(a.cost - e.cost) <= 0.01 then 1 else 0 end ok from e left join a on a.id = e.id)
+select (select cast(sum(ok) as bigint) from c) as ok, (select count(*) from c) as total, (select count(*) from b) as "before", (select count(*) from a) as "after", (select count(*) from a where not exists (select 1 from b where b.id = a.id)) as "new",
+ (select sum(ok) = count(*) from c) and (select count(*) from a where not exists (select 1 from b where b.id = a.id)) = 0 as all_well""")
+def q50_verify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: the check's totals."""
+    expected, before, after = exports(spark, sf_dir)
+    return verify.totals(verify.verify(expected, before, after), before, after)
+
+
+@query("""with h as (select o_orderkey as seq, cast(cast(o_orderdate as date) as varchar) as fecha, case when o_orderkey % 5 = 0 then 'sin cambio' else 'generado' end as estado from orders)
+select seq, fecha from h where estado = 'generado' and fecha = (select max(fecha) from h where estado = 'generado')""")
+def q51_last_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last generation sent."""
+    history = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").cast("string").alias("fecha"), F.when(F.col("o_orderkey") % 5 == 0, "sin cambio").otherwise("generado").alias("estado"))
+    return output.last_import(history).select("seq", "fecha")
+
+
+@query("""select o_orderkey as seq, cast(cast(o_orderdate as date) as varchar) as fecha from orders order by o_orderkey desc limit 200""")
+def q52_history_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows of the history; the number is the feature."""
+    history = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.to_date("o_orderdate").cast("string").alias("fecha"))
+    return output.history_tail(history, 200)
+
+
+@query("""with s as (select 'f' || (o_custkey % 50) as origen, o_orderkey, o_orderstatus from orders), l as (select 'f' || (o_custkey % 50) as origen, count(*) filter (where l_returnflag <> 'N') as prices, count(distinct o_orderkey) as rd from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus <> 'P' group by 1),
+c as (select 'f' || (c_custkey % 50) as origen, count(*) as articles from customer group by 1)
+select coalesce(s.origen, l.origen, c.origen) as origen, coalesce(messages, 0) as messages, coalesce(again, 0) as again, coalesce(rd, 0) as "read", coalesce(prices, 0) as prices, coalesce(articles, 0) as articles
+from (select origen, count(*) as messages, count(*) filter (where o_orderstatus = 'P') as again from s group by 1) s full join l on l.origen = s.origen full join c on c.origen = coalesce(s.origen, l.origen)""")
+def q53_cycle_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: messages, priced lines and articles of each source."""
+    origin = lambda k: F.concat(F.lit("f"), F.col(k) % 50)
+    orders = table(spark, sf_dir, "orders").withColumn("origin", origin("o_custkey")).withColumn("kind", F.lit("planilla"))
+    lines = table(spark, sf_dir, "lineitem").join(orders.filter("o_orderstatus <> 'P'"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("origin").alias("origen"), F.col("o_orderkey").alias("huella"), F.when(F.col("l_returnflag") == "N", "faltante").otherwise("costo").alias("tipo"))
+    articles = table(spark, sf_dir, "customer").select(origin("c_custkey").alias("origen"))
+    return output.source_counters(orders, orders.filter("o_orderstatus = 'P'"), lines, articles)
+
+
+@query("""select p_partkey, 'item ' || (p_partkey % 90 + 10) || ' g ' || p_brand as renamed from part""")
+def q54_renamed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product's size in its name gives way to the quote's."""
+    p = table(spark, sf_dir, "part")
+    name, quoted = F.concat(F.lit("item 500 gr. "), "p_brand"), F.concat(F.lit("Algo x "), F.col("p_partkey") % 90 + 10, F.lit(" grs"))
+    return p.select("p_partkey", F.regexp_replace(with_size(name, normalize_quoted([])(quoted)), r"g\. ", "g ").alias("renamed"))
+
+
+@query("""select p_partkey, 'Snacks de verdura ' || p_name as line, case when p_partkey % 3 = 0 then '1' || p_partkey || ',50' when p_partkey % 3 = 1 then 7000 + p_partkey || '' else '' end as price from part""")
+def q55_list_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spaced-out letters, and the price in a cell that the page split."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    cell = F.when(k % 3 == 0, F.concat(F.lit("3 tapas x 12 un. $1 "), k, F.lit(",50"))).when(k % 3 == 1, F.concat(F.lit("a "), (7000 + k).cast("string"))).otherwise("sin precio")
+    return p.select("p_partkey", joined_letters(F.concat(F.lit("S n a c k s de verdu R ra "), "p_name")).alias("line"), N.price_in_cell(cell).alias("price"))
 
 
 @query("""with new as (select s_suppkey as k, 'new ' || s_name as v from supplier where s_suppkey % 2 = 0 union all select s_suppkey + 1000000000, s_name from supplier where s_suppkey % 5 = 0),
@@ -151,8 +204,8 @@ select o_orderkey, cast(case when date_diff('day', dt, as_of) > 60 then date_dif
 def q42_stale_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The age warning of lists, from a given day."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    as_of = orders.agg(F.max("day")).first()[0]
-    return orders.select("o_orderkey", N.stale_months(F.col("day"), F.lit(as_of)).cast("long").alias("months_old"))
+    as_of = orders.agg(F.max("day").alias("as_of"))  # one row
+    return orders.crossJoin(F.broadcast(as_of)).select("o_orderkey", N.stale_months(F.col("day"), F.col("as_of")).cast("long").alias("months_old"))
 
 
 @query("""select coalesce(l_returnflag, 'all') as flag, coalesce(l_linestatus, 'all') as status, count(*) as n, cast(sum(cast(round_even(l_extendedprice * 100, 0) as bigint)) as bigint) as total_cents from lineitem group by cube (l_returnflag, l_linestatus)""")

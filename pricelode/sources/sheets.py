@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelode.constants import CHECKED_WORDS
-from pricelode.functions.fuzzy import token_set_ratio
 from pricelode.functions.text import bare, normalize
+from pricelode.operators.alike import name_pairs
 from pricelode.sources.office import sheet_headers
 
 
@@ -65,9 +65,7 @@ def download(link: str, opener: Callable[[str], bytes]) -> bytes:
 
 
 def missing_lists(expected: DataFrame, loaded: DataFrame, cut: float = 90) -> DataFrame:
-    """Expected suppliers (supplier) without a loaded list (supplier); loaded lists of one cycle are few."""
-    e = expected.withColumn("_e", normalize("supplier"))
-    names = F.broadcast(loaded.select(normalize("supplier").alias("_l")).distinct().agg(F.collect_set("_l").alias("_all")))
-    pairs = e.join(names, F.lit(True), "left").withColumn("_l", F.explode_outer("_all"))
-    best = pairs.groupBy("supplier").agg(F.max(token_set_ratio(F.col("_e"), F.coalesce("_l", F.lit("")))).alias("_best"))
-    return best.filter(F.col("_best") < cut).select("supplier")
+    """Expected suppliers (supplier) without a loaded list (supplier)."""
+    e = expected.select("supplier", normalize("supplier").alias("_e"))
+    pairs = name_pairs(e.select(F.col("_e").alias("name")), loaded.select(normalize("supplier").alias("name")), "set", cut)
+    return e.join(pairs, e["_e"] == pairs["l"], "left_anti").select("supplier").distinct()

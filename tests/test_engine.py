@@ -260,6 +260,39 @@ def test_verify(spark):
         verify.refuse_bad(spark.createDataFrame([("no id", 1.0)], "id string, standard_price double"))
 
 
+def test_suppliers_register_and_say_their_tax(spark):
+    from pricelode.operators import providers
+
+    cards = memory.aligned(spark.createDataFrame([(0, "La Quesera", "LQ", "", "", "fijo", "")], "seq long, nombre string, alias string, tipo string, iva_lista string, margen string, nota string"), "proveedores")
+    asked = spark.createDataFrame([("lq", "lista"), ("Don  Tito", "mensaje"), ("don tito", "")], "asked string, tipo string")
+    got = {r["nombre"]: r["tipo"] for r in providers.register(asked, cards).collect()}
+    assert got["La Quesera"] == "lista" and len(got) == 2 and got[next(k for k in got if k.lower() == "don tito")] == "mensaje"
+    taxes = memory.aligned(spark.createDataFrame([(0, "proveedor", "la quesera", "0.105", "0", "", "")], "seq long, ambito string, clave string, iva string, percepcion string, nota string, incluido string"), "impuestos")
+    said = spark.createDataFrame([("La Quesera", "21+3"), ("Nuevo", "mixto"), ("Otro", "nada")], "asked string, iva_lista string")
+    new_cards, rules = providers.set_tax(said, cards, taxes)
+    assert {r["nombre"]: r["iva_lista"] for r in new_cards.collect()} == {"La Quesera": "21+3", "Nuevo": "mixto"}
+    assert {r["clave"]: (r["iva"], r["percepcion"]) for r in rules.collect()} == {"La Quesera": ("0.21", "0.03"), "Nuevo": (K.PER_PRODUCT, "0.0")}
+
+
+def test_answers_of_a_cycle(spark, store):
+    answers = cycle.Answers()
+    row = {"huella": "h", "clave_renglon": "k", "referencia": "R"}
+    for action in ("forzar", "aprobar", "fuente_ok", "saltar"):
+        cycle.decide(store, row, action, answers=answers)
+    assert answers.arguments() == {"approved": [("k", "R")], "skipped": ["k"], "source_ok": [("k", "R")], "forced": ["h"]}
+    assert cycle.Answers.of(answers.rows(spark)).arguments() == answers.arguments()
+    cycle.decide(store, row, "restaurar", answers=answers)
+    assert answers.arguments()["skipped"] == []
+
+
+def test_export_file(spark, tmp_path):
+    from pricelode.sources import exports
+
+    (tmp_path / "e.csv").write_text('id,name,default_code,standard_price,product_tag_ids\nx.1,"A ""doble"" - B - C",,"1.234,50",t1\n,,,,t2\n', encoding="utf-8")
+    got = C.build_catalog(exports.read_csv(spark, str(tmp_path / "e.csv"))).collect()
+    assert [(r["referencia"], r["costo_actual"], r["etiquetas"], r["nombre_completo"]) for r in got] == [("x.1", 1234.5, "t1; t2", 'A "doble" - B - C')]
+
+
 def test_cycle(spark, shop, store):
     store.put("alias", [{"texto": "Prepizzas", "referencia": "DUL001", "proveedor": "Dulces del Sur"}, {"texto": "c/miel", "referencia": "PAS002", "proveedor": "Pastas Río"}])
     store.put("reglas_proveedor", [{"proveedor": "Embutidos Sierra", "cotiza_por": "kilo"}])
@@ -274,6 +307,9 @@ def test_cycle(spark, shop, store):
     verify.refuse_bad(table.select("id", "standard_price"))
     assert table.columns == ["id", "default_code", "name", "standard_price"] and table.count() == 3
     assert cycle.history_rows(got, "2026-01-01").count() == 3
+    look = {r["referencia"]: r for r in got["control"].collect()}
+    assert look.keys() == ready.keys() and look["PAS001"]["kind"] == "fijo"
+    assert [tuple(r) for r in got["fuentes"].collect()] == [("m0", 1, 0, 1, 5, 0)]
     # the same message again is no new price; forced, it is
     store.put("procesados", [{"fuente": r["fuente"], "huella": r["huella"], "fecha": "hoy"} for r in got["huellas"].collect()], ["fuente", "huella"], absent=True)
     again = run(spark, shop, store, message)

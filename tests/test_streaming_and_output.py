@@ -41,4 +41,8 @@ def test_output(spark, tmp_path):
     old = {"alias": spark.createDataFrame([("t", "r")], "texto string, referencia string")}
     output.save_memory(old, f"file://{tmp_path}/mem", 3)
     assert output.load_memory(spark, f"file://{tmp_path}/mem", 3, ["alias"])["alias"].first()["referencia"] == "r"
+    for version in range(4, 8):
+        output.save_memory(old, f"file://{tmp_path}/mem", version, keep=3)
+    assert output.complete_versions(spark, f"file://{tmp_path}/mem")[0] == 7 and not (tmp_path / "mem/version=4").exists() and (tmp_path / "mem/version=5").exists()
+    assert output.load_memory(spark, f"file://{tmp_path}/mem", names=["alias"])["alias"].count() == 1
     assert memory.empty(spark, "ajustes").columns == ["seq", "clave", "valor"]
