@@ -41,9 +41,11 @@ from pricelode.llm.storage import written
 LENGTH = 400
 SHORT = 256
 SEED = 64
+#: Longest period of a substring that repeats itself.
+PERIOD = 32
 PASSAGE_WORDS = 50
-#: Kinds of surroundings that a task holds at once, some 15 MB. More of one hash are split first; results are the same.
-GROUP = 20_000
+#: Kinds of surroundings that a task holds at once, some 30 MB. More of one hash are split first; results are the same.
+GROUP = 40_000
 #: Into how many middles the windows around an anchor are split at each step.
 PARTS = 7
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -61,15 +63,37 @@ def sliding(values: np.ndarray, width: int, what: np.ufunc, fill: np.uint64) ->
     return what(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, short: int = SHORT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts' anchors: hash, hash of the surroundings, text, place in the text."""
-    empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+def periodic(data: np.ndarray, seed: int = SEED, most: int = PERIOD) -> np.ndarray:
+    """Which substrings of ``seed`` bytes repeat themselves with a period of ``most`` bytes or less; it depends on their bytes alone."""
+    n = len(data) - seed + 1
+    out = np.zeros(max(n, 0), bool)
+    for q in range(1, most + 1 if n > 0 else 1):
+        same = data[:-q] == data[q:]
+        width = 1
+        while 2 * width <= seed - q:  # runs of equal bytes, twice as long at each step
+            same = same[:-width] & same[width:]
+            width *= 2
+        if same.any():
+            rest = seed - q - width
+            same = same[: len(same) - rest] & same[rest:] if rest else same
+            out |= same[:n]
+    return out
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, short: int = SHORT, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """Of all texts' anchors: hash, hash of the surroundings, text, place in the text, bytes of the surroundings before and after it.
+
+    Substrings that repeat themselves come last in the order of hashes: they are anchors only of windows that hold nothing else, so their
+    surroundings end where other substrings begin. Else each edge of a run of one word would have anchors at every word."""
+    empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 4
     n = len(data) - seed + 1
     if len(data) < short:
         return empty
     spans = Spans(data)
-    grams = spans.every(seed)
-    grams[grams == _NONE] = 0
+    dull = periodic(data, seed)
+    grams = (spans.every(seed) >> np.uint64(1)) | (dull.astype(np.uint64) << np.uint64(63))
+    grams[grams == _NONE] -= np.uint64(1)
+    grams[grams == 0] = 1
     room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))  # bytes up to the text's end
     grams[room[:n] < seed] = _NONE
     width = short - seed + 1
@@ -77,28 +101,34 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, short:
     least[room[:n] < short] = 0
     # a gram is an anchor if it is the least of a whole window, one of those that start up to width - 1 before it
     most = sliding(least[::-1], width, np.maximum, np.uint64(0))[::-1]
-    at = np.flatnonzero((most == grams) & (grams != _NONE) & (grams != 0))
+    at = np.flatnonzero((most == grams) & (grams != _NONE))
     doc = np.searchsorted(offsets, at, side="right") - 1
     left = np.maximum(at - (length - seed), offsets[doc])
     right = np.minimum(at + length, offsets[doc + 1])
+    own = dull[at]
+    if own.any():
+        edges = np.flatnonzero(~dull)
+        k = np.searchsorted(edges, at[own])
+        left[own] = np.maximum(left[own], np.concatenate(([-1], edges))[k] + 1)
+        right[own] = np.minimum(right[own], np.append(edges, n)[k] + seed - 1)
     # the anchor's place is part of its surroundings: equal ones are then at different places
     around = spans.of(left, right) + (at - left).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return grams[at], around, doc, at - offsets[doc]
+    return grams[at], around, doc, at - offsets[doc], at - left, right - at
 
 
 def anchor_rows(docs: DataFrame, length: int, short: int, seed: int) -> DataFrame:
-    names = ["h", "c", "doc_id", "tkey", "pos"]
+    names = ["h", "c", "doc_id", "tkey", "pos", "before", "after"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column(2))
             for i, j in chunks(offsets):
-                h, c, doc, pos = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, short, seed)
+                h, c, doc, *at = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, short, seed)
                 row = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(pos.astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x.astype(t)) for x, t in zip(at, (np.int32, np.int16, np.int16), strict=True))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(task, f"h long, c long, doc_id {kind}, tkey long, pos int")
+    return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(task, f"h long, c long, doc_id {kind}, tkey long, pos int, before short, after short")
 
 
 def with_text(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
@@ -108,9 +138,9 @@ def with_text(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame
     return keyed.join(other.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")), how).drop("_id", "_tkey")
 
 
-def surroundings(docs: DataFrame, places: DataFrame, length: int, seed: int) -> DataFrame:
-    """h, doc_id, tkey, pos, before (reversed) and after, of one place for each kind of surroundings."""
-    grouped = places.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("h", "pos")).alias("at"))
+def surroundings(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """h, doc_id, tkey, pos, before (reversed) and after, the bytes of ``places`` (h, doc_id, tkey, pos, before, after: their numbers)."""
+    grouped = places.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("h", "pos", "before", "after")).alias("at"))
     rows = with_text(docs, grouped).dropDuplicates(["doc_id", "tkey"]).select("doc_id", "tkey", "text", "at")
     names = ["h", "doc_id", "tkey", "pos", "before", "after"]
 
@@ -118,12 +148,11 @@ def surroundings(docs: DataFrame, places: DataFrame, length: int, seed: int) ->
         for batch in batches:
             for k in range(len(batch)):
                 text = batch.column(2)[k].as_py().encode()
-                h, pos = batch.column(3)[k].values.flatten()  # unlike field(), it heeds the slice
-                where = pos.to_pylist()
-                before = [text[max(0, p - length + seed) : p][::-1] for p in where]
-                after = [text[p : p + length] for p in where]
+                h, pos, before, after = batch.column(3)[k].values.flatten()  # unlike field(), it heeds the slice
+                where = list(zip(pos.to_pylist(), before.to_pylist(), after.to_pylist(), strict=True))
                 one = pa.array([k] * len(where), pa.int64())
-                yield pa.RecordBatch.from_arrays([h, batch.column(0).take(one), batch.column(1).take(one), pos, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names)
+                bytes_ = [pa.array([text[p - b : p][::-1] for p, b, _ in where], pa.binary()), pa.array([text[p : p + a] for p, _, a in where], pa.binary())]
+                yield pa.RecordBatch.from_arrays([h, batch.column(0).take(one), batch.column(1).take(one), pos, *bytes_], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(task, f"h long, doc_id {kind}, tkey long, pos int, before binary, after binary")
@@ -292,20 +321,19 @@ def refined(contexts: DataFrame, length: int, short: int, seed: int, group: int)
 
 def occurrences(docs: DataFrame, length: int = LENGTH, short: int = SHORT, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """Occurrences of repeats of ``short`` bytes or more: doc_id, tkey, start, end; those of ``length`` or more are as long here."""
-    rows = written(anchor_rows(docs, length, short, seed), "anchors")
-    again = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = written(rows.join(again, "h", "left_semi"), "repeated_anchors")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "pos")
+    # made twice rather than kept: ten bytes of anchors for each hundred of text would be written and read
+    again = anchor_rows(docs, length, short, seed).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = written(anchor_rows(docs, length, short, seed).join(again, "h", "left_semi"), "repeated_anchors")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "pos", "before", "after")
     kinds = written(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("at")), "surroundings")
     equal = rows.join(kinds.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
-    # the ends are cut to the text where the bytes are at hand
-    found = equal.select("doc_id", "tkey", F.greatest(F.col("pos") - (length - seed), F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
+    found = equal.select("doc_id", "tkey", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("end"))
     many = kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-    places = kinds.join(many, "h").select("h", "m", "at.doc_id", "at.tkey", "at.pos")
-    found = found.unionByName(from_tree(surroundings(docs, places.filter(F.col("m") <= group), length, seed).withColumnRenamed("h", "g"), length, short, seed))
+    places = kinds.join(many, "h").select("h", "m", *(f"at.{c}" for c in ("doc_id", "tkey", "pos", "before", "after")))
+    found = found.unionByName(from_tree(surroundings(docs, places.filter(F.col("m") <= group)).withColumnRenamed("h", "g"), length, short, seed))
     hot = places.filter(F.col("m") > group)
     if not hot.isEmpty():
-        found = found.unionByName(refined(written(surroundings(docs, hot, length, seed), "contexts"), length, short, seed, group))
+        found = found.unionByName(refined(written(surroundings(docs, hot), "contexts"), length, short, seed, group))
     return found
 
 

@@ -37,6 +37,20 @@ def test_removed(documents, awkward, group):
     assert {(i, x) for i, xs in told for x in xs} <= everything
 
 
+def test_runs_of_one_word(spark):
+    """Texts full of self-repeating runs, whose edges differ."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(40):
+        word = rng.choice(["the ", "of ", "x", "abcdefghij klmno ", "a b a c "])
+        part = lambda: "".join(rng.choice("bcdfgu ") for _ in range(rng.choice([0, 5, 120, 400])))
+        texts.append(part() + word * rng.randrange(2, 250) + part() + rng.choice(["the ", word]) * rng.randrange(2, 120) + part())
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((i, *x) for i, x in enumerate(repeats.plain([t.encode() for t in texts])))
+    out = repeats.report(docs).drop("n_passages").collect()
+    assert sorted(tuple(r) for r in out) == want
+
+
 def test_a_passage_in_very_many_texts(spark):
     """One passage in many texts with other words around it: its edges are one large group, split or not."""
     rng = random.Random(6)
