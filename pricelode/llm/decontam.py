@@ -5,7 +5,9 @@ window get a term id, and the shard keeps their sorted positions per term (its p
 Test windows are looked up in every shard: the postings of a window's rarest term give
 candidate starts (position minus offset), which are then intersected, rarest first, with the
 offset-adjusted postings of the other terms. ``slack`` = 0 asks for exact phrases; above
-that, each term may stand up to ``slack`` words from its place (proximity).
+that, each term may stand up to ``slack`` words from its place beside the rarest one, within its document (proximity).
+The index of a shard lives while the shard is searched; its postings aren't kept as a table, for they would be as large
+as the words of the corpus that occur in a test item.
 
 Documents are never shuffled. Test items travel to the shards in blocks of at most
 ``block_bytes``, measured before they are sent; a larger test set only means more blocks, each
@@ -69,13 +71,16 @@ class Windows:
         self.owner_flat = np.array([x for o in self.owners for x in o], np.int64)
 
 
-def lookup(windows: Windows, ids: np.ndarray, doc: np.ndarray, slack: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(window, start position) of the occurrences in one shard. ids: each word's term or -1."""
-    n_terms = len(windows.terms)
-    if not len(windows.rows) or not len(ids):
+def lookup(windows: Windows, ids: np.ndarray, doc: np.ndarray, slack: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, start position, document) of the occurrences in one shard. ids: each word's term or -1.
+
+    With ``slack`` the start is that of the rarest term's place; the window may reach over its document's edges by as much."""
+    n_terms, n = len(windows.terms), len(ids)
+    if not len(windows.rows) or not n:
         return
     known = np.flatnonzero(ids >= 0)
-    postings = known[np.argsort(ids[known], kind="stable")]
+    postings = known[np.argsort(ids[known], kind="stable")]  # positions by term, each term's in order
+    code = ids[postings] * n + postings  # the same as one sorted list, for intersections
     count = np.bincount(ids[known], minlength=n_terms)
     first = np.cumsum(count) - count
     freq = np.where(windows.rows >= 0, count[windows.rows], np.iinfo(np.int64).max)
@@ -84,34 +89,32 @@ def lookup(windows: Windows, ids: np.ndarray, doc: np.ndarray, slack: int = 0) -
     which = which[(freq[which] > 0).all(axis=1)]
     rarest = windows.rows[which, order[which, 0]]
     upto = np.cumsum(count[rarest])
+    begins = np.searchsorted(doc, np.arange(doc[-1] + 2))
+    begins, ends = begins[:-1], begins[1:]
     at = 0
     while at < len(which):
         done = upto[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(upto, done + AT_ONCE, side="right")))
         w, t = which[at:to], rarest[at:to]
         hit = np.repeat(w, count[t])
-        start = postings[take_spans(first[t], count[t])] - order[hit, 0]
-        end = start + windows.size[hit]
-        ok = (start >= 0) & (end <= len(ids))
-        hit, start, end = hit[ok], start[ok], end[ok]
-        ok = doc[start] == doc[end - 1]
-        hit, start = hit[ok], start[ok]
+        place = postings[take_spans(first[t], count[t])]
+        own, start = doc[place], place - order[hit, 0]
+        ok = (start >= begins[own] - slack) & (start + windows.size[hit] <= ends[own] + slack)
+        hit, start, own = hit[ok], start[ok], own[ok]
         for k in range(1, windows.width):
             if not len(hit):
                 break
             offset = order[hit, k]
             term = windows.rows[hit, offset]
-            place = start + offset
-            if slack:
-                ok = term < 0
-                for d in range(-slack, slack + 1):
-                    p = np.clip(place + d, 0, len(ids) - 1)
-                    ok |= (ids[p] == term) & (doc[p] == doc[start])
-            else:
-                ok = (term < 0) | (ids[np.minimum(place, len(ids) - 1)] == term)
-            hit, start = hit[ok], start[ok]
+            # the term's postings, moved back by its offset, meet the starts (give or take the slack)
+            low = np.maximum(start + offset - slack, begins[own])
+            high = np.minimum(start + offset + slack, ends[own] - 1)
+            base = np.maximum(term, 0) * n
+            found = np.searchsorted(code, base + high, side="right") > np.searchsorted(code, base + low)
+            ok = (term < 0) | (found & (low <= high))
+            hit, start, own = hit[ok], start[ok], own[ok]
         if len(hit):
-            yield hit, start
+            yield hit, start, own
         at = to
 
 
@@ -128,12 +131,12 @@ def shard_matches(windows: Windows, texts: list[bytes], slack: int = 0) -> list[
     doc = np.repeat(np.arange(len(texts)), lengths)
     edge = np.zeros(len(ids) + 1, np.int64)
     pairs: set[tuple[int, int]] = set()
-    for hit, start in lookup(windows, ids, doc, slack):
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + windows.size[hit], -1)
+    for hit, start, own_doc in lookup(windows, ids, doc, slack):
+        np.add.at(edge, np.maximum(start, bounds[own_doc]), 1)
+        np.add.at(edge, np.minimum(start + windows.size[hit], bounds[own_doc + 1]), -1)
         n = windows.owner_first[hit + 1] - windows.owner_first[hit]
         own = windows.owner_flat[take_spans(windows.owner_first[hit], n)]
-        code = np.unique(np.repeat(doc[start], n) * len(windows.names) + own)
+        code = np.unique(np.repeat(own_doc, n) * len(windows.names) + own)
         pairs.update(zip((code // len(windows.names)).tolist(), (code % len(windows.names)).tolist(), strict=True))
     mask = np.cumsum(edge[:-1]) > 0
     items: dict[int, list[str]] = {}

@@ -240,3 +240,7 @@ def test_proximity(spark):
     near = {r["doc_id"]: r["items"] for r in decontam.matches(docs, items, slack=1).collect()}
     exact = {r["doc_id"]: r["items"] for r in decontam.matches(docs, items).collect()}
     assert near == {1: ["1"], 2: ["1"], 3: []} and exact == {1: [], 2: ["1"], 3: []}
+    # a window that reaches over the text's edge when it is laid out from the rarest word
+    edge = spark.createDataFrame([(4, "beta alpha gamma"), (5, "gamma"), (6, "alpha")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["n_hit"]) for r in decontam.matches(edge, items, slack=2).collect()}
+    assert got == {4: (["1"], 2), 5: ([], 0), 6: ([], 0)}
