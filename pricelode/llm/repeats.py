@@ -323,6 +323,7 @@ def occurrences(docs: DataFrame, length: int = LENGTH, short: int = SHORT, seed:
     """Occurrences of repeats of ``short`` bytes or more: doc_id, tkey, start, end; those of ``length`` or more are as long here."""
     # made twice rather than kept: ten bytes of anchors for each hundred of text would be written and read
     again = anchor_rows(docs, length, short, seed).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = written(again, "repeated_hashes")  # a plain join after that: the rows of a hot hash can be split
     rows = written(anchor_rows(docs, length, short, seed).join(again, "h", "left_semi"), "repeated_anchors")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey", "pos", "before", "after")
     kinds = written(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("at")), "surroundings")
