@@ -37,6 +37,74 @@ def test_shards(spark, documents, awkward, empty):
     assert slots.shard(empty).count() == 0
 
 
+def test_plain_placement(spark, documents, awkward):
+    """Every row's shard and place, worked out row by row."""
+    import xxhash
+
+    docs = documents.select("doc_id", "text").unionByName(awkward.select("doc_id", "text"))
+    rows = []
+    for i, t in docs.collect():
+        data = (t or "").encode()
+        crc = zlib.crc32(data)
+        key = crc if i is None else i
+        rows.append((int.from_bytes(xxhash.xxh64(key.to_bytes(8, "little", signed=True), 42).digest(), "big", signed=True) % 64, i, crc, len(data) + 16))
+    load = Counter()
+    for v, _, _, size in rows:
+        load[v] += size
+    total, shard = [0] * 7, {}
+    for v in sorted(range(64), key=lambda v: (-load[v], v)):
+        shard[v] = min(range(7), key=lambda s: (total[s], s))
+        total[shard[v]] += load[v]
+    want, filled = [], [0] * 7
+    for v, i, crc, size in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2], r[3])):
+        want.append((i, size, crc, shard[v], filled[shard[v]]))
+        filled[shard[v]] += 1
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in slots.shard(docs, n_shards=7, n_slots=64).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_plain_convolution():
+    """The network's scores, one window after another."""
+    rng = np.random.default_rng(3)
+    net = bytecnn.untrained(5)
+    net.out, net.bias, net.shift = rng.normal(0, 1, 2 * bytecnn.FILTERS), rng.normal(0, 0.1, bytecnn.FILTERS).astype(np.float32), 0.3
+    texts = [b"", b"a", bytes(range(256)) * 2, "ünï 漢字 ".encode() * 150, b"x" * 513, rng.integers(0, 256, 1300, np.uint8).tobytes()]
+    got = net.scores(*joined(texts))
+    for text, score in zip(texts, got, strict=True):
+        pooled, at = [], 0
+        while True:
+            ids = list(text[at : at + bytecnn.CHUNK])
+            ids += [bytecnn.PAD] * (bytecnn.CHUNK - len(ids))
+            answers = [net.embed[ids[p : p + bytecnn.WIDTH]].reshape(-1) @ net.filters for p in range(0, bytecnn.CHUNK - bytecnn.WIDTH + 1, bytecnn.STEP)]
+            pooled.append(np.maximum(np.max(answers, axis=0) + net.bias, 0))
+            if at + bytecnn.CHUNK >= len(text):
+                break
+            at += bytecnn.CHUNK - bytecnn.OVERLAP
+        z = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)]) @ net.out + net.shift
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_plain_probability():
+    """The n-gram model's probability, one n-gram after another."""
+    from pricelode.llm import ngramlr
+    from pricelode.llm.bytesops import Spans
+
+    rng = np.random.default_rng(4)
+    model = ngramlr.Model(rng.normal(0, 2, (ngramlr.FAMILIES, 1 << ngramlr.BITS)).astype(np.float32), -0.2, 1.3, 0.4)
+
+    def hashed(gram: bytes) -> int:
+        return int(Spans(np.frombuffer(gram, np.uint8)).of(np.array([0]), np.array([len(gram)]))[0])
+
+    texts = [b"", b"ab", b"one two two three\none", "ünï 漢字 emoji".encode(), b"  spaced   out  "]
+    got = model.probability(*joined(texts))
+    for text, p in zip(texts, got, strict=True):
+        words = [hashed(w) for w in text.split()]
+        pairs = [0 if a == b else (a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(words, words[1:], strict=False)]
+        families = [[hashed(text[i : i + n]) for i in range(len(text) - n + 1)] for n in ngramlr.CHARS] + [words, pairs]
+        z = model.bias + sum(np.mean([model.weight[f][h >> (64 - ngramlr.BITS)] for h in family]) for f, family in enumerate(families) if family)
+        assert abs(p - 1 / (1 + np.exp(-(model.slope * z + model.shift)))) < 1e-6
+
+
 def test_maps(spark, tmp_path):
     rng = random.Random(1)
     load = {i: rng.randrange(1, 1000) for i in range(2000)}
