@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import bytecnn, decontam, linededup, neardup, ngramlr, pieces, pii, repeats, slots, tokenstore
+from pricelode.llm import bytecnn, decontam, interactions, linededup, neardup, ngramlr, pieces, pii, repeats, resample, sketches, slots, tokenstore
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramlr.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_lookup_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.report(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_dart_minhash, op3_decontamination, op4_line_dedup, op5_range_coded_tokens, op6_byte_cnn, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_dart_minhash, op3_decontamination, op4_line_dedup, op5_range_coded_tokens, op6_byte_cnn, op7_pii, op8_slot_sharding, op9_sentencepiece, op10_quality_rules, op11_filter_interactions, op12_lookup_sketches, op13_importance_resampling)
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -85,4 +97,19 @@ e as (select *, last_value(case when solid then gone end ignore nulls) over (par
 r as (select doc_id, i, line, gone or (not solid and coalesce(before, false) and coalesce(after, false)) gone from e),
 z as (select doc_id, count(*) n_lines, count(*) filter (where gone) n_gone, coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') kept from r group by 1)
 select t.doc_id, case when t.text is null then 0 else z.n_lines end as n_lines, z.n_gone as n_lines_removed, cast(coalesce(length(t.text), 0) - length(z.kept) as bigint) as n_removed, sha256(z.kept) as kept_sha256 from t join z on z.doc_id = t.doc_id""",
+    "op11_filter_interactions": r"""with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, min(doc_id) over (partition by t) least from d),
+f as (select doc_id, part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+ regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] fails from w),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) good, max(case when toxic = 1 then 1 else 0 end) toxic from labels where doc_id is not null group by 1),
+g as (select part, fails, coalesce(good, 0) good, coalesce(toxic, 0) toxic, count(*) n from f left join l on l.doc_id = f.doc_id group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) c, unnest([1, 2, 3, 4, 5]) i),
+o as (select a.c || b.c || c.c || d.c || e.c as filter_order, [a.i, b.i, c.i, d.i, e.i] p from x a, x b, x c, x d, x e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+r as (select g.*, o.filter_order, o.p, coalesce(list_position(list_transform(p, lambda i: fails[i]), true), 6) gone from g, o),
+s as (select r.*, step, p[step] own from r, (select unnest([1, 2, 3, 4, 5]) step)),
+z as (select part, filter_order, step, own, sum(n) filter (where gone > step) kept, sum(n) filter (where gone = step) removed, sum(n) filter (where fails[own] and gone < step) redundant,
+ sum(n) filter (where fails[own] and len(list_filter(fails, lambda q: q)) = 1) unique_fails, sum(n * good) filter (where gone = step) good_lost, sum(n * toxic) filter (where gone = step) toxic_lost from s group by 1, 2, 3, 4)
+select part, filter_order, cast(step as integer) as step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant,
+ cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
+ cast(sum(coalesce(removed, 0)) over (partition by part, own) as bigint) as shapley from z""",
 }

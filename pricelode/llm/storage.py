@@ -31,6 +31,12 @@ def aliased(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
+def picked(docs: DataFrame, *columns: str) -> DataFrame:
+    """Only these columns of ``docs``, by their exact names: another column that is equal but for case doesn't make them ambiguous."""
+    frame, name = aliased(docs)
+    return frame.select(*(frame[name[c]].alias(c) for c in columns))
+
+
 def with_fields(frame: DataFrame, fields: str) -> StructType:
     """``frame``'s schema with more fields: what a function over Arrow batches returns that adds columns."""
     return StructType([*(StructField(f.name, f.dataType) for f in frame.schema.fields), *StructType.fromDDL(fields).fields])
