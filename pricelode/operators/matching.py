@@ -1,9 +1,8 @@
 """Quoted lines to products: the waterfall as joins.
 
 Every step works on distinct texts within a scope. A supplier's scope is the catalog rows of the names
-that are alike to it, or the whole catalog where there are none; scopes are rows of a bridge table, so a
-fuzzy search is an equi-join on the scope with scores on Arrow batches. In the whole catalog a text meets the products
-that share a word with it. Names, aliases and ignored texts are found by the pieces that they share
+that are alike to it, or the whole catalog where there are none; scopes are rows of a bridge table. The best products of a
+text are exact in either: names that share a word are scored first, then those whose letters leave room for a better score. Names, aliases and ignored texts are found by the pieces that they share
 (:mod:`pricelode.operators.alike`).
 """
 
@@ -13,12 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelode import constants as K
-from pricelode.functions.fuzzy import name_score, token_set_ratio
+from pricelode.functions.fuzzy import name_score, token_set_ratio, token_sort_ratio
 from pricelode.functions.text import normalize, normalize_quoted, sizes, text_variants
+from pricelode.operators import alike
 from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import first_per, last_per, top_per
+from pricelode.storage import kept
 
 EVERYTHING = "*"
+#: Names of a scope that stand in one block.
+BLOCK = 5000
 
 
 def catalog_names(catalog: DataFrame) -> DataFrame:
@@ -50,34 +53,64 @@ def keys_of(texts: DataFrame, text: str, abbreviations: list[tuple[str, str]]) -
     return variants.select("text", normalize_quoted(abbreviations)("v").alias("key")).filter(F.length("key") >= 3).distinct()
 
 
-def met_products(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(scope, text, key, referencia, seq, clave): the products that each asked (scope, text) is compared with.
+def products_of(bridge: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(scope, referencia, seq, clave) of the products in each scope."""
+    return bridge.join(catalog.select("referencia", "clave", "seq"), "referencia").select("scope", "referencia", "seq", "clave")
 
-    Within a supplier's scope all of its products; where the supplier is unknown, those that share a word with the text."""
-    side = catalog.select("referencia", "clave", "seq")
-    pairs = asked.select("scope", "text").distinct().join(keys, "text")
-    own = pairs.filter(F.col("scope") != EVERYTHING).join(bridge.filter(F.col("scope") != EVERYTHING), "scope").join(side, "referencia")
-    words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("w")
-    open_ = pairs.filter(F.col("scope") == EVERYTHING)
-    shared = open_.select("key").distinct().select("key", words("key")).join(side.select("clave").distinct().select("clave", words("clave")).filter("w <> ''"), "w").select("key", "clave").distinct()
-    columns = ["scope", "text", "key", "referencia", "seq", "clave"]
-    return own.select(columns).unionByName(open_.join(shared, "key").join(side, "clave").select(columns))
 
+def _third(scored: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(scope, key, least): the score of the k-th best product that any key of the text has so far; 0 where there are fewer."""
+    best = texts.join(scored, ["scope", "key"]).groupBy("scope", "text", "clave").agg(F.max("score").alias("score"))
+    kth = top_per(best, ["scope", "text"], [F.col("score").desc(), F.col("clave")], k).groupBy("scope", "text").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+    return texts.join(kth, ["scope", "text"], "left").groupBy("scope", "key").agg(F.min(F.coalesce("least", F.lit(0.0))).alias("least"))
 
-def candidates(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
-    """(scope, text, referencia, score) of the best k products for each asked (scope, text)."""
-    pairs = met_products(asked, keys, bridge, catalog)
-    # equal keys are scored once
+
+def scored_products(texts: DataFrame, side: DataFrame, k: int) -> DataFrame:
+    """(scope, key, clave, score): for each text of ``texts`` (scope, text, key), at least the k best names of its scope, exactly scored.
+
+    Names that share a word with a key are scored first. A name that shares none can't score more than the letters that the two have in common
+    leave: keys then meet all names of their scope, in blocks, but only those whose bound reaches the k-th best score so far are scored."""
+    names = side.select("scope", "clave").distinct()
+    asked = texts.select("scope", "key").distinct()
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))).alias("w")
+    shared = asked.select("scope", "key", words("key")).join(names.select("scope", "clave", words("clave")), ["scope", "w"]).select("scope", "key", "clave").distinct()
+    first = kept(_scored(shared), "scored")
+    least = _third(first, texts, k)
+    marks = alike.marked(names.select(F.col("clave").alias("name")).unionByName(asked.select(F.col("key").alias("name"))), "sort")
+    named = lambda side: marks.select(F.col("name").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", "repeats", *alike.MARKS)))
+    blocks = names.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    many = names.join(blocks, "scope").withColumn("block", F.pmod(F.xxhash64("clave"), F.col("blocks")).cast("int")).join(named("clave"), "clave").drop("blocks")
+    few = least.join(blocks, "scope").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(named("key"), "key").drop("blocks")
+    total = F.col("key_size") + F.col("clave_size")
+    common = 100 - 100 * alike.letters_apart("key_", "clave_") / total
+    bound = F.when(F.col("key_repeats") | F.col("clave_repeats"), 55 + 0.45 * common).otherwise(common)
+    more = few.join(many, ["scope", "block"]).filter(bound + 1e-6 >= F.col("least")).select("scope", "key", "clave")
+    return first.unionByName(_scored(more.join(first.select("scope", "key", "clave"), ["scope", "key", "clave"], "left_anti")))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with their scores; equal keys and names are scored once for all scopes."""
     score = pairs.select("key", "clave").distinct().withColumn("score", name_score(F.col("key"), F.col("clave")))
-    best = pairs.join(score, ["key", "clave"]).groupBy("scope", "text", "referencia", "seq", "clave").agg(F.max("score").alias("score"))
-    return top_per(best, ["scope", "text"], [F.col("score").desc(), F.col("seq")], k)
+    return pairs.join(score, ["key", "clave"]).select("scope", "key", "clave", "score")
+
+
+def candidates(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
+    """(scope, text, referencia, score) of the best k products for each asked (scope, text); of equal scores the first row."""
+    texts = asked.select("scope", "text").distinct().join(keys, "text")
+    side = products_of(bridge, catalog)
+    score = scored_products(texts, side, k)
+    named = texts.join(score, ["scope", "key"]).groupBy("scope", "text", "clave").agg(F.max("score").alias("score"))
+    # a name may be many products: k of a name's are enough
+    few = top_per(side.distinct(), ["scope", "clave"], [F.col("seq")], k)
+    return top_per(named.join(few, ["scope", "clave"]), ["scope", "text"], [F.col("score").desc(), F.col("seq")], k)
 
 
 def general_terms(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame) -> DataFrame:
     """All products under a term, eight at most, which is what the feature shows."""
     longest = keys.groupBy("text").agg(F.max_by("key", F.length("key")).alias("key"))
-    pairs = met_products(asked, longest, bridge, catalog)
-    scored = pairs.withColumn("score", token_set_ratio(F.col("key"), F.col("clave"))).filter(F.col("score") >= K.TERM_SET)
+    side = products_of(bridge, catalog).distinct()
+    like = alike.name_pairs(longest.select(F.col("key").alias("name")), side.select(F.col("clave").alias("name")), "set", K.TERM_SET).select(F.col("l").alias("key"), F.col("r").alias("clave"), "score")
+    scored = asked.select("scope", "text").distinct().join(longest, "text").join(like, "key").join(side, ["scope", "clave"])
     return top_per(scored, ["scope", "text"], [F.col("score").desc(), F.col("seq")], K.TERM_TOP).select("scope", "text", "referencia", "score")
 
 
@@ -94,8 +127,9 @@ def alias_matches(asked: DataFrame, keys: DataFrame, alias: DataFrame, catalog:
     Scope: the supplier's own aliases if it has any, else those of no supplier; all where no supplier is known."""
     a = alias.filter("trim(texto) <> ''").select("referencia", "seq", normalize("proveedor").alias("owner"), normalize_quoted(abbreviations)("texto").alias("alias_key"))
     pairs = in_scope(asked, a)
-    like = name_pairs(keys.select(F.col("key").alias("name")), a.select(F.col("alias_key").alias("name")), "sort", K.ALIAS_SORT).select(F.col("l").alias("key"), F.col("r").alias("alias_key"), F.col("score").alias("sort"))
-    like = like.withColumn("set", token_set_ratio(F.col("key"), F.col("alias_key"))).filter(F.col("set") >= K.ALIAS_SET)
+    # both scores must be high; the stricter one leaves fewer pairs
+    like = name_pairs(keys.select(F.col("key").alias("name")), a.select(F.col("alias_key").alias("name")), "set", K.ALIAS_SET).select(F.col("l").alias("key"), F.col("r").alias("alias_key"), F.col("score").alias("set"))
+    like = like.withColumn("sort", token_sort_ratio(F.col("key"), F.col("alias_key"))).filter(F.col("sort") >= K.ALIAS_SORT)
     known = pairs.select("supplier").distinct().withColumn("has_own", F.lit(True))
     met = asked.select("supplier", "text").distinct().join(keys, "text").join(like, "key").join(a.withColumnRenamed("owner", "alias_owner"), "alias_key").join(known, "supplier", "left")
     met = met.join(pairs.withColumnRenamed("owner", "alias_owner").withColumn("is_own", F.lit(True)), ["supplier", "alias_owner"], "left")

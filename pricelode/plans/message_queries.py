@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelode.functions import numbers as N
 from pricelode.functions import text as T
 from pricelode.operators import matching, memory
+from pricelode.operators.alike import name_pairs
 from pricelode.plans.registry import query, table
 from pricelode.sources import pricelists
 from pricelode.sources.messages import read_messages
@@ -174,3 +175,13 @@ def q46_name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scoped = matching.scope_of(asked, "name", bridge, "scope")
     keys = matching.keys_of(asked, "text", [])
     return matching.candidates(scoped, keys, bridge, catalog).select("scope", "text", "referencia", F.rint("score").cast("int").alias("score"))
+
+
+@query("""with l as (select distinct lower(p_name || ' ' || p_type) as l from part), r as (select distinct lower(p_type || ' ' || string_split(p_name, ' ')[-1]) as r from part)
+select l, r, 100 as score from l, r where list_has_all(string_split(l, ' '), string_split(r, ' ')) or list_has_all(string_split(r, ' '), string_split(l, ' '))""")
+def q56_alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of which one has all words of the other, found by words and letters without comparing all."""
+    p = table(spark, sf_dir, "part")
+    left = p.select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("name"))
+    right = p.select(F.lower(F.concat_ws(" ", "p_type", F.element_at(F.split("p_name", " "), -1))).alias("name"))
+    return name_pairs(left, right, "set", 100).select("l", "r", F.rint("score").cast("int").alias("score"))

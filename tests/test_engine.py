@@ -200,6 +200,63 @@ def test_alike_names_lose_no_pair(spark):
         assert want and got == want
 
 
+def test_alike_names_meet_few(spark):
+    """Of all pairs of 10,000 names few are scored, and none that scores the cut is missed (against all pairs of some of them)."""
+    import random
+
+    from pricelode.operators.alike import candidates
+
+    rng = random.Random(5)
+    parts = ["ma", "re", "lo", "ti", "san", "pre", "ca", "do", "ne", "qui", "bar", "le", "go", "mi", "to", "cho", "pa", "fi", "ru", "vel"]
+    vocabulary = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(700)]
+    weights = [1 / (i + 5) for i in range(700)]
+
+    def spoilt(w):
+        k = rng.randrange(len(w) + 1)
+        return rng.choice([w[:k] + rng.choice("aeiosx") + w[k:], w[:k] + w[k + 1 :]])
+
+    names = set()
+    while len(names) < 10_000:
+        words = [spoilt(w) if rng.random() < 0.08 else w for w in rng.choices(vocabulary, weights, k=rng.randint(2, 5))]
+        names.add(" ".join(x for x in [*words, *([f"{rng.choice([100, 250, 500])} g"] if rng.random() < 0.5 else [])] if x))
+    right = sorted(names)
+    left = rng.sample(right, 60)
+    frames = [spark.createDataFrame([(x,) for x in s], "name string") for s in (left, right)]
+    for scorer, f, cut in (("set", fuzzy.token_set, 85), ("set", fuzzy.token_set, 88), ("sort", fuzzy.token_sort, 93)):
+        got = {(r["l"], r["r"]) for r in candidates(*frames, scorer, cut).collect()}
+        assert len(got) < 0.005 * len(left) * len(right)
+        assert {(a, b) for a in left for b in right if f(a, b) >= cut} <= got
+
+
+def test_best_products_equal_full_scoring(spark, monkeypatch):
+    """The best three of each text, of texts that share no word with any name and of unknown suppliers too."""
+    import random
+
+    from pricelode.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", 40)
+    rng = random.Random(3)
+    words = ["miel", "pura", "harina", "integral", "de", "trigo", "sarraceno", "aceite", "oliva", "extra", "yerba", "mate", "x", "500", "g", "kg", "cacao", "amargo"]
+    catalog = []
+    for i in range(300):
+        catalog.append((f"r{i}", i, " ".join(rng.choices(words, k=rng.randint(1, 5)))))
+    frame = spark.createDataFrame(catalog, "referencia string, seq long, clave string")
+    scopes = [("*", r) for r, _, _ in catalog] + [("rio", r) for r, i, _ in catalog if i % 3 == 0] + [("uno", "r7"), ("uno", "r8")]
+    texts = ["mil purra", "harinaintegral", "zzz", "aceyte olva", "yerba mate x 500 g", "de", "sarracen", "cacao amargo amargo", "q"]
+    asked = [(s, t) for s in ("*", "rio", "uno") for t in texts]
+    keys = [(t, k) for t in texts for k in {t, t.split()[0]}]
+    got = matching.candidates(
+        spark.createDataFrame(asked, "scope string, text string"), spark.createDataFrame(keys, "text string, key string"), spark.createDataFrame(scopes, "scope string, referencia string"), frame
+    )
+    found = {}
+    for r in got.collect():
+        found.setdefault((r["scope"], r["text"]), []).append((-round(r["score"], 6), r["seq"]))
+    for scope, text in asked:
+        inside = {r for s, r in scopes if s == scope}
+        full = [(-round(max(0.55 * fuzzy.token_set(k, c) + 0.45 * fuzzy.token_sort(k, c) for t, k in keys if t == text), 6), i) for r, i, c in catalog if r in inside]
+        assert sorted(found[scope, text]) == sorted(full)[:3]
+
+
 def test_lists(spark):
     names = spark.createDataFrame([("pasta rio", "Pastas Río"), ("zanoni", "Zanoni")], "key string, canonical string")
 
