@@ -76,7 +76,7 @@ def scored_products(texts: DataFrame, side: DataFrame, k: int) -> DataFrame:
     shared = asked.select("scope", "key", words("key")).join(names.select("scope", "clave", words("clave")), ["scope", "w"]).select("scope", "key", "clave").distinct()
     first = kept(_scored(shared), "scored")
     least = _third(first, texts, k)
-    marks = alike.marked(names.select(F.col("clave").alias("name")).unionByName(asked.select(F.col("key").alias("name"))), "sort")
+    marks = kept(alike.marked(names.select(F.col("clave").alias("name")).unionByName(asked.select(F.col("key").alias("name"))), "sort"), "marks")
     named = lambda side: marks.select(F.col("name").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", "repeats", *alike.MARKS)))
     blocks = names.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     many = names.join(blocks, "scope").withColumn("block", F.pmod(F.xxhash64("clave"), F.col("blocks")).cast("int")).join(named("clave"), "clave").drop("blocks")
@@ -96,12 +96,12 @@ def _scored(pairs: DataFrame) -> DataFrame:
 
 def candidates(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
     """(scope, text, referencia, score) of the best k products for each asked (scope, text); of equal scores the first row."""
-    texts = asked.select("scope", "text").distinct().join(keys, "text")
-    side = products_of(bridge, catalog)
-    score = scored_products(texts, side, k)
+    # read several times each
+    texts, side = kept(asked.select("scope", "text").distinct().join(keys, "text"), "asked"), kept(products_of(bridge, catalog).distinct(), "side")
+    score = kept(scored_products(texts, side, k), "scored")
     named = texts.join(score, ["scope", "key"]).groupBy("scope", "text", "clave").agg(F.max("score").alias("score"))
     # a name may be many products: k of a name's are enough
-    few = top_per(side.distinct(), ["scope", "clave"], [F.col("seq")], k)
+    few = top_per(side, ["scope", "clave"], [F.col("seq")], k)
     return top_per(named.join(few, ["scope", "clave"]), ["scope", "text"], [F.col("score").desc(), F.col("seq")], k)
 
 
