@@ -15,6 +15,7 @@ scored; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import column_bytes
-from pricelode.llm.ngramlr import joined, labelled, train_split
+from pricelode.llm.ngramlr import joined, sampled, train_split
+from pricelode.llm.storage import aliased
 
 CHUNK, OVERLAP = 512, 64
 WIDTH, STEP, FILTERS, DIM = 8, 2, 32, 8
@@ -170,8 +172,17 @@ def gradients(net: Network, texts: list[bytes], y: np.ndarray, part: np.ndarray,
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Network:
-    sample = labelled(docs, labels, TRAIN_ROWS, TRAIN_BYTES, where=train_split())
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    """The network, fitted in one task on the bounded sample: the driver only gets its weights."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y = [], []
+        for batch in batches:
+            texts += [x.encode() for x in batch.column(0).to_pylist()]
+            y += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, y))], pa.binary())], ["net"])
+
+    found = sampled(docs, labels, TRAIN_ROWS, TRAIN_BYTES, where=train_split()).coalesce(1).mapInArrow(task, "net binary").first()
+    return pickle.loads(bytes(found["net"])) if found else fit([], [])
 
 
 def scored(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
@@ -183,7 +194,8 @@ def scored(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
             score = sent.value.scores(*column_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], [*batch.schema.names[1:], "score"])
 
-    frame = docs.select(docs["text"].alias("_text"), *(docs[c] for c in keep))
+    frame, name = aliased(docs)
+    frame = frame.select(frame[name["text"]].alias("_text"), *(frame[name[c]].alias(c) for c in keep))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
     return frame.mapInArrow(task, f"{kept}, score double")
 

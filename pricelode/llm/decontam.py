@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import chunks, column_bytes, runs, take_spans
-from pricelode.llm.storage import aliased, with_fields
+from pricelode.llm.storage import aliased, picked, with_fields
 
 #: The words of lower-cased UTF-8: digits, letters, and every byte of a character beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -149,7 +149,7 @@ def shard_matches(windows: Windows, texts: list[bytes], slack: int = 0) -> list[
 
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
     """The test set in blocks of bounded size, one on the driver at a time."""
-    sized = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    sized = picked(items, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = sized.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
     n = total // block_bytes + 1
     for k in range(n):
@@ -200,7 +200,7 @@ def digest(items: list[str]) -> str:
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: how many of its words a test window covers, and of which items."""
-    return matched(docs.select("doc_id", "text"), "text", items).select(
+    return matched(picked(docs, "doc_id", "text"), "text", items).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import Spans, chunks, column_bytes, mix
-from pricelode.llm.storage import aliased, with_fields, written
+from pricelode.llm.storage import aliased, picked, with_fields, written
 
 WIDTH = 3
 _blank = np.zeros(256, bool)
@@ -157,7 +157,7 @@ def left(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_lines_removed, n_removed (code points, line ends included) and a digest of what is left."""
-    slim = docs.select("doc_id", "text", F.length("text").alias("old_chars"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("lines"))
+    slim = picked(docs, "doc_id", "text").select("doc_id", "text", F.length("text").alias("old_chars"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("lines"))
     out = deduped(slim)
     left = F.coalesce("text", F.lit(""))
     return out.select(

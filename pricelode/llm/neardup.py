@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import IN_WORD, LOWER, Spans, chunks, column_bytes, mix, solid_spans, take_spans
-from pricelode.llm.storage import aliased, written
+from pricelode.llm.storage import aliased, picked, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -180,8 +180,8 @@ def candidate_elements(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                         out.append(mine.tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], ["node", "own"])
 
-    wanted = nodes.select(F.col("first_id").alias("_id"), "node", "h1", "h2")
-    rows = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    wanted = nodes.select(F.col("first_id").alias("_id"), F.col("tkey").alias("_key"), "node", "h1", "h2")
+    rows = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
     return rows.select("text", "node", "h1", "h2").mapInArrow(task, "node long, own binary").dropDuplicates(["node"])
 
 
@@ -336,8 +336,9 @@ def linked(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) ->
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, tkey, class_id (the least id of the class), class_size and keep, one row per document."""
+    docs = picked(docs, "doc_id", "text")
     sketch = written(sketches(docs), "sketches")
-    whole = sketch.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("size"), F.first("bands").alias("bands"))
+    whole = sketch.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.min_by("tkey", F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")).alias("tkey"), F.count("*").alias("copies"), F.first("n").alias("size"), F.first("bands").alias("bands"))
     nodes = written(whole.withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = linked(docs, nodes, similarity)
     slim = nodes.select("h1", "h2", "node", "first_id", "copies").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

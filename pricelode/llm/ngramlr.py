@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import Spans, chunks, column_bytes
-from pricelode.llm.storage import aliased, with_fields
+from pricelode.llm.storage import aliased, picked, with_fields
 
 BITS = 16
 TRAIN_ROWS = 4000
@@ -209,20 +209,16 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def sampled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, where=None) -> DataFrame:
     """text and label of a bounded sample (at most ``rows`` texts of ``most_bytes`` each), in a fixed order."""
-    wanted = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    wanted = picked(labels, "doc_id", "quality").filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     if where is not None:
         wanted = wanted.filter(where)
     order = F.xxhash64("doc_id")
-    picked = wanted.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(order, "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.octet_length("text") <= most_bytes)
+    chosen = wanted.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(order, "doc_id").limit(rows)
+    found = picked(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= most_bytes)
     found = found.select(order.alias("_order"), "doc_id", "text", "_label").orderBy("_order", "doc_id", "text").limit(rows)
     return found.select("text", F.col("_label").alias("label"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, where=None) -> list[tuple[bytes, int]]:
-    return [(r[0].encode(), r[1]) for r in sampled(docs, labels, rows, most_bytes, where).collect()]
-
-
 def train_split() -> object:
     """Rows that may be learnt from: crc32 of the id as text, modulo 4, is not 2."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 != 2
@@ -274,4 +270,4 @@ def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judged(docs.select("doc_id", "text"), "text", trained(docs, labels)).drop("text")
+    return judged(picked(docs, "doc_id", "text"), "text", trained(docs, labels)).drop("text")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pricelode.llm.bytesops import column_bytes
+from pricelode.llm.storage import aliased
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -95,7 +96,8 @@ def per_text(docs: DataFrame, path: str, fields: list[tuple[str, pa.DataType]],
             arrays = [pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *arrays], [*batch.schema.names[1:], *(n for n, _ in fields)])
 
-    frame = docs.select(docs["text"].alias("_text"), *(docs[c] for c in keep))
+    frame, name = aliased(docs)
+    frame = frame.select(frame[name["text"]].alias("_text"), *(frame[name[c]].alias(c) for c in keep))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:])
     return frame.mapInArrow(task, f"{kept}, {schema}" if kept else schema)
 

@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pricelode.llm.storage import picked
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "iban", "secret", "ssn", "url_login")
 
@@ -315,4 +317,4 @@ def report(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return picked(docs, "doc_id", "text").mapInArrow(task, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import Spans, chunks, column_bytes, runs, take_spans
-from pricelode.llm.storage import written
+from pricelode.llm.storage import picked, written
 
 LENGTH = 400
 SHORT = 256
@@ -360,6 +360,7 @@ def masked_runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def removed(docs: DataFrame, length: int = LENGTH, short: int = SHORT, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs, in bytes), kept (the remaining bytes) and passages (repeated runs of PASSAGE_WORDS or more)."""
+    docs = picked(docs, "doc_id", "text")
     packed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
     spans = occurrences(docs, length, short, seed, group).groupBy("doc_id", "tkey").agg(F.collect_list(packed).alias("spans"))
     rows = with_text(docs, spans, "left").select("doc_id", "text", "spans")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelode.llm.storage import new_path
+from pricelode.llm.storage import new_path, picked
 
 N_SLOTS = 8192
 OVERHEAD = 16
@@ -124,7 +124,7 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, slots: Sl
     window is wider than one slot and no task gets a whole shard.
     """
     spark = docs.sparkSession
-    rows = records(docs, n_slots)
+    rows = records(picked(docs, "doc_id", "text"), n_slots)
     seen = {r[0]: (r[1], r[2]) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect()}
     slots = slots or balanced({k: v[0] for k, v in seen.items()}, n_shards, n_slots)
     path = map_path or new_path(spark, "slot_map")

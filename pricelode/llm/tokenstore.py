@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pricelode.llm.bytesops import column_bytes
 from pricelode.llm.rangecoder import decode_blocks, encode_blocks
-from pricelode.llm.storage import new_path
+from pricelode.llm.storage import new_path, picked
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
@@ -142,7 +142,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, segment: int
         if doc_ids:
             yield closed()
 
-    ordered = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
+    ordered = picked(docs, "doc_id", "text").withColumn("_tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
     ordered.mapInArrow(task, f"part int, segment int, before long, doc_ids array<{id_type}>, counts array<long>, payload binary").write.option("compression", "none").parquet(path)
 

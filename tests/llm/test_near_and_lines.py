@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from pricelode.llm import bytecnn, interactions, pieces, pii, repeats, resample, sketches, slots, tokenstore
 from pricelode.llm import decontam, linededup, neardup, ngramlr
 
 
@@ -127,6 +128,30 @@ def test_columns_of_any_name(spark, documents):
             assert list(r[5:]) == list(plain[r["doc_id"]][5:])
 
 
+def test_names_equal_but_for_case(spark, sf, documents):
+    """Further columns Text and DOC_ID make nothing ambiguous, in any operator."""
+    docs = documents.limit(40).withColumn("_", F.lit("other")).withColumn("__", F.lit(5))
+    docs = docs.toDF(*docs.columns[:-2], "Text", "DOC_ID")
+    labels = documents.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"), F.lit(1).alias("Quality"))
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").withColumn("more", F.lit("x")).toDF("item_id", "text", "Item_ID")
+    one = [repeats.report, neardup.report, linededup.report, tokenstore.report, pii.report, slots.shard, pieces.report, sketches.report]
+    for f in one:
+        assert f(docs).count() == 40
+    assert decontam.report(docs, items).count() == resample.report(docs, items).count() == 40
+    assert bytecnn.report(docs, labels).count() == ngramlr.report(docs, labels).count() == 40
+    assert interactions.audit(docs, labels).count() % 600 == 0
+    for out in (ngramlr.passed(docs, labels), linededup.left(docs), neardup.deduped(docs), decontam.clean(docs, items)):
+        assert out.columns == docs.columns and out.count() <= 40
+
+
+def test_near_copies_without_ids(spark):
+    """Texts without an id are told apart by their digests: each kind of text is read once, not once for each node."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, words(k)) for k in range(30) for _ in range(2)] + [(k, words(k) + " end") for k in range(30)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["class_id"] for r in got) == sorted(k for k in range(30) for _ in range(3))
+
+
 def test_awkward_near(awkward, empty):
     got = neardup.classes(awkward).collect()
     assert len(got) == awkward.count()
