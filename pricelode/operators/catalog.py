@@ -9,6 +9,7 @@ from pricelode.constants import ID_HEADERS, NON_PRODUCT, TRUE_WORDS
 from pricelode.functions.numbers import export_number
 from pricelode.functions.text import bare, folded, normalize
 from pricelode.operators.ordering import first_per
+from pricelode.storage import kept
 
 DASH = " - "
 
@@ -115,6 +116,23 @@ def resolve_headers(columns: list[str]) -> dict[str, str | None]:
     return found
 
 
+def continued(raw: DataFrame, named: Column, seq: str, group: str) -> DataFrame:
+    """``raw`` with the ``seq`` of the last named row up to each row; null before the first. ``seq`` must be unique.
+
+    Rows are dealt to ranges of ``seq``, and a window runs within each. What a range's first rows continue is the last named row of the ranges
+    before it: one number for each range comes to the driver, and no task sees the whole export."""
+    n = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(raw.repartitionByRange(n, seq).withColumn("_range", F.spark_partition_id()), "export_rows")
+    last = {r["_range"]: r["last"] for r in dealt.filter(named).groupBy("_range").agg(F.max(seq).alias("last")).collect()}
+    before, upto = [], None
+    for i in range(max(last, default=0) + 2):
+        before.append(upto)
+        upto = last.get(i, upto)
+    carried = F.get(F.array(*(F.lit(x).cast(raw.schema[seq].dataType) for x in before)), F.least("_range", F.lit(len(before) - 1)))
+    w = Window.partitionBy("_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.withColumn(group, F.coalesce(F.last(F.when(named, F.col(seq)), True).over(w), carried)).drop("_range")
+
+
 def build_catalog(raw: DataFrame, drop_repeated: bool = True, non_products: DataFrame | None = None, seq: str = "seq") -> DataFrame:
     """The fixed catalog columns of a raw all-string export with a ``seq`` column."""
     at = resolve_headers([c for c in raw.columns if c != seq])
@@ -125,8 +143,7 @@ def build_catalog(raw: DataFrame, drop_repeated: bool = True, non_products: Data
     def number(field: str) -> Column:
         return number_or_zero(F.col(f"`{at[field]}`")) if at[field] else F.lit(0.0)
 
-    w = Window.orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = raw.withColumn("_grp", F.sum((text("name") != "").cast("long")).over(w))
+    named = continued(raw, text("name") != "", seq, "_grp")
     tags = named.groupBy("_grp").agg(F.array_join(F.array_sort(F.collect_set(F.when(text("tags") != "", text("tags")))), "; ").alias("etiquetas"))
     rows = named.filter(text("name") != "").join(tags, "_grp").filter(~is_non_product(text("name")))
     name = text("name")

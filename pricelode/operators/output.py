@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from pricelode.operators import classify, memory, verify
 from pricelode.operators.alike import name_pairs
 
 #: Complete memory snapshots that stay.
+#: A claim on a version that hasn't become a snapshot after so long is void.
+CLAIM_SECONDS = 3600
 KEPT_VERSIONS = 10
 
 #: Sheets of the report: name -> frame of the cycle's result.
@@ -72,23 +77,69 @@ def control(result: dict[str, DataFrame], variable: DataFrame) -> DataFrame:
     return control_order(out.select("referencia", "default_code", "producto", "before", "cost", "change", "price", "estimate", "margin", "kind", "fuente", "origen", "codigo", "dice", "look"))
 
 
+class ConflictError(RuntimeError):
+    """Another writer has that version; read the newest one and try again."""
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _claim(spark: SparkSession, path: str, version: int) -> None:
+    """Makes the version this writer's: the file system creates the claim for one writer alone.
+
+    A claim that never became a snapshot is void after ``CLAIM_SECONDS``: its writer is gone."""
+    hadoop, files = _files(spark, path)
+    claim = hadoop(f"{path}/claims/{version}")
+    if files.exists(claim) and version not in complete_versions(spark, path):
+        age = time.time() - files.getFileStatus(claim).getModificationTime() / 1000
+        if age > CLAIM_SECONDS:
+            files.delete(claim, False)
+    if not files.createNewFile(claim):
+        raise ConflictError(f"version {version} is another writer's")
+
+
 def save_memory(tables: dict[str, DataFrame], path: str, version: int, keep: int = KEPT_VERSIONS) -> None:
-    """A new snapshot beside the old ones. Its row in the manifest is written last, so a snapshot that broke off is never
-    read; all but the newest ``keep`` complete ones are deleted after that."""
+    """A new snapshot beside the old ones. One writer can have a version: for all others it is a :class:`ConflictError`, and nothing
+    is overwritten. Its row in the manifest is written last, so a snapshot that broke off is never read; all but the newest ``keep`` complete
+    ones are deleted after that."""
     spark = next(iter(tables.values())).sparkSession
-    for name in memory.TABLES:
-        if name in tables:
-            memory.aligned(tables[name], name).write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
-    spark.range(1).select(F.lit(version).cast("long").alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/manifest")
-    old = complete_versions(spark, path)[keep:]
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for v in old:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
+    hadoop, files = _files(spark, path)
+    _claim(spark, path, version)
+    try:
+        for name in memory.TABLES:
+            if name in tables:
+                memory.aligned(tables[name], name).write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+        spark.range(1).select(F.lit(version).cast("long").alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/manifest")
+    except Exception:
+        files.delete(hadoop(f"{path}/claims/{version}"), False)
+        raise
+    for v in complete_versions(spark, path)[keep:]:
+        files.delete(hadoop(f"{path}/version={v}"), True)
+
+
+def update_memory(spark: SparkSession, path: str, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], keep: int = KEPT_VERSIONS, tries: int = 20) -> int:
+    """K7, K9, S14 for several writers: the version that ``change`` of the newest snapshot's tables became.
+
+    Where another writer was faster, the change is made again on what that one wrote, so neither's rows are lost."""
+    for n in range(tries):
+        newest = max(complete_versions(spark, path), default=0)
+        tables = {k: v for k, v in load_memory(spark, path, newest).items()} if newest else {k: memory.empty(spark, k) for k in memory.TABLES}
+        try:
+            save_memory(change(tables), path, newest + 1, keep)
+        except ConflictError:
+            time.sleep(min(0.1 * 2**n, 5))
+            continue
+        return newest + 1
+    raise ConflictError(f"{tries} tries, and always another writer was faster")
 
 
 def complete_versions(spark: SparkSession, path: str) -> list[int]:
     """The snapshots that were finished, the newest first; older ones than the kept are gone."""
+    hadoop, files = _files(spark, path)
+    if not files.exists(hadoop(f"{path}/manifest")):
+        return []
     return [r[0] for r in spark.read.parquet(f"{path}/manifest").select("version").distinct().orderBy(F.col("version").desc()).limit(1000).collect()]
 
 

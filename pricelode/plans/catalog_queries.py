@@ -28,9 +28,9 @@ select id as external_id, case when code <> '' then code else id end as referenc
 from r where n = 1""")
 def q01_catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2, P1-P5, D1."""
-    rows = first_per(raw_parts(spark, sf_dir), ["name", "code"])
-    name = F.col("name")
-    return rows.select(F.col("id").alias("external_id"), C.reference(F.col("code"), F.col("id")).alias("reference"), C.product_part(name).alias("product"), C.supplier_part(name).alias("supplier"), C.brands(name).alias("brands"), cents(F.col("cost")).alias("cost_cents"))
+    raw = raw_parts(spark, sf_dir).withColumnsRenamed({"code": "default_code", "cost": "standard_price"})
+    out = C.build_catalog(raw.withColumn("standard_price", F.col("standard_price").cast("string")))
+    return out.select(F.col("id_externo").alias("external_id"), F.col("referencia").alias("reference"), F.col("producto").alias("product"), F.col("proveedor").alias("supplier"), F.col("marcas").alias("brands"), cents(F.col("costo_actual")).alias("cost_cents"))
 
 
 @query(f"""with raw as ({RAW}) select count(*) as products, count(distinct string_split(name, ' - ')[-1]) as suppliers,

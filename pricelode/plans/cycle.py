@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelode import constants as K
@@ -87,11 +87,17 @@ def message_lines(sources: DataFrame, index: DataFrame, store: Store, forced: li
     return lines, notes.unionByName(old), seen
 
 
+def line_id(source: Column, line: Column) -> Column:
+    """A line's number over all sources, in their order; a source id that doesn't fit beside the line's number is refused, for it could be another line's."""
+    fits = source.between(0, (1 << 32) - 1) & line.between(0, (1 << 31) - 1)
+    return F.when(fits, F.shiftleft(source, 31) + line).otherwise(F.raise_error(F.concat(F.lit("a source id must be from 0 to 2^32 - 1: "), source.cast("string"))).cast("long"))
+
+
 def _shaped(parsed: DataFrame, about: DataFrame) -> DataFrame:
     rows = parsed.filter("not note").join(about, "source_id")
     source = F.when(F.col("source_kind") == "texto", F.col("block")).otherwise(F.col("sender"))
     return rows.select(
-        (F.shiftleft("source_id", 31) + F.col("line_no")).alias("line_id"), F.col("supplier").alias("proveedor"), F.col("block").alias("proveedor_bloque"), "description", F.col("cost").alias("price"),
+        line_id(F.col("source_id"), F.col("line_no")).alias("line_id"), F.col("supplier").alias("proveedor"), F.col("block").alias("proveedor_bloque"), "description", F.col("cost").alias("price"),
         F.coalesce("month", F.lit("")).alias("mes"), "line", source.alias("fuente"), F.col("origin").alias("origen"), "huella", "source_order", F.col("kind").alias("tipo"), F.lit("").alias("codigo"), F.lit(False).alias("es_lista"),
     )
 

@@ -1,9 +1,12 @@
 """The drop folder as a stream, and what a cycle writes."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from pricelode.operators import memory, output, verify
+from pricelode.operators import catalog, memory, output, verify
+from pricelode.plans import cycle
 from pricelode.streaming import intake
 
 
@@ -46,3 +49,46 @@ def test_output(spark, tmp_path):
     assert output.complete_versions(spark, f"file://{tmp_path}/mem")[0] == 7 and not (tmp_path / "mem/version=4").exists() and (tmp_path / "mem/version=5").exists()
     assert output.load_memory(spark, f"file://{tmp_path}/mem", names=["alias"])["alias"].count() == 1
     assert memory.empty(spark, "ajustes").columns == ["seq", "clave", "valor"]
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    """The slower one's change is made again on what the faster one wrote; a version has one writer."""
+    path, calls = f"file://{tmp_path}/mem", []
+
+    def adding(word):
+        new = spark.createDataFrame([(0, word, "r", "", "")], memory.schema_of("alias"))
+        return lambda tables: tables | {"alias": memory.append(tables["alias"], new)}
+
+    assert output.update_memory(spark, path, adding("a")) == 1
+
+    def slower(tables):
+        calls.append(tables)
+        if len(calls) == 1:
+            output.update_memory(spark, path, adding("b"))
+        return adding("c")(tables)
+
+    assert output.update_memory(spark, path, slower) == 3 and len(calls) == 2
+    assert [r["texto"] for r in output.load_memory(spark, path)["alias"].orderBy("seq").collect()] == ["a", "b", "c"]
+    with pytest.raises(output.ConflictError):
+        output.save_memory({"alias": memory.empty(spark, "alias")}, path, 3)
+    assert output.load_memory(spark, path, 3)["alias"].count() == 3
+    # a claim of a writer that is gone
+    (tmp_path / "mem/claims/4").touch()
+    os.utime(tmp_path / "mem/claims/4", (0, 0))
+    assert output.update_memory(spark, path, adding("d")) == 4
+
+
+def test_continuation_over_ranges(spark):
+    """Rows without a name continue the last named one, wherever the export was cut."""
+    rows = [(i, "n" if i in (3, 4, 40, 77) else "") for i in range(90)]
+    df = spark.createDataFrame(rows, "seq long, name string").repartition(7)
+    got = {r["seq"]: r["grp"] for r in catalog.continued(df, F.col("name") != "", "seq", "grp").collect()}
+    assert got == {i: max((k for k in (3, 4, 40, 77) if k <= i), default=None) for i in range(90)}
+    assert catalog.continued(df.limit(0), F.col("name") != "", "seq", "grp").count() == 0
+
+
+def test_source_ids_that_do_not_fit_are_refused(spark):
+    df = spark.createDataFrame([(7, 3), ((1 << 32) - 1, 0)], "source_id long, line_no int")
+    assert [r[0] for r in df.select(cycle.line_id(F.col("source_id"), F.col("line_no"))).collect()] == [(7 << 31) + 3, ((1 << 32) - 1) << 31]
+    with pytest.raises(Exception, match="source id"):
+        spark.createDataFrame([(1 << 32, 0)], "source_id long, line_no int").select(cycle.line_id(F.col("source_id"), F.col("line_no"))).collect()
