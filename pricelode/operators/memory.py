@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.functions.text import code_key, normalize
@@ -76,6 +76,31 @@ def append(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.unionByName(_next(df, rows))
 
 
+def decided(df: DataFrame, log: DataFrame, op: str) -> DataFrame:
+    """A table with the decisions of its log (batch, op, and the table's columns) on it, as if each had been made on what the one before it left.
+
+    ``op`` says how: ``append`` (M4, K6), ``upsert:keys`` (M3: a key's last decision wins), ``absent:keys`` (M5, M7: the first that a key has), or ``codes``
+    (M6: the last decision for a supplier's normalized name and code, with the last units that were said, else those of the table)."""
+    kind, _, names = op.partition(":")
+    keys = names.split(",") if names else []
+    new = log.drop("op")
+    if kind == "codes":
+        keys = ["_name", "_code"]
+        df, new = (d.withColumns({"_name": normalize("proveedor"), "_code": code_key(F.col("codigo_proveedor"))}) for d in (df, new))
+        units = new.filter("unidades <> ''").groupBy(*keys).agg(F.max_by("unidades", "seq").alias("_said"))
+        known = df.groupBy(*keys).agg(F.min_by("unidades", "seq").alias("_known"))
+        new = new.join(units, keys, "left").join(known, keys, "left").withColumn("unidades", F.coalesce("_said", "_known", F.lit(""))).drop("_said", "_known")
+    if keys:
+        which = F.min if kind == "absent" else F.max
+        new = new.withColumn("_batch", which("batch").over(Window.partitionBy(*keys))).filter("batch = _batch").drop("_batch")
+        if kind == "absent":
+            new = new.dropDuplicates(keys).join(df.select(*keys).distinct(), keys, "left_anti")
+        else:
+            df = df.join(new.select(*keys).distinct(), keys, "left_anti")
+    columns = ["seq", *(c for c in df.columns if c != "seq" and not c.startswith("_"))]
+    return df.select(columns).unionByName(_next(df.select(columns), new.select(columns)))
+
+
 def not_processed(df: DataFrame, processed: DataFrame, keys: list[str], forced: DataFrame | None = None) -> DataFrame:
     """rows whose fingerprint is new, or was forced."""
     seen = processed.select(*keys).distinct()

@@ -18,32 +18,75 @@ from pricelode.operators import classify, matching, memory, output, providers, t
 from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import first_per, latest_value, winners
 from pricelode.sources.messages import read_messages
-from pricelode.storage import kept
+from pricelode.storage import finished, fresh_path, kept, subfolders
 
 SOURCE = "source_id long, kind string, origin string, supplier string, text string, seq long"
 
 
+#: Decisions after which a table's log is folded into the table.
+FOLD_AFTER = 50
+#: Rows of one decision at most.
+DECISION_ROWS = 1_000_000
+
+
 @dataclass
 class Store:
-    """Memory by table name; missing tables are empty."""
+    """Memory by table name; missing tables are empty.
+
+    A decision is appended to its table's log and nothing else is written; :meth:`read` is the table with the log's decisions on it, the last
+    one of a key winning. After ``FOLD_AFTER`` decisions the log is folded into a new table. With a ``path`` all of it stays there: a store
+    that is opened on it again goes on where the other one stopped. A fold that broke off is never read. One writer at a time has a store."""
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    path: str | None = None
+    logs: dict[str, tuple[int, str, int]] = field(default_factory=dict)
+    folds: dict[str, int] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        resumed = self.path is not None
+        self.path = self.path or fresh_path(self.spark, "store")
+        for name in memory.TABLES if resumed else ():
+            done = [int(x.removeprefix("table-")) for x in subfolders(self.spark, f"{self.path}/{name}") if x.startswith("table-") and finished(self.spark, f"{self.path}/{name}/{x}")]
+            if done:
+                self.folds[name] = max(done)
+                self.tables[name] = self.spark.read.schema(memory.schema_of(name)).parquet(self._at(name, "table"))
+            if f"log-{self.folds.get(name, 0)}" in subfolders(self.spark, f"{self.path}/{name}"):
+                last = self._log(name).agg(F.max(F.struct("batch", "op")).alias("x"), F.count_distinct("batch").alias("n")).first()
+                if last["x"]:
+                    self.logs[name] = (last["x"]["batch"], last["x"]["op"], last["n"])
+
+    def _at(self, name: str, what: str) -> str:
+        return f"{self.path}/{name}/{what}-{self.folds.get(name, 0)}"
+
+    def _log(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"batch long, op string, {memory.schema_of(name)}").parquet(self._at(name, "log"))
 
     def read(self, name: str) -> DataFrame:
-        return memory.aligned(self.tables[name], name) if name in self.tables else memory.empty(self.spark, name)
+        base = memory.aligned(self.tables[name], name) if name in self.tables else memory.empty(self.spark, name)
+        return memory.decided(base, self._log(name), self.logs[name][1]) if name in self.logs else base
 
     def put(self, name: str, rows: list[dict], keys: list[str] | None = None, absent: bool = False) -> None:
+        op = "append" if keys is None else "codes" if name == "codigos_proveedor" else f"{'absent' if absent else 'upsert'}:{','.join(keys)}"
+        batch, before, n = self.logs.get(name, (0, op, 0))
+        if before != op or n >= FOLD_AFTER:
+            self.replace(name, self.read(name))
+            batch, n = 0, 0
         columns = memory.TABLES[name]
-        new = self.spark.createDataFrame([(i, *(str(r.get(c, "")) for c in columns)) for i, r in enumerate(rows)], memory.schema_of(name))
-        old = self.read(name)
-        if keys is None:
-            out = memory.append(old, new)
-        elif name == "codigos_proveedor":
-            out = memory.upsert_codes(old, new)
-        else:
-            out = memory.insert_absent(old, new, keys) if absent else memory.upsert(old, new, keys)
-        self.tables[name] = kept(out, f"memory_{name}")
+        cells = [(batch + 1, op, (batch + 1) * DECISION_ROWS + i, *(str(r.get(c, "")) for c in columns)) for i, r in enumerate(rows)]
+        if not rows or len(rows) > DECISION_ROWS:
+            raise ValueError(f"a decision has from one to {DECISION_ROWS} rows")
+        new = self.spark.createDataFrame(cells, f"batch long, op string, {memory.schema_of(name)}")
+        new.coalesce(1).write.mode("append").parquet(self._at(name, "log"))
+        self.logs[name] = (batch + 1, op, n + 1)
+
+    def replace(self, name: str, table: DataFrame) -> None:
+        """The table is this one from now on; its log begins anew."""
+        at = self.folds.get(name, 0) + 1
+        memory.aligned(table, name).write.mode("overwrite").parquet(f"{self.path}/{name}/table-{at}")
+        self.folds[name] = at
+        self.tables[name] = self.spark.read.schema(memory.schema_of(name)).parquet(self._at(name, "table"))
+        self.logs.pop(name, None)
 
     def setting(self, key: str) -> str:
         row = self.read("ajustes").filter(F.col("clave") == key).orderBy(F.col("seq").desc()).first()
@@ -372,7 +415,9 @@ def decide(store: Store, row: dict, action: str, answer: str = "", answers: Answ
     elif action == "iva_proveedor":
         asked = store.spark.createDataFrame([(row["proveedor_bloque"] or row["proveedor"], answer)], "asked string, iva_lista string")
         cards, taxes = providers.set_tax(asked, store.read("proveedores"), store.read("impuestos"))
-        store.tables["proveedores"], store.tables["impuestos"] = kept(cards, "memory_proveedores"), kept(taxes, "memory_impuestos")
+        cards, taxes = kept(cards, "cards"), kept(taxes, "taxes")
+        store.replace("proveedores", cards)
+        store.replace("impuestos", taxes)
     elif action == "iva_producto":
         store.put("impuestos", [{"ambito": "referencia", "clave": row["referencia"], "iva": answer, "percepcion": "0"}], ["ambito", "clave"])
     elif action in ("gramaje", "presentacion", "variacion"):

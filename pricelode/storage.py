@@ -5,20 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: a step's plan stays small, and a lost executor costs a reread.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own only where that is unset and there is but one machine."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and there is but one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-pricelode-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/pricelode/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/pricelode/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: a step's plan stays small, and a lost executor costs a reread."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it isn't there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in files.listStatus(folder)] if files.exists(folder) else []
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    return "_SUCCESS" in subfolders(spark, path)

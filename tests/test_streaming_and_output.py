@@ -92,3 +92,30 @@ def test_source_ids_that_do_not_fit_are_refused(spark):
     assert [r[0] for r in df.select(cycle.line_id(F.col("source_id"), F.col("line_no"))).collect()] == [(7 << 31) + 3, ((1 << 32) - 1) << 31]
     with pytest.raises(Exception, match="source id"):
         spark.createDataFrame([(1 << 32, 0)], "source_id long, line_no int").select(cycle.line_id(F.col("source_id"), F.col("line_no"))).collect()
+
+
+def test_decisions_are_a_log(spark, tmp_path, monkeypatch):
+    """A store read from its log, folded or not, stopped and opened again, equals one that upserts each decision into the table."""
+    monkeypatch.setattr(cycle, "FOLD_AFTER", 3)
+    rows = {n: spark.createDataFrame([(i, *r) for i, r in enumerate(x)], memory.schema_of(n)) for n, x in {
+        "alias": [("pan", "r0", "rio", ""), ("miel", "r1", "", "")], "codigos_proveedor": [("Río", "A-1", "d", "r1", "6"), ("Sur", "B2", "d", "r2", "")], "aprobados": [("r1", "gramaje", "")]}.items()}
+    store = cycle.Store(spark, dict(rows), path=f"file://{tmp_path}/store")
+    plain = dict(rows)
+    code = lambda p, c, r, u="": {"proveedor": p, "codigo_proveedor": c, "referencia_odoo": r, "unidades": u}
+    for name, new, keys, absent in [
+        ("alias", {"texto": "pan", "referencia": "r5", "proveedor": "rio"}, ["texto", "proveedor"], False), ("alias", {"texto": "pan", "referencia": "r6", "proveedor": "rio"}, ["texto", "proveedor"], False),
+        ("codigos_proveedor", code("rio", "a1", "r7"), ["x"], False), ("codigos_proveedor", code("RIO", "A 1", "r8", "12"), ["x"], False), ("codigos_proveedor", code("Rio", "A1", "r9"), ["x"], False),
+        ("alias", {"texto": "te", "referencia": "r7", "proveedor": ""}, ["texto", "proveedor"], False), ("alias", {"texto": "te", "referencia": "r8", "proveedor": ""}, ["texto", "proveedor"], False),
+        ("aprobados", {"referencia": "r1", "tipo": "gramaje", "motivo": "late"}, ["referencia", "tipo"], True), ("aprobados", {"referencia": "r2", "tipo": "gramaje", "motivo": "x"}, ["referencia", "tipo"], True),
+        ("aprobados", {"referencia": "r2", "tipo": "gramaje", "motivo": "y"}, ["referencia", "tipo"], True), ("alias", {"texto": "added", "referencia": "r1"}, None, False), ("codigos_proveedor", code("sur", "b-2", "r3"), ["x"], False),
+    ]:
+        store.put(name, [new], keys, absent)
+        one = spark.createDataFrame([(0, *(new.get(c, "") for c in memory.TABLES[name]))], memory.schema_of(name))
+        how = memory.append if keys is None else memory.upsert_codes if name == "codigos_proveedor" else None
+        plain[name] = spark.createDataFrame((how(plain[name], one) if how else (memory.insert_absent if absent else memory.upsert)(plain[name], one, keys)).collect(), memory.schema_of(name))
+    told = lambda df: [tuple(r)[1:] for r in df.orderBy("seq").collect()]
+    again = cycle.Store(spark, {"aprobados": rows["aprobados"], "codigos_proveedor": rows["codigos_proveedor"]}, path=f"file://{tmp_path}/store")
+    for name in rows:
+        assert told(store.read(name)) == told(plain[name]) == told(again.read(name)), name
+    again.put("aprobados", [{"referencia": "r3", "tipo": "gramaje"}], ["referencia", "tipo"], True)
+    assert again.read("aprobados").count() == 3
