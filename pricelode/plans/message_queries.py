@@ -10,7 +10,7 @@ from pricelode.functions import text as T
 from pricelode.operators import matching, memory
 from pricelode.operators.alike import name_pairs
 from pricelode.plans.registry import query, table
-from pricelode.sources import pricelists
+from pricelode.sources import pages, pricelists
 from pricelode.sources.messages import read_messages
 
 
@@ -185,3 +185,24 @@ def q56_alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = p.select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("name"))
     right = p.select(F.lower(F.concat_ws(" ", "p_type", F.element_at(F.split("p_name", " "), -1))).alias("name"))
     return name_pairs(left, right, "set", 100).select("l", "r", F.rint("score").cast("int").alias("score"))
+
+
+@query("""select cast(p_size as bigint) as page, case when p_size % 2 = 0 and count(*) >= 5 then 398.5 end as cut from part group by 1, p_size""")
+def q57_page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of products for each size: those of even sizes have a second column, those of odd ones a price that looks like a code."""
+    p = table(spark, sf_dir, "part").withColumn("nth", F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")))
+    word = lambda text, x: F.struct(text.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x + 45)).alias("x1"))
+    code = (F.col("p_partkey") % 90000 + 10000).cast("string")
+    words = F.array(word(code, 20), word(F.col("p_name"), 75), word(code, 400), word(F.when(F.col("p_size") % 2 == 0, F.col("p_type")), 455))
+    rows = p.select(F.col("p_size").cast("long").alias("page"), F.lit(1000.0).alias("width"), (F.col("nth") * 15.0).alias("top"), F.inline(words)).filter("text is not null")
+    return pages.column_cuts(rows)
+
+
+@query("""with p as (select *, row_number() over (partition by p_size order by p_partkey) - 1 as n from part)
+select cast(p_size as bigint) as page, cast(n // 3 as integer) as line, string_agg(p_name || ' $' || replace(cast(p_partkey as varchar), 'O', '0'), '  ' order by n % 3 desc) as text from p group by p_size, n // 3""")
+def q58_box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a photo, three to a line that slopes; letters O for zeros in prices."""
+    p = table(spark, sf_dir, "part").withColumn("n", F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")) - 1)
+    said = F.concat("p_name", F.lit(" $"), F.replace(F.col("p_partkey").cast("string"), F.lit("0"), F.lit("O")))
+    y = F.floor(F.col("n") / 3) * 20.0 + (F.col("n") % 3) * 2.5
+    return pages.box_lines(p.select(F.col("p_size").cast("long").alias("page"), y.alias("y"), F.lit(10.0).alias("height"), (100.0 - 10 * (F.col("n") % 3)).alias("x"), said.alias("text")))

@@ -273,8 +273,6 @@ def test_lists(spark):
     assert [(x["code"], x["price"], x["no_stock"]) for x in c] == [("7795933000496", 1397.88, False), ("01-0112", 1808.13, False), ("01-0172", 0.0, True)] and " 88 " not in c[1]["description"]
     d, unread = read("PASTAS RIO", "80018 Fideos x 500 g $ 2.598", "CUBE TRUMPET BIG 7814.282 6 NUEVO")
     assert d[0]["section"] == "Pastas Río" and unread == ["CUBE TRUMPET BIG 7814.282 6 NUEVO"]
-    assert office.column_cut([("80011", 10, 40, y) for y in range(5)] + [("80012", 400, 430, y) for y in range(5)] + [("x", 450, 460, y) for y in range(5)], 1000) == 398.5
-    assert office.ocr_lines([([(0, 0), (9, 10)], "Miel"), ([(20, 1), (29, 11)], "$1O0"), ([(0, 30), (5, 40)], "Pan")]) == ["Miel  $100", "Pan"]
 
 
 def test_tables(spark):
@@ -288,6 +286,25 @@ def test_tables(spark):
     assert pricelists.table_lines([["Fideos", "Pan", "1550"], ["x", "y", "1600"]])[0][4] == "1550"
 
 
+def test_pages(spark):
+    """Two columns are told by codes that line up and go on; a price at a row's end is none. Lines of boxes hang on their first box."""
+    from pricelode.sources import pages
+
+    word = lambda page, text, x, top, wide=45: (page, 1000.0, text, float(x), float(x + wide), float(top))
+    two = [w for i in range(5) for w in (word(1, f"AL-{i:04d}", 20, 15 * i), word(1, "Fideos", 75, 15 * i), word(1, "$1000", 130, 15 * i), word(1, f"AL-{9000 + i}", 400, 15 * i), word(1, "Aceite", 455, 15 * i), word(1, "$2000", 510, 15 * i))]
+    one = [w for i in range(6) for w in (word(2, f"AL-{i:04d}", 20, 15 * i), word(2, "Vino Malbec 750cc", 75, 15 * i, 140), word(2, "15713", 410, 15 * i))]
+    words = spark.createDataFrame([*two, *one, word(3, "solo", 1, 1)], "page int, width double, text string, x0 double, x1 double, top double")
+    assert dict(pages.column_cuts(words).collect()) == {1: 398.5, 2: None, 3: None}
+    lines = [r["text"] for r in pages.column_lines(words).filter("page = 1").orderBy("side", "line").collect()]
+    assert lines[0] == "AL-0000 Fideos $1000" and lines[5] == "AL-9000 Aceite $2000" and len(lines) == 10
+    boxes = [((0, 0), (9, 10), "Miel"), ((20, 1), (29, 11), "$1O0"), ((0, 30), (5, 40), "Pan"), ((40, 5), (50, 15), "sin O"), ((60, 7), (70, 17), "far")]
+    photo = spark.createDataFrame([(7, bytearray(b"x"))], "page int, content binary")
+    got = pages.photo_lines(photo, lambda content: [([a, b], t) for a, b, t in boxes])
+    assert [r["text"] for r in got.orderBy("line").collect()] == ["Miel  $100  sin O", "far", "Pan"]
+    with pytest.raises(RuntimeError):
+        pages.photo_lines(photo, None)
+
+
 def test_sheets(spark):
     raw = spark.createDataFrame([(0, "A", "si", "x $1"), (1, "B", "no", ""), (2, "", "si", "z")], "seq long, Proveedor string, Chequeado string, Mensaje string")
     assert [(r["supplier"], r["checked"], r["message"]) for r in sheets.sheet_rows(raw).orderBy("seq").collect()] == [("A", True, "x $1"), ("B", False, "")]
