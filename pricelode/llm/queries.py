@@ -112,4 +112,16 @@ z as (select part, filter_order, step, own, sum(n) filter (where gone > step) ke
 select part, filter_order, cast(step as integer) as step, cast(coalesce(kept, 0) as bigint) as kept, cast(coalesce(removed, 0) as bigint) as removed, cast(coalesce(redundant, 0) as bigint) as redundant,
  cast(coalesce(unique_fails, 0) as bigint) as unique_fails, cast(coalesce(good_lost, 0) as bigint) as good_lost, cast(coalesce(toxic_lost, 0) as bigint) as toxic_lost,
  cast(sum(coalesce(removed, 0)) over (partition by part, own) as bigint) as shapley from z""",
+    "op13_importance_resampling": r"""with base as (select doc_id, text, true as own from documents union all select null, text, false from benchmark),
+w as (select row_number() over () as r, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from base),
+f as (select r, own, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) f from w),
+tab as (select list(c order by n) t from (select n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384::ubigint) else c // 2 end) c from (select unnest(range(256))::ubigint n))),
+d as (select distinct f from f),
+b as (select f, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: ('0x' || x)::ubigint)), lambda c, x: xor(c // 256, t[xor(c % 256, x)::bigint + 1])), 4294967295::ubigint) % 10000 as bucket from d, tab),
+n as (select bucket, count(*) filter (where own) s, count(*) filter (where not own) t from f join b on b.f = f.f group by 1),
+g as (select bucket, cast(floor(1000 * ln((t + 1)::double * ((select sum(s) from n) + 10000)::double / ((s + 1)::double * ((select sum(t) from n) + 10000)::double))) as bigint) gain from n),
+x as (select r, count(*) n_features, cast(floor(sum(gain)::double / count(*)) as bigint) weight from f join b on b.f = f.f join g on g.bucket = b.bucket where own group by 1),
+z as (select doc_id, len(ws) >= 20 able, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(doc_id::varchar, ''))[1:8])::ubigint + 0.5::double) / 4294967296))) as bigint) as score from w left join x on x.r = w.r where own),
+y as (select *, row_number() over (partition by able order by score desc, doc_id nulls last) place, count(*) over (partition by able) n from z)
+select doc_id, n_features, weight, score, case when able and place <= 25 * n // 100 then place end as rank from y""",
 }
