@@ -1,7 +1,8 @@
 """Messages from a drop folder as a stream (2.12): the same cycle, batch by batch.
 
-A file that comes twice is no new price: what was processed is a table (fingerprints), joined in each batch, so
-no state has to live in the stream and a late file is read like any other. Event-time counts of the decision
+A file that comes twice is no new price. :func:`run_batches` keeps what was processed as a table (fingerprints) that each batch is joined with:
+a copy is known for ever, however late it comes. Where copies come within a known time, :func:`first_copies` keeps the fingerprints as the
+stream's own state, which forgets them after it, so a batch costs what is in it. :func:`answered` joins quotes with the decisions on them as two streams. Event-time counts of the decision
 log show watermarks for those who want a live dashboard.
 """
 
@@ -39,6 +40,20 @@ def run_batches(messages: DataFrame, processed_path: str, handle: Callable[[Data
     return messages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
+def first_copies(messages: DataFrame, at: str = "at", within: str = "30 days") -> DataFrame:
+    """The messages (huella, and the time in column ``at``) of which no copy came before within that time; state is dropped once no copy can come any more."""
+    return messages.withWatermark(at, within).dropDuplicatesWithinWatermark(["huella"])
+
+
+def answered(quotes: DataFrame, decisions: DataFrame, within: str = "7 days", late: str = "1 day") -> DataFrame:
+    """Quotes (huella, at, and more) with the decisions (huella, decided_at, action) that were made on them ``within`` a time; both may be
+    streams, each of which may be ``late``. A quote waits for its decisions as state until none can come any more."""
+    q = quotes.withWatermark("at", late)
+    d = decisions.withWatermark("decided_at", late).withColumnRenamed("huella", "_huella")
+    in_time = (F.col("decided_at") >= F.col("at")) & (F.col("decided_at") <= F.col("at") + F.expr(f"interval {within}"))
+    return q.join(d, (F.col("huella") == F.col("_huella")) & in_time).drop("_huella")
+
+
 def decisions_per_window(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Decisions by kind and time window, late ones up to ``late``; works on streams and tables."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)

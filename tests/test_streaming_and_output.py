@@ -29,6 +29,33 @@ def test_files_are_processed_once(spark, tmp_path):
     assert sorted(seen) == ["Fideos $10", "Pan $5"]
 
 
+def test_copies_and_answers_as_state(spark, tmp_path):
+    """Repeated, late and restarted batches: a copy is dropped across restarts, a decision finds a quote of an earlier batch."""
+    quotes, decisions = tmp_path / "quotes", tmp_path / "decisions"
+    quotes.mkdir(), decisions.mkdir()
+
+    def stream(folder, schema):
+        return spark.readStream.schema(schema).json(f"file://{folder}")
+
+    def run():
+        first = intake.first_copies(stream(quotes, "huella string, at timestamp, price double"), within="2 days")
+        both = intake.answered(stream(quotes, "huella string, at timestamp, price double"), stream(decisions, "huella string, decided_at timestamp, action string"), "7 days", "2 days")
+        for df, name in ((first, "first"), (both, "both")):
+            out = df.writeStream.format("parquet").option("path", f"file://{tmp_path}/{name}").option("checkpointLocation", f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+            out.awaitTermination(120)
+        return sorted((r["huella"], r["price"]) for r in spark.read.parquet(f"file://{tmp_path}/first").collect()), sorted((r["huella"], r["action"]) for r in spark.read.parquet(f"file://{tmp_path}/both").collect())
+
+    (quotes / "1.json").write_text('{"huella": "a", "at": "2024-03-01 10:00:00", "price": 1}\n{"huella": "a", "at": "2024-03-01 11:00:00", "price": 1}')
+    (decisions / "1.json").write_text('{"huella": "a", "decided_at": "2024-03-01 12:00:00", "action": "aprobar"}\n{"huella": "b", "decided_at": "2024-03-02 12:00:00", "action": "early"}')
+    assert run() == ([("a", 1.0)], [("a", "aprobar"), ("a", "aprobar")])
+    # after a restart: a late copy of a, a late quote that a decision waited for, and a decision after its time
+    (quotes / "2.json").write_text('{"huella": "a", "at": "2024-02-29 20:00:00", "price": 2}\n{"huella": "b", "at": "2024-03-02 09:00:00", "price": 3}\n{"huella": "c", "at": "2024-03-01 09:00:00", "price": 4}')
+    (decisions / "2.json").write_text('{"huella": "c", "decided_at": "2024-03-09 12:00:00", "action": "too late"}')
+    first, both = run()
+    assert first == [("a", 1.0), ("b", 3.0), ("c", 4.0)]
+    assert ("b", "early") in both and ("c", "too late") not in both
+
+
 def test_windows(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert intake.decisions_per_window(events).agg(F.sum("n")).first()[0] == events.count()
