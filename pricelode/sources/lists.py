@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.functions.phrases import PRICE_IN_TEXT
-from pricelode.sources import office, pricelists
+from pricelode.sources import cells, office, pricelists
+from pricelode.storage import kept
 
 Reader = Callable[[bytes], list[str]]
 
@@ -43,25 +44,13 @@ def file_lines(files: DataFrame, pdf: Reader | None = None, photo: Reader | None
     return files.select("source_id", "name", "content").mapInArrow(task, "source_id long, line_no long, line string")
 
 
-def word_tables(files: DataFrame) -> DataFrame:
-    """Tables of Word documents as CSV files of their own, so that they are read like any table."""
+def word_cells(files: DataFrame) -> DataFrame:
+    """Cells of the tables in Word documents, each table for itself; written once."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import csv
-        import io
-
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if office.is_docx(r["content"]):
-                    for table in office.docx_parts(r["content"])[1]:
-                        text = io.StringIO()
-                        csv.writer(text, delimiter=";").writerows(table)
-                        out.append((r["source_id"], r["name"] + ".csv", text.getvalue().encode()))
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary())], ["source_id", "name", "content"])
+    def tables(name: str, content: bytes) -> list[tuple[str, list[list[str]]]]:
+        return [("", t) for t in office.docx_parts(content)[1]] if office.is_docx(content) else []
 
-    return files.select("source_id", "name", "content").mapInArrow(task, "source_id long, name string, content binary")
+    return kept(cells.file_cells(files, tables), "cells")
 
 
 def read_lists(files: DataFrame, names: DataFrame, pdf: Reader | None = None, photo: Reader | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,9 +60,12 @@ def read_lists(files: DataFrame, names: DataFrame, pdf: Reader | None = None, ph
     lower = F.lower("name")
     table = lower.rlike(r"\.(xlsx|xls|csv)$")
     lines = file_lines(files.filter(~table), pdf, photo)
-    tables = pricelists.table_articles(files.filter(table).select("source_id", "name", "content").unionByName(word_tables(files.filter(~table))), names)
+    sheet = pricelists.first_sheets(files.filter(table).select("source_id", "name", "content"))
+    tables = pricelists.cell_articles(sheet, names).unionByName(pricelists.cell_articles(word_cells(files.filter(~table)), names))
     texts, unread = pricelists.text_articles(lines.join(tables.select("source_id").distinct(), "source_id", "left_anti"), names)
     articles = tables.unionByName(texts)
     whole = lines.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
     messages = whole.join(articles.select("source_id").distinct(), "source_id", "left_anti").filter(F.col("text").rlike(PRICE_IN_TEXT))
+    # a sheet whose price column can't be told is for a person to see
+    unread = unread.unionByName(cells.without_price(sheet).select("source_id", F.lit(0).cast("long").alias("line_no"), F.concat(F.lit("sin columna de precio: "), "labels").alias("line")))
     return articles, unread.join(messages.select("source_id"), "source_id", "left_anti"), messages

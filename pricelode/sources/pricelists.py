@@ -2,23 +2,21 @@
 
 Lists of text lines are read by relational steps over all lists at once: four line grammars in order,
 the section's brand carried forward, a vote on the decimal mark per list, first-wins dedup.
-Tables are read per file (an upload is bounded), since a file's header decides its columns.
+Tables are cells (:mod:`pricelode.sources.cells`); their columns are found for all files at once.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelode.constants import GENERIC_SECTIONS, HEADER_HINTS
+from pricelode.constants import GENERIC_SECTIONS
 from pricelode.functions import phrases as P
 from pricelode.functions.numbers import decimal_signal, list_number
-from pricelode.functions.text import bare, normalize
+from pricelode.functions.text import normalize
 from pricelode.operators.ordering import first_per, top_per
+from pricelode.sources import cells
+from pricelode.storage import kept
 
 ARTICLE = "source_id long, line_no long, code string, repeated_code string, description string, brand string, section string, price double, previous double, no_stock boolean, line string"
 
@@ -100,99 +98,29 @@ def text_articles(lines: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFr
 # --- tables
 
 
-def hinted(label: object, field: str) -> bool:
-    n = bare(str(label)).strip()
-    return any(n.startswith(p) for p in HEADER_HINTS[field])
-
-
-def header_score(labels: list) -> int:
-    return sum(any(hinted(x, f) for x in labels) for f in ("codigo", "descripcion", "precio"))
-
-
-def as_number(text: object) -> float | None:
-    try:
-        return float(str(text).strip())
-    except ValueError:
-        return None
-
-
-def detect_columns(labels: list, rows: list[list[str]]) -> dict[str, int]:
-    """Field -> column, by name; else the most numeric one is the price and the longest the description."""
-    found: dict[str, int] = {}
-    for field in ("precio", "marca", "codigo", "descripcion"):
-        at = next((i for i, x in enumerate(labels) if i not in found.values() and hinted(x, field)), None)
-        if at is not None:
-            found[field] = at
-    free = [i for i in range(len(labels)) if i not in found.values()]
-    cells = lambda i: [r[i] for r in rows if i < len(r)]
-    if "precio" not in found and free and rows:
-        share = {i: sum(as_number(c) is not None for c in cells(i)) / len(rows) for i in free}
-        best = max(share, key=share.get)
-        if share[best] > 0.6:
-            found["precio"] = best
-            free.remove(best)
-    if "descripcion" not in found and free and rows:
-        found["descripcion"] = max(free, key=lambda i: sum(len(c) for c in cells(i)))
-    return found
-
-
-def with_header(rows: list[list[str]]) -> tuple[list, list[list[str]]]:
-    """The best header among the first rows; a first row that is an article goes back to the data."""
-    labels, body = rows[0], rows[1:]
-    scores = [header_score(r) for r in body[:5]]
-    if scores and max(scores) > header_score(labels):
-        at = scores.index(max(scores))
-        labels, body = body[at], body[at + 1 :]
-    found = detect_columns(labels, body)
-    if "precio" in found and as_number(labels[found["precio"]]) is not None:
-        body = [labels, *body]
-        labels = list(range(len(labels)))
-    return labels, body
-
-
-class ListError(ValueError):
-    """A list that can't be read; the message is for the person who sent it."""
-
-
-def table_lines(rows: list[list[str]]) -> list[tuple[int, str, str, str, str, str]]:
-    """line_no, code, description, brand, price text and line of a table's rows."""
-    rows = [[str(c or "").strip() for c in r] for r in rows]
-    rows = [r for r in rows if any(r)]
-    if not rows:
-        return []
-    labels, body = with_header(rows)
-    found = detect_columns(labels, body)
-    if "precio" not in found:
-        raise ListError(f"no price column among {labels}")
-
-    def cell(r: list[str], field: str) -> str:
-        return r[found[field]] if field in found and found[field] < len(r) else ""
-
-    out = []
-    for n, r in enumerate(body):
-        price = cell(r, "precio").replace("$", "").strip()
-        if cell(r, "descripcion") or cell(r, "codigo"):
-            out.append((n, cell(r, "codigo").upper(), cell(r, "descripcion"), cell(r, "marca"), price, " · ".join(c for c in r if c)))
-    return out
+def first_sheets(files: DataFrame) -> DataFrame:
+    """Cells of the first sheet of each file (source_id, name, content), written once: they are read several times."""
 
+    def first(name: str, content: bytes) -> list[tuple[str, list[list[str]]]]:
+        from pricelode.sources.office import table_rows
 
-def table_articles(files: DataFrame, names: DataFrame) -> DataFrame:
-    """Articles of table files (source_id, name, content): xlsx, or CSV with any separator.
+        return [("", table_rows(name, content))]
 
-    Files are read one by one in tasks; what follows is relational over all of them."""
+    return kept(cells.file_cells(files, first), "cells")
 
-    names_ = ["source_id", "line_no", "code", "description", "column", "txt", "line"]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pricelode.sources.office import table_rows
+def table_articles(files: DataFrame, names: DataFrame) -> DataFrame:
+    """Articles of table files (source_id, name, content): xlsx, or CSV with any separator.
+
+    Tasks read files to cells; header, columns and lines are found for all files at once (:mod:`pricelode.sources.cells`). A file without a price column has no articles."""
+    return cell_articles(first_sheets(files), names)
 
-        for batch in batches:
-            out = [(r["source_id"], *x) for r in batch.to_pylist() for x in table_lines(table_rows(r["name"], r["content"]))]
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.string()) for i, c in enumerate(columns)], names_)
 
-    raw = files.select("source_id", "name", "content").mapInArrow(task, "source_id long, line_no long, code string, description string, column string, txt string, line string")
-    raw = raw.join(vote(raw, "txt"), "source_id").withColumn("price", list_number(F.col("txt"), F.col("mark"))).filter("price > 1")
-    exact = raw.withColumn("key", normalize("column")).join(names.select("key", F.col("canonical").alias("_c")), "key", "left")
+def cell_articles(sheet: DataFrame, names: DataFrame) -> DataFrame:
+    """Articles of tables given as cells (source_id, tab_no, row_no, col, value); line_no counts on through a source's tables, 2**24 for each."""
+    raw = kept(cells.table_lines(sheet), "table-lines")
+    raw = raw.withColumn("line_no", F.shiftleft(F.col("tab_no").cast("long"), 24) + F.col("line_no")).drop("tab_no")
+    raw = raw.join(vote(raw, "price"), "source_id").withColumn("price", list_number(F.col("price"), F.col("mark"))).filter("price > 1")
+    exact = raw.withColumn("key", normalize("brand")).join(names.select("key", F.col("canonical").alias("_c")), "key", "left")
     read = exact.select("source_id", "line_no", "code", tidy(F.col("description")).alias("description"), F.coalesce("_c", F.lit("")).alias("brand"), F.lit("").alias("section"), "price", F.lit(None).cast("double").alias("previous"), F.lit(False).alias("no_stock"), "line")
     return without_repeated_codes(read).select(*(c.split()[0] for c in ARTICLE.split(", ")))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelode.constants import CHECKED_WORDS
-from pricelode.functions.text import bare, normalize
+from pricelode.functions.text import normalize
 from pricelode.operators.alike import name_pairs
 from pricelode.sources.office import sheet_headers
 
@@ -42,26 +43,41 @@ def csv_url(link: str) -> str:
     return f"https://docs.google.com/spreadsheets/d/{m[1]}/export?format=csv" + (f"&gid={gid[1]}" if gid else "")
 
 
-def tabs(html: str) -> list[tuple[str, str]]:
-    """(gid, name) of the tabs that a sheet's page lists."""
-    return [(g, n) for n, g in re.findall(r'name:\s*"([^"]*)"[^}]*?gid:\s*"(\d+)"', html)]
-
-
-def tab_role(columns: list[str]) -> str | None:
-    """Messages, expected lists, or manual reminders, by the columns."""
-    plain = [bare(c) for c in columns]
-    for role, parts in (("messages", ("mensaje",)), ("lists", ("envia", "lista")), ("manual", ("chequeado",))):
-        if any(p in c for p in parts for c in plain):
-            return role
-    return None
+def _shared(content: bytes) -> bytes:
+    if content.lstrip()[:1] == b"<":
+        raise PermissionError("the sheet isn't shared with everyone who has the link")
+    return content
 
 
 def download(link: str, opener: Callable[[str], bytes]) -> bytes:
     """The sheet as CSV, through ``opener``; a page instead of a table means that it isn't shared."""
-    content = opener(csv_url(link))
-    if content.lstrip()[:1] == b"<":
-        raise PermissionError("the sheet isn't shared with everyone who has the link")
-    return content
+    return _shared(opener(csv_url(link)))
+
+
+def book_link(link: str) -> str:
+    """The export of a shared sheet's whole book, all tabs in one file."""
+    return csv_url(link).split("/export?")[0] + "/export?format=xlsx"
+
+
+def remote_books(links: DataFrame, opener: Callable[[str], bytes]) -> DataFrame:
+    """source_id, name, content of the books behind links (source_id, link), each fetched in a task through ``opener``."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                content = _shared(opener(book_link(r["link"])))
+                yield pa.RecordBatch.from_arrays([pa.array([r["source_id"]], pa.int64()), pa.array(["book.xlsx"]), pa.array([content], pa.binary())], ["source_id", "name", "content"])
+
+    return links.select("source_id", "link").mapInArrow(task, "source_id long, name string, content binary")
+
+
+def book_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a book's rows (:func:`pricelode.sources.cells.book_rows`) its messages as :func:`sheet_rows` gives them,
+    the suppliers whose lists are expected, and those that a person checks by hand."""
+    checked = F.upper("checked").isin(*CHECKED_WORDS)
+    of = lambda role: rows.filter(F.col("role") == role)
+    sheet = of("messages").select("source_id", "seq", "supplier", F.when(F.col("checks"), checked).alias("checked"), "message", "updated")
+    return sheet, of("lists").select("source_id", "supplier"), of("manual").select("source_id", "supplier", checked.alias("checked"))
 
 
 def missing_lists(expected: DataFrame, loaded: DataFrame, cut: float = 90) -> DataFrame:

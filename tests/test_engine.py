@@ -8,7 +8,7 @@ from pricelode.functions import fuzzy, numbers, text
 from pricelode.operators import catalog as C
 from pricelode.operators import classify, memory, verify
 from pricelode.plans import cycle
-from pricelode.sources import messages, office, pricelists, sheets
+from pricelode.sources import cells, messages, office, pricelists, sheets
 
 PRODUCTS = [
     ("PAN001", "Prepizza napolitana - Panadería Norte", 2000), ("PAN002", "Pan de campo 500 g - Panadería Norte", 3000), ("DUL001", "Prepizzas integrales x 2 - Dulces del Sur", 5500),
@@ -282,9 +282,57 @@ def test_tables(spark):
     files = spark.createDataFrame([(1, "lista.csv", bytearray(text_))], "source_id long, name string, content binary")
     got = [r.asDict() for r in pricelists.table_articles(files, names).orderBy("line_no").collect()]
     assert [(x["code"], x["price"], x["brand"]) for x in got] == [("30011", 1808.13, "Molino Pampa"), ("30012", 980.5, "")]
-    with pytest.raises(pricelists.ListError):
-        pricelists.table_lines([["a", "b"], ["x", "y"]])
-    assert pricelists.table_lines([["Fideos", "Pan", "1550"], ["x", "y", "1600"]])[0][4] == "1550"
+    shape = "source_id long, tab_no int, row_no long, col int, value string"
+    tables = {
+        1: [["a", "b"], ["x", "y"]],  # no price
+        2: [["Fideos", "Pan", "1550"], ["x", "y", "1600"]],  # the first row is an article
+        3: [["ID Artículo", "Descripción", "Marca", "Precio de Venta"], ["7", "Pan", "Espiga", "$ 10,50"]],
+        4: [["LISTA DE OCTUBRE"], ["", "vigente"], ["detalle", "cod", "", "unitario", "valor"], ["Miel", "A1", "z", "5", "6"]],  # two named prices: the left one
+        5: [["ref", "texto largo", "n"], ["1", "una cosa", "9"], ["b", "otra cosa", "8"], ["c", "cosa", ""]],  # the most numeric and the longest
+        6: [["producto"]],
+        7: [["articulo", "articulo", "neto"], ["A-1", "Yerba mate", "5"]],  # one name for two fields
+    }
+    frame = spark.createDataFrame([(s, 0, n, c, v) for s, rows in tables.items() for n, r in enumerate(rows) for c, v in enumerate(r) if v], shape)
+    got = {r["source_id"]: tuple(r)[2:] for r in cells.columns_of(frame).collect()}
+    assert got == {1: (1, None, None, None, 0), 2: (0, 2, None, None, 0), 3: (1, 3, 2, 0, 1), 4: (3, 3, None, 1, 0), 5: (1, 2, None, None, 1), 6: (1, None, None, None, 0), 7: (1, 2, None, 0, 1)}
+    assert {r["source_id"]: r["labels"] for r in cells.without_price(frame).collect()} == {1: "a, b", 6: "producto"}
+    lines = {(r["source_id"], r["line_no"]): (r["code"], r["description"], r["brand"], r["price"], r["line"]) for r in cells.table_lines(frame).collect()}
+    assert lines[2, 0] == ("", "Fideos", "", "1550", "Fideos · Pan · 1550") and lines[3, 0] == ("7", "Pan", "Espiga", "10,50", "7 · Pan · Espiga · $ 10,50")
+    assert cells.table_lines(frame.limit(0)).isEmpty() and len(lines) == 8
+
+
+def test_books(spark):
+    """A book of unlike tabs in one plan: roles by columns, the first tab of messages alone."""
+    import io
+    import zipfile
+
+    tabs_ = {
+        "Notas": [["cosas"], ["x"]],
+        "Manual": [["Chequeado", "Proveedor"], ["x", "Don Tito"], ["", "La Feria"]],
+        "Semana": [["Proveedor", "Chequeado", "Mensaje", "Fecha de actualización"], ["La Espiga", "SI", "Pan $10", "01/10"], ["", "SI", "sin dueño", ""], ["Pastas Río", "", "", ""]],
+        "Listas": [["PROVEEDOR", "Nos envía"], ["Distribuidora Norte", "pdf"], ["Distribuidora Sur", "xlsx"]],
+        "Vieja": [["Proveedor", "Mensaje"], ["La Espiga", "Pan $5"]],
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        names = list(tabs_)
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://r"><sheets>' + "".join(f'<sheet name="{n}" r:id="r{i}"/>' for i, n in enumerate(names)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{9 - i}.xml"/>' for i in range(5)) + "</Relationships>")
+        for i, n in enumerate(names):
+            rows = "".join("<row>" + "".join(f"<c t='inlineStr'><is><t>{c}</t></is></c>" for c in r) + "</row>" for r in tabs_[n])
+            z.writestr(f"xl/worksheets/sheet{9 - i}.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{rows}</sheetData></worksheet>')
+    files = [(1, "libro.xlsx", bytearray(out.getvalue())), (2, "otro.csv", bytearray("Proveedor,Nos envía\nNorte,pdf\n".encode()))]
+    book = cells.file_cells(spark.createDataFrame(files, "source_id long, name string, content binary"))
+    rows = cells.book_rows(book).cache()
+    said = [tuple(r) for r in rows.filter("source_id = 1").orderBy("tab_no", "seq").select("tab", "role", "supplier", "message", "checked", "updated").collect()]
+    assert said == [
+        ("Manual", "manual", "Don Tito", "", "x", ""), ("Manual", "manual", "La Feria", "", "", ""), ("Semana", "messages", "La Espiga", "Pan $10", "SI", "01/10"), ("Semana", "messages", "Pastas Río", "", "", ""),
+        ("Listas", "lists", "Distribuidora Norte", "", "", ""), ("Listas", "lists", "Distribuidora Sur", "", "", ""),
+    ]
+    assert [r["source_id"] for r in cells.without_messages(book).collect()] == [2]
+    sheet, expected, manual = sheets.book_parts(rows)
+    assert [tuple(r)[2:5] for r in sheet.orderBy("seq").collect()] == [("La Espiga", True, "Pan $10"), ("Pastas Río", False, "")]
+    assert expected.count() == 3 and {(r["supplier"], r["checked"]) for r in manual.collect()} == {("Don Tito", True), ("La Feria", False)}
 
 
 def test_pages(spark):
@@ -310,7 +358,10 @@ def test_sheets(spark):
     raw = spark.createDataFrame([(0, "A", "si", "x $1"), (1, "B", "no", ""), (2, "", "si", "z")], "seq long, Proveedor string, Chequeado string, Mensaje string")
     assert [(r["supplier"], r["checked"], r["message"]) for r in sheets.sheet_rows(raw).orderBy("seq").collect()] == [("A", True, "x $1"), ("B", False, "")]
     assert sheets.csv_url("https://docs.google.com/spreadsheets/d/abc/edit#gid=7") == "https://docs.google.com/spreadsheets/d/abc/export?format=csv&gid=7"
-    assert sheets.tab_role(["Proveedor", "Nos envía:"]) == "lists" and office.kind_of("a.csv", b"Proveedor,Mensaje\n") == "sheet"
+    assert sheets.book_link("https://docs.google.com/spreadsheets/d/abc/edit#gid=7") == "https://docs.google.com/spreadsheets/d/abc/export?format=xlsx"
+    links = spark.createDataFrame([(4, "https://docs.google.com/spreadsheets/d/abc")], "source_id long, link string")
+    assert sheets.remote_books(links, lambda url: b"PK" + url[-4:].encode()).first()["content"] == b"PKxlsx"
+    assert office.kind_of("a.csv", b"Proveedor,Mensaje\n") == "sheet"
     with pytest.raises(PermissionError):
         sheets.download("https://docs.google.com/spreadsheets/d/abc", lambda url: b"<html>")
     loaded, expected = spark.createDataFrame([("Distribuidora Norte",)], "supplier string"), spark.createDataFrame([("Distribuidora Norte SA",), ("Otro",)], "supplier string")
