@@ -11,6 +11,7 @@ from pricelode.functions.numbers import cents
 from pricelode.operators import catalog as C
 from pricelode.operators.ordering import first_per, top_per
 from pricelode.plans.registry import query, table
+from pricelode.sources import cells
 
 RAW = "select p_partkey seq, 'part.' || p_partkey id, p_name || ' - ' || p_type || ' - ' || p_brand name, case when p_partkey % 3 = 0 then '' else 'P' || p_size end code, p_retailprice cost from part"
 
@@ -159,9 +160,8 @@ def q33_numeric_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which column holds numbers, which the longest texts."""
     p = table(spark, sf_dir, "part")
     fields = ["p_name", "p_brand", "p_size", "p_type"]
-    cells = p.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields))).alias("x")).select("x.*")
-    share = F.floor(F.count(F.expr("try_cast(v as double)")) * 10000 / F.count("*")).cast("long")
-    return cells.groupBy("field").agg(share.alias("numeric_share"), F.sum(F.length("v")).cast("long").alias("total_length"), F.count("*").alias("n"))
+    seen = p.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("x")).select("x.*")
+    return cells.column_shares(seen, ["field"]).select("field", F.floor(F.col("numeric") * 10000 / F.col("n")).cast("long").alias("numeric_share"), "total_length", "n")
 
 
 @query("""select p_brand, count(*) as n, array_to_string(list(p_name order by p_partkey)[1:3], ' | ') as examples from part group by 1""")

@@ -10,7 +10,7 @@ from pricelode.functions import text as T
 from pricelode.operators import matching, memory
 from pricelode.operators.alike import name_pairs
 from pricelode.plans.registry import query, table
-from pricelode.sources import pages, pricelists
+from pricelode.sources import cells, pages, pricelists
 from pricelode.sources.messages import read_messages
 
 
@@ -206,3 +206,36 @@ def q58_box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat("p_name", F.lit(" $"), F.replace(F.col("p_partkey").cast("string"), F.lit("0"), F.lit("O")))
     y = F.floor(F.col("n") / 3) * 20.0 + (F.col("n") % 3) * 2.5
     return pages.box_lines(p.select(F.col("p_size").cast("long").alias("page"), y.alias("y"), F.lit(10.0).alias("height"), (100.0 - 10 * (F.col("n") % 3)).alias("x"), said.alias("text")))
+
+
+@query("""with p as (select *, row_number() over (partition by p_size order by p_partkey) - 1 as n, count(*) over (partition by p_size) as c from part)
+select cast(p_size as bigint) as source_id, n as line_no, case when p_size % 3 < 2 then cast(p_partkey as varchar) else '' end as code, 'x ' || p_name as description, case when p_size % 3 < 2 then p_brand else '' end as brand,
+ cast(cast(round_even(p_retailprice * 100, 0) as bigint) as varchar) as price from p where p_size % 3 < 2 or c > 1""")
+def q59_table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list for each size: with a header, with a title above it and other names, or with none."""
+    p = table(spark, sf_dir, "part").withColumn("n", F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey")))
+    layout = F.col("p_size") % 3
+    code, name, price = F.col("p_partkey").cast("string"), F.concat(F.lit("x "), "p_name"), F.rint(F.col("p_retailprice") * 100).cast("long").cast("string")
+    row = F.when(layout == 0, F.array(code, name, "p_brand", price)).when(layout == 1, F.array("p_brand", price, code, name)).otherwise(F.array(name, price))
+    lines = p.select("p_size", F.when(layout == 2, F.col("n") - 1).otherwise(F.col("n") + F.when(layout == 1, 1).otherwise(0)).alias("row_no"), row.alias("said"))
+    labels = lambda *said: F.array(*map(F.lit, said))
+    tops = F.when(layout == 0, F.array(labels("Código", "Descripción", "Marca", "Precio"))).when(layout == 1, F.array(labels("LISTA DE OCTUBRE"), labels("Marca", "Importe", "Artículo", "Detalle")))
+    above = p.select("p_size").distinct().select("p_size", F.posexplode(tops).alias("row_no", "said"))
+    seen = lines.unionByName(above).select(F.col("p_size").cast("long").alias("source_id"), F.lit(0).alias("tab_no"), F.col("row_no").cast("long").alias("row_no"), F.posexplode("said").alias("col", "value"))
+    return cells.table_lines(seen).drop("tab_no", "line")
+
+
+@query("""select cast(p_size as bigint) as book, 'lists' as role, cast(p_partkey + 1 as bigint) as seq, p_brand as supplier, '' as message, '' as checked from part where p_partkey % 3 = 0
+union all select p_size, 'messages', p_partkey + 1, p_brand, p_name, 'SI' from part where p_partkey % 3 = 1
+union all select p_size, 'manual', p_partkey + 1, p_brand, '', 'x' from part where p_partkey % 3 = 2""")
+def q60_book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book for each size; its tabs of lists, messages, reminders and old messages have unlike columns."""
+    p = table(spark, sf_dir, "part")
+    tabs = (("PROVEEDOR", "Nos envía"), ("Chequeado", "Mensaje", "Proveedor"), ("Proveedor", "", "¿Chequeado?"), ("Mensaje", "Proveedor"))
+    said = (F.array("p_brand", "p_type"), F.array(F.lit("SI"), "p_name", "p_brand"), F.array("p_brand", "p_type", F.lit("x")), F.array("p_name", "p_brand"))
+    key = F.col("p_partkey") % 3
+    row = F.array(*(F.struct(F.lit(i).alias("tab_no"), s.alias("said")) for i, s in enumerate(said)))
+    rows = p.select("p_size", (F.col("p_partkey").cast("long") + 1).alias("row_no"), key.alias("key"), F.inline(row)).filter("tab_no = key or tab_no = 3").drop("key")
+    above = p.select("p_size").distinct().select("p_size", F.lit(0).cast("long").alias("row_no"), F.inline(F.array(*(F.struct(F.lit(i).alias("tab_no"), F.array(*map(F.lit, t)).alias("said")) for i, t in enumerate(tabs)))))
+    seen = rows.unionByName(above).select(F.col("p_size").cast("long").alias("source_id"), "tab_no", F.lit("").alias("tab"), "row_no", F.posexplode("said").alias("col", "value")).filter("value <> ''")
+    return cells.book_rows(seen).select(F.col("source_id").alias("book"), "role", "seq", "supplier", "message", "checked")
