@@ -8,7 +8,9 @@ text are exact in either: names that share a word are scored first, then those w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode import constants as K
@@ -17,7 +19,7 @@ from pricelode.functions.text import normalize, normalize_quoted, sizes, text_va
 from pricelode.operators import alike
 from pricelode.operators.alike import name_pairs
 from pricelode.operators.ordering import first_per, last_per, top_per
-from pricelode.storage import kept
+from pricelode.storage import drop_folder, finished, kept, subfolders
 
 EVERYTHING = "*"
 #: Names of a scope that stand in one block.
@@ -58,16 +60,19 @@ def products_of(bridge: DataFrame, catalog: DataFrame) -> DataFrame:
     return bridge.join(catalog.select("referencia", "clave", "seq"), "referencia").select("scope", "referencia", "seq", "clave")
 
 
-def _third(scored: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _third(scored: DataFrame, texts: DataFrame, k: int, known: DataFrame | None) -> DataFrame:
     """(scope, key, least): the score of the k-th best product that any key of the text has so far; 0 where there are fewer."""
     best = texts.join(scored, ["scope", "key"]).groupBy("scope", "text", "clave").agg(F.max("score").alias("score"))
+    best = best if known is None else best.unionByName(known)
     kth = top_per(best, ["scope", "text"], [F.col("score").desc(), F.col("clave")], k).groupBy("scope", "text").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
     return texts.join(kth, ["scope", "text"], "left").groupBy("scope", "key").agg(F.min(F.coalesce("least", F.lit(0.0))).alias("least"))
 
 
-def scored_products(texts: DataFrame, side: DataFrame, k: int) -> DataFrame:
+def scored_products(texts: DataFrame, side: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
     """(scope, key, clave, score): for each text of ``texts`` (scope, text, key), at least the k best names of its scope, exactly scored.
 
+    ``known`` (scope, text, clave, score) are names outside ``side`` that the texts have already; a name that can't come among their k best isn't scored.
+
     Names that share a word with a key are scored first. A name that shares none can't score more than the letters that the two have in common
     leave: keys then meet all names of their scope, in blocks, but only those whose bound reaches the k-th best score so far are scored."""
     names = side.select("scope", "clave").distinct()
@@ -75,7 +80,7 @@ def scored_products(texts: DataFrame, side: DataFrame, k: int) -> DataFrame:
     words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))).alias("w")
     shared = asked.select("scope", "key", words("key")).join(names.select("scope", "clave", words("clave")), ["scope", "w"]).select("scope", "key", "clave").distinct()
     first = kept(_scored(shared), "scored")
-    least = _third(first, texts, k)
+    least = _third(first, texts, k, known)
     marks = kept(alike.marked(names.select(F.col("clave").alias("name")).unionByName(asked.select(F.col("key").alias("name"))), "sort"), "marks")
     named = lambda side: marks.select(F.col("name").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("size", "repeats", *alike.MARKS)))
     blocks = names.groupBy("scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -94,12 +99,72 @@ def _scored(pairs: DataFrame) -> DataFrame:
     return pairs.join(score, ["key", "clave"]).select("scope", "key", "clave", "score")
 
 
-def candidates(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame, k: int = 3) -> DataFrame:
-    """(scope, text, referencia, score) of the best k products for each asked (scope, text); of equal scores the first row."""
+@dataclass
+class View:
+    """What a cycle scored, for the next one (L9, L10): numbered folders of three tables below ``path``.
+
+    ``names`` (scope, clave) are the names that were there, ``asked`` (scope, text, digest) the texts and a digest of their keys, ``best`` (scope, text, clave, score)
+    each text's k best names, all of a score that the k-th has. ``best`` is written last: a cycle that broke off leaves no view. Two views stay.
+    Where the scores themselves change (another version of the library), begin with an empty folder."""
+
+    spark: SparkSession
+    path: str
+
+    def _finished(self) -> list[int]:
+        each = [int(x) for x in subfolders(self.spark, self.path) if x.isdigit()]
+        return sorted(n for n in each if finished(self.spark, f"{self.path}/{n}/best"))
+
+    def read(self) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+        n = self._finished()
+        return tuple(self.spark.read.parquet(f"{self.path}/{n[-1]}/{t}") for t in ("names", "asked", "best")) if n else None
+
+    def write(self, names: DataFrame, asked: DataFrame, named: DataFrame, k: int) -> None:
+        done = self._finished()
+        at = f"{self.path}/{done[-1] + 1 if done else 1}"
+        best = named.withColumn("_r", F.rank().over(Window.partitionBy("scope", "text").orderBy(F.col("score").desc()))).filter(F.col("_r") <= k).drop("_r")
+        for table, name in ((names, "names"), (asked, "asked"), (best, "best")):
+            table.write.mode("overwrite").parquet(f"{at}/{name}")
+        for n in done[:-1]:
+            drop_folder(self.spark, f"{self.path}/{n}")
+
+
+def _named(texts: DataFrame, scored: DataFrame) -> DataFrame:
+    return texts.join(scored, ["scope", "key"]).groupBy("scope", "text", "clave").agg(F.max("score").alias("score"))
+
+
+def _renewed(texts: DataFrame, names: DataFrame, asked: DataFrame, before: tuple[DataFrame, DataFrame, DataFrame], k: int) -> DataFrame:
+    """(scope, text, clave, score) as if all were scored: a text of the last cycle meets only the names that its scope has gained.
+
+    Whoever lost one of its best names, or has other keys than then, is scored anew."""
+    old_names, old_asked, old_best = before
+    gone, added = old_names.join(names, ["scope", "clave"], "left_anti"), kept(names.join(old_names, ["scope", "clave"], "left_anti"), "added")
+    lost = old_best.join(gone, ["scope", "clave"], "left_semi").select("scope", "text").distinct()
+    good = kept(asked.join(old_asked, ["scope", "text", "digest"], "left_semi").join(lost, ["scope", "text"], "left_anti").select("scope", "text"), "good")
+    same = kept(old_best.join(good, ["scope", "text"], "left_semi"), "same")
+    full = kept(texts.join(good, ["scope", "text"], "left_anti"), "full")
+    met = kept(texts.join(good, ["scope", "text"], "left_semi").join(added.select("scope").distinct(), "scope", "left_semi"), "met")
+    out = same
+    for some, side, known in ((full, names, None), (met, added, same)):
+        if not some.isEmpty():
+            out = out.unionByName(_named(some, kept(scored_products(some, side, k, known), "scored")))
+    return out
+
+
+def candidates(asked: DataFrame, keys: DataFrame, bridge: DataFrame, catalog: DataFrame, k: int = 3, view: View | None = None) -> DataFrame:
+    """(scope, text, referencia, score) of the best k products for each asked (scope, text); of equal scores the first row.
+
+    With a ``view`` only what changed since its last cycle is scored, and the view is written for the next one; it holds the texts of one cycle."""
     # read several times each
     texts, side = kept(asked.select("scope", "text").distinct().join(keys, "text"), "asked"), kept(products_of(bridge, catalog).distinct(), "side")
-    score = kept(scored_products(texts, side, k), "scored")
-    named = texts.join(score, ["scope", "key"]).groupBy("scope", "text", "clave").agg(F.max("score").alias("score"))
+    if view is None:
+        named = _named(texts, kept(scored_products(texts, side, k), "scored"))
+    else:
+        names = kept(side.select("scope", "clave").distinct(), "names")
+        digests = kept(texts.groupBy("scope", "text").agg(F.sha2(F.concat_ws("\n", F.lit(k), F.array_sort(F.collect_set("key"))), 256).alias("digest")), "digests")
+        before = view.read()
+        named = _named(texts, kept(scored_products(texts, names, k), "scored")) if before is None else _renewed(texts, names, digests, before, k)
+        named = kept(named, "named")
+        view.write(names, digests, named, k)
     # a name may be many products: k of a name's are enough
     few = top_per(side, ["scope", "clave"], [F.col("seq")], k)
     return top_per(named.join(few, ["scope", "clave"]), ["scope", "text"], [F.col("score").desc(), F.col("seq")], k)

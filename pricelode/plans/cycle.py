@@ -44,7 +44,7 @@ class Store:
     folds: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        resumed = self.path is not None
+        self.resumed = resumed = self.path is not None
         self.path = self.path or fresh_path(self.spark, "store")
         for name in memory.TABLES if resumed else ():
             done = [int(x.removeprefix("table-")) for x in subfolders(self.spark, f"{self.path}/{name}") if x.startswith("table-") and finished(self.spark, f"{self.path}/{name}/{x}")]
@@ -88,6 +88,10 @@ class Store:
         self.tables[name] = self.spark.read.schema(memory.schema_of(name)).parquet(self._at(name, "table"))
         self.logs.pop(name, None)
 
+    def view(self, name: str) -> matching.View | None:
+        """What the last cycle scored; a store without a path of its own keeps none."""
+        return matching.View(self.spark, f"{self.path}/views/{name}") if self.resumed else None
+
     def setting(self, key: str) -> str:
         row = self.read("ajustes").filter(F.col("clave") == key).orderBy(F.col("seq").desc()).first()
         return row["valor"] if row else ""
@@ -158,7 +162,7 @@ def matched(lines: DataFrame, catalog: DataFrame, store: Store, bridge: DataFram
     ignored = kept(matching.ignored(asked, keys, store.read("ignorar"), words).groupBy("supplier", "text").agg(F.min("reason").alias("reason")), "ignored")
     alias = kept(matching.alias_matches(asked, keys, store.read("alias"), catalog, words).groupBy("supplier", "text").agg(F.array_sort(F.collect_set("referencia")).alias("refs")), "aliases")
     scoped = rows.select("scope", F.col("description").alias("text")).unionByName(rows.select(F.col("block_scope").alias("scope"), F.col("description").alias("text"))).distinct()
-    near = kept(matching.candidates(scoped, keys, bridge, catalog), "near")
+    near = kept(matching.candidates(scoped, keys, bridge, catalog, view=store.view("messages")), "near")
     best = kept(matching.same_named(near).join(matching.alternatives(near, catalog), ["scope", "text"], "left"), "best")
     terms = kept(matching.general_terms(scoped, keys, bridge, catalog), "terms")
     codes = matching.code_matches(rows.select("line"), catalog).withColumnRenamed("referencia", "code_ref")
@@ -221,7 +225,7 @@ def matched_list(articles: DataFrame, catalog: DataFrame, store: Store, bridge:
     others = looked.filter("supplier_key = ''").join(known, "sender_key", "left").select("line_id", F.coalesce("known_key", F.lit("")).alias("name"))
     scope = kept(matching.scope_of(own.unionByName(others), "name", bridge, "scope").join(looked.select("line_id", "text"), "line_id"), "scoped")
     keys = kept(matching.keys_of(rows.select("text"), "text", words), "keys")
-    best = kept(matching.candidates(scope, keys, bridge, catalog), "best")
+    best = kept(matching.candidates(scope, keys, bridge, catalog, view=store.view("lists")), "best")
     ranked = scope.join(best, ["scope", "text"]).groupBy("line_id", "referencia", "seq", "clave").agg(F.max("score").alias("score"))
     top = matching.same_named(matching.top_per(ranked.select(F.lit("").alias("scope"), F.col("line_id").cast("string").alias("text"), "referencia", "seq", "clave", "score"), ["text"], [F.col("score").desc(), F.col("seq")], 3))
     top = top.select(F.col("text").cast("long").alias("line_id"), "name_ref", F.col("name_score").alias("by_name"), "options")

@@ -36,3 +36,8 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end."""
     return "_SUCCESS" in subfolders(spark, path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -258,6 +258,61 @@ def test_best_products_equal_full_scoring(spark, monkeypatch):
         assert sorted(found[scope, text]) == sorted(full)[:3]
 
 
+def test_candidates_are_kept_between_cycles(spark, tmp_path, monkeypatch):
+    """Later cycles equal full scoring, and score what is new: nothing in an unchanged one."""
+    import random
+
+    from pricelode.operators import matching
+
+    rng = random.Random(5)
+    words = ["miel", "pura", "harina", "integral", "trigo", "aceite", "oliva", "yerba", "mate", "500", "g", "cacao"]
+    catalog = [(f"r{i}", i, " ".join(rng.choices(words, k=rng.randint(1, 4)))) for i in range(120)]
+    texts = ["mil purra", "harina integral", "zzz", "aceyte olva", "yerba mate 500 g", "trigo"]
+    met = []
+    scored = matching._scored
+
+    def counted(pairs):
+        met.append(pairs.select("scope", "key", "clave").distinct().count())
+        return scored(pairs)
+
+    monkeypatch.setattr(matching, "_scored", counted)
+    view = matching.View(spark, f"file://{tmp_path}/view")
+
+    def cycle_of(rows, said, abbreviated=""):
+        """Rows of the view's cycle and of one that scores everything, and the pairs that each scored."""
+        products = spark.createDataFrame(rows, "referencia string, seq long, clave string")
+        bridge = [("*", r) for r, _, _ in rows] + [("rio", r) for r, i, _ in rows if i % 3 == 0]
+        frames = (
+            spark.createDataFrame([(s, t) for s in ("*", "rio") for t in said], "scope string, text string"), spark.createDataFrame([(t, k) for t in said for k in {t, t.split()[0] + (abbreviated if t == "trigo" else "")}], "text string, key string"),
+            spark.createDataFrame(bridge, "scope string, referencia string"), products,
+        )
+        out = []
+        for v in (view, None):
+            met.clear()
+            found = matching.candidates(*frames, view=v)
+            out += [sorted((r["scope"], r["text"], r["referencia"], round(r["score"], 9)) for r in found.collect()), sum(met)]
+        assert out[0] == out[2]
+        return out[1], out[3]
+
+    first, full = cycle_of(catalog, texts)
+    assert first == full > 0
+    assert cycle_of(catalog, texts)[0] == 0
+    # other rows in front, so that all move on; names that come, and one text more
+    more = [("n1", 0, "mil pura"), ("n2", 1, "yerba mate 500"), *((r, i + 3, n) for r, i, n in catalog)]
+    some, full = cycle_of(more, texts)
+    assert 0 < some <= 2 * 2 * 2 * len(texts) < full
+    some, full = cycle_of(more, [*texts, "cacao"])
+    assert 0 < some < full / 3
+    # the best one goes, others' keys change, a text isn't asked and comes back
+    fewer = [x for x in more if x[0] != "n1"]
+    some, full = cycle_of(fewer, texts, " entero")
+    assert 0 < some < full
+    assert 0 < cycle_of(fewer, [*texts[1:], "cacao"], " entero")[0] < full / 3
+    cycle_of([], texts)
+    cycle_of(fewer, texts)
+    assert len([x for x in (tmp_path / "view").iterdir() if x.is_dir()]) == 2
+
+
 def test_lists(spark):
     names = spark.createDataFrame([("pasta rio", "Pastas Río"), ("zanoni", "Zanoni")], "key string, canonical string")
 
