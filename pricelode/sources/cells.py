@@ -20,6 +20,8 @@ from pricelode.functions.text import folded
 TABLE = ["source_id", "tab_no"]
 #: Rows below the first one among which a better header may stand.
 HEADER_ROWS = 5
+#: Rows of a table that are joined together.
+CHUNK = 20_000
 #: A column without a name is the price if more of its cells than this are numbers.
 NUMERIC_SHARE = 0.6
 FIELDS = ("precio", "marca", "codigo", "descripcion")
@@ -57,6 +59,15 @@ def hinted(label: Column, field: str) -> Column:
     return F.exists(F.array(*map(F.lit, HEADER_HINTS[field])), lambda p: plain.startswith(p))
 
 
+def with_facts(cells: DataFrame, facts: DataFrame) -> DataFrame:
+    """Cells with what is known of their table (one row for each), and ``chunk``: the rows of a table are dealt in chunks, and its facts go to each.
+
+    Spark takes cells that come from a small file for a small side, which it would send whole to every task; and one large table would be one task's."""
+    dealt = cells.withColumn("chunk", F.floor(F.col("row_no") / CHUNK))
+    told = dealt.select(*TABLE, "chunk").distinct().join(facts, TABLE)
+    return dealt.hint("merge").join(told, [*TABLE, "chunk"])
+
+
 def headers(cells: DataFrame) -> DataFrame:
     """source_id, tab_no, header: of the first rows the one that names most fields; of equal ones the first."""
     labels = [F.max(hinted(F.col("value"), f).cast("int")).alias(f) for f in ("codigo", "descripcion", "precio")]
@@ -86,7 +97,7 @@ def columns_of(cells: DataFrame) -> DataFrame:
     Names decide, in that order, each taking the leftmost column that is left. Without a named price the most numeric column is it, without a
     named description the longest. Where the label of that price is a number itself, the "header" is the first article:
     it goes back to the data and names decide nothing."""
-    seen = cells.join(headers(cells), TABLE).filter("row_no >= header")
+    seen = with_facts(cells, headers(cells)).filter("row_no >= header")
     names = F.filter(F.array(*(F.when(hinted(F.col("value"), f), F.lit(f)) for f in FIELDS)), lambda f: f.isNotNull())
     label = F.when(F.col("row_no") == F.col("header"), F.struct("value", names.alias("names")))
     body = F.when(F.col("row_no") > F.col("header"), F.col("value"))
@@ -130,13 +141,13 @@ def table_lines(cells: DataFrame) -> DataFrame:
     """source_id, tab_no, line_no, code, description, brand, price (texts; empty where there is none) and line of the rows that name a product.
 
     A table without a price column has none: :func:`without_price` tells which."""
-    rows = cells.join(columns_of(cells).filter("precio is not null"), TABLE).filter(F.col("row_no") >= F.col("first"))
+    rows = with_facts(cells, columns_of(cells).filter("precio is not null")).filter(F.col("row_no") >= F.col("first"))
     cell = lambda f: F.coalesce(F.max(F.when(F.col("col") == F.col(f), F.col("value"))), F.lit(""))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda c: c["value"]), " · ")
-    out = rows.groupBy(*TABLE, (F.col("row_no") - F.col("first")).alias("line_no")).agg(
+    out = rows.groupBy(*TABLE, "chunk", (F.col("row_no") - F.col("first")).alias("line_no")).agg(
         F.upper(cell("codigo")).alias("code"), cell("descripcion").alias("description"), cell("marca").alias("brand"), F.trim(F.replace(cell("precio"), F.lit("$"), F.lit(""))).alias("price"), line.alias("line")
     )
-    return out.filter("code <> '' or description <> ''")
+    return out.filter("code <> '' or description <> ''").drop("chunk")
 
 
 # --- a tracking book
@@ -163,8 +174,8 @@ def book_rows(cells: DataFrame) -> DataFrame:
     first = tabs.filter("role = 'messages'").groupBy("source_id").agg(F.min("tab_no").alias("spoken"))
     tabs = tabs.join(first, "source_id", "left").filter("role <> 'messages' or tab_no = spoken").drop("spoken")
     field = lambda f: F.coalesce(F.max(F.when(F.col("col") == F.col(f"at_{f}"), F.col("value"))), F.lit("")).alias(f)
-    rows = cells.filter("row_no > 0").join(tabs, TABLE).groupBy(*TABLE, "tab", "role", F.col("row_no").alias("seq")).agg(*map(field, PARTS), F.max(F.col("at_checked").isNotNull()).alias("checks"))
-    return rows.filter("supplier <> ''")
+    rows = with_facts(cells.filter("row_no > 0"), tabs).groupBy(*TABLE, "chunk", "tab", "role", F.col("row_no").alias("seq")).agg(*map(field, PARTS), F.max(F.col("at_checked").isNotNull()).alias("checks"))
+    return rows.filter("supplier <> ''").drop("chunk")
 
 
 def without_messages(cells: DataFrame) -> DataFrame:
