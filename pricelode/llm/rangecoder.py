@@ -1,15 +1,15 @@
-"""Adaptive context-mixing range coder for token ids, many blocks side by side.
-
-A block of ids is coded alone: its model starts anew, and a CRC of its ids is kept. Ids are
-predicted by three orders. Order 2 and order 1 each remember the id that last followed the
-last two ids or the last id, with a confidence; order 0 keeps an adaptive distribution of
-magnitude classes. The orders' hit rates are mixed: the rate seen in the joint state of both
-confidences and the rate seen in order 2's state alone, by a weight that follows the better one.
-A symbol of the range coder is "order 2 is right", "order 1 is right" or a class; a class's low
-bits follow as they are.
-
-Blocks are lanes of numpy arrays and move in lockstep, so the cost of a step is shared by
-hundreds of them. All arithmetic is on integers: any machine decodes what another coded.
+"""Context-mixing range coder for token ids, many blocks side by side.
+
+A segment's ids are predicted by three orders, fitted to the whole segment and kept in its header.
+Order 2 and order 1 name the id that most often follows the last two ids (by a hash) or the last
+id, with a level of confidence; order 0 is the frequency of each id where neither is right. The
+orders are mixed by the rates seen in each joint state of both levels. A symbol of the range coder is
+"order 2 is right", "order 1 is right" or an id of order 0.
+
+A block of ids is coded alone: its contexts start anew, and a CRC of its ids is kept. Blocks are lanes of
+numpy arrays and move in lockstep, so the cost of a step is shared by thousands of them. Carries of the coder's
+low end go into the word before, after the last step. Quotients are taken in doubles, which is exact for
+numerators below 2**48 and divisors up to 2**24: any machine decodes what another coded.
 """
 
 from __future__ import annotations
@@ -20,209 +20,238 @@ import zlib
 import numpy as np
 
 MAGIC = b"PLTS"
-VERSION = 1
-BLOCK = 4096
-#: Bits of the symbol frequencies, of the class distribution, and of the tables of orders 1 and 2.
-T_BITS, C_BITS, H1, H2 = 15, 12, 10, 11
-CLASSES = 18  # bit lengths 0 to 17
+VERSION = 2
+#: Ids of a block at most and at least, and blocks of a segment that are aimed at.
+BLOCK, SHORT, LANES = 4096, 256, 4096
+#: Bits of an id, of all frequencies, of order 0's frequencies, of order 2's hash, and of a confidence.
+ID_BITS, T_BITS, C_BITS, H2, K = 17, 24, 18, 20, 3
+#: Rates of being right from which a context has the next higher level; below the first it predicts nothing.
+LEVELS = np.array([1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 15 / 16])
+#: A context's id is kept if it was right as often.
+HITS = 16
+#: Ids whose intervals are worked out together.
+SLICE = 1 << 19
+
+_T, _SMALL = 1 << T_BITS, 1 << 32
+_STATES = 1 << 2 * K + 1
+_NONE = -1 << K  # the entry of a context that predicts nothing: id -1 at level 0
 
-_U = np.uint64
-_TOP, _BOT = _U(1 << 48), _U(1 << 32)
-_T = 1 << T_BITS
-#: Where the class distribution is drawn to when a class occurs: one place each, the rest to it.
-_PULL = np.array([[j + ((1 << C_BITS) - CLASSES if j > k else 0) for j in range(CLASSES + 1)] for k in range(CLASSES)], np.int32)
 
+def hashed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return (one.astype(np.int64) * 40503 + two.astype(np.int64) * 30011) & ((1 << H2) - 1)
 
-def bit_length(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1]
+
+def followers(context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts with an id that follows them often enough, and their entries: that id << K | level."""
+    key = context.astype(np.int64) << ID_BITS
+    key |= ids
+    key.sort()
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(start, append=len(key))
+    key = key[start]
+    owner = key >> ID_BITS
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    best = np.maximum.reduceat(count << ID_BITS | key & ((1 << ID_BITS) - 1), first)
+    hits = best >> ID_BITS
+    level = np.searchsorted(LEVELS, hits / np.add.reduceat(count, first), side="right")
+    keep = (hits >= HITS) & (level > 0)
+    return owner[first][keep], (best & ((1 << ID_BITS) - 1))[keep] << K | level[keep]
 
 
 class Model:
-    """The state of all lanes."""
-
-    def __init__(self, lanes: int):
-        self.all = np.arange(lanes)
-        self.one = np.zeros(lanes, np.int64)  # the last id
-        self.two = np.zeros(lanes, np.int64)  # the one before it
-        self.t1 = np.zeros(lanes << H1, np.int32)  # id << 2 | confidence
-        self.t2 = np.zeros(lanes << H2, np.int32)
-        self.joint = np.full(lanes * 32, _T // 2, np.int32)
-        self.alone = np.full(lanes * 4, _T // 2, np.int32)
-        self.second = np.full(lanes * 4, _T // 4, np.int32)
-        self.weight = np.full(lanes, 128, np.int32)
-        start = np.linspace(0, 1 << C_BITS, CLASSES + 1).astype(np.int32)
-        self.cdf = np.tile(start, (lanes, 1))
-
-    def predict(self, n: int) -> None:
-        """Both orders' ids and the frequencies of being right, for the first n lanes."""
-        lane = self.all[:n]
-        self.at1 = (lane << H1) + ((self.one[:n] * 40503 >> 4) & ((1 << H1) - 1))
-        self.at2 = (lane << H2) + (((self.one[:n] * 40503 + self.two[:n] * 30011) >> 5) & ((1 << H2) - 1))
-        e1, e2 = self.t1[self.at1], self.t2[self.at2]
-        self.p1, self.p2 = e1 >> 2, e2 >> 2
-        self.c1, self.c2 = e1 & 3, e2 & 3
-        self.same = self.p1 == self.p2
-        self.ij = (lane << 5) + (self.same.astype(np.int64) << 4) + (self.c2 << 2) + self.c1
-        self.ia, self.ib = (lane << 2) + self.c2, (lane << 2) + self.c1
-        self.qj, self.qa = self.joint[self.ij], self.alone[self.ia]
-        w = self.weight[:n]
-        self.f2 = np.clip((self.qj * w + self.qa * (256 - w)) >> 8, 32, _T - 8192)
-        left = _T - self.f2
-        f1 = np.clip((left * self.second[self.ib]) >> T_BITS, 16, left - 4096)
-        self.f1 = np.where(self.same, 0, f1)
-
-    def update(self, ids: np.ndarray, n: int) -> None:
-        hit2, hit1 = ids == self.p2, ids == self.p1
-        goal = np.where(hit2, _T, 0)
-        better = (np.abs(goal - self.qj) < np.abs(goal - self.qa)).astype(np.int32) * 2 - 1
-        w = self.weight[:n]
-        w += better * 3
-        np.clip(w, 8, 248, out=w)
-        self.joint[self.ij] = self.qj + ((goal - self.qj) >> 4)
-        self.alone[self.ia] = self.qa + ((goal - self.qa) >> 5)
-        asked = np.flatnonzero(~hit2 & ~self.same)
-        at = self.ib[asked]
-        q = self.second[at]
-        self.second[at] = q + ((np.where(hit1[asked], _T, 0) - q) >> 5)
-        wide = ids.astype(np.int32) << 2
-        self.t1[self.at1] = np.where(hit1, self.t1[self.at1] + (self.c1 < 3), np.where(self.c1 > 1, self.t1[self.at1] - 2, wide))
-        self.t2[self.at2] = np.where(hit2, self.t2[self.at2] + (self.c2 < 3), np.where(self.c2 > 1, self.t2[self.at2] - 2, wide))
-        miss = np.flatnonzero(~hit2 & ~hit1)
-        if len(miss):
-            rows = self.cdf[miss]
-            self.cdf[miss] = rows + ((_PULL[bit_length(ids[miss])] - rows) >> 5)
-        self.two[:n] = self.one[:n]
-        self.one[:n] = ids
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: header, directory (ids, bytes and CRC of each block), coded blocks."""
-    lanes = -(-len(ids) // block)
-    grid = np.zeros(lanes * block, np.int64)
-    grid[: len(ids)] = ids
-    steps = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    size = [block] * (lanes - 1) + [len(ids) - block * (lanes - 1)] if lanes else []
-    model = Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out = np.zeros((lanes, 2 * block + 16), ">u2")
-    used = np.zeros(lanes, np.int64)
+    """What a segment's header says of its orders and their mixture."""
+
+    def __init__(self, arrays: list[np.ndarray]):
+        self.arrays = arrays  # contexts and entries of order 1, of order 2; ids and frequencies of order 0; frequencies of states
+        c1, e1, c2, e2, used, freq, both = arrays
+        self.t1, self.t2 = np.full(1 << ID_BITS, _NONE, np.int32), np.full(1 << H2, _NONE, np.int32)
+        self.t1[c1], self.t2[c2] = e1, e2
+        self.f2, self.f1 = both[:_STATES].astype(np.int64), both[_STATES:].astype(np.int64)
+        self.ids = used.astype(np.int64)
+        self.edges = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
+
+    @classmethod
+    def fit(cls, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> Model:
+        empty = np.zeros(0, np.int64)
+        orders = [*followers(one, ids), *followers(hashed(one, two), ids)] if len(ids) else [empty] * 4
+        model = cls([*orders, empty, empty, np.zeros(2 * _STATES, np.int64)])
+        seen = np.zeros((3, _STATES), np.int64)
+        missed = np.zeros(1 << ID_BITS, np.int64)
+        for i in range(0, len(ids), SLICE):
+            x = ids[i : i + SLICE]
+            p2, p1, state = model.predict(one[i : i + SLICE], two[i : i + SLICE])
+            hit2 = x == p2
+            hit1 = (x == p1) & ~hit2
+            for row, of in enumerate((state, state[hit2], state[hit1])):
+                seen[row] += np.bincount(of, minlength=_STATES)
+            missed += np.bincount(x[~(hit2 | hit1)], minlength=1 << ID_BITS)
+        both = np.where(seen[1:] > 0, np.maximum(seen[1:] * (_T - (2 << C_BITS)) // np.maximum(seen[0], 1), 1), 0)
+        used = np.flatnonzero(missed)
+        if not len(used):
+            used, missed[0] = np.array([0]), 1
+        count = missed[used]
+        freq = np.maximum(count * ((1 << C_BITS) - len(used)) // count.sum(), 1)
+        freq[count.argmax()] += (1 << C_BITS) - freq.sum()
+        return cls([*orders, used, freq, both.reshape(-1)])
+
+    def pack(self) -> bytes:
+        parts = [np.diff(a, prepend=0) if k in (0, 2, 4) else a for k, a in enumerate(self.arrays)]
+        return zlib.compress(struct.pack("<7I", *map(len, parts)) + b"".join(a.astype("<u4").tobytes() for a in parts))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Model:
+        raw = zlib.decompress(data)
+        stop = np.cumsum(struct.unpack("<7I", raw[:28]))[:-1]
+        parts = np.split(np.frombuffer(raw, "<u4", offset=28).astype(np.int64), stop)
+        return cls([np.cumsum(a) if k in (0, 2, 4) else a for k, a in enumerate(parts)])
+
+    def predict(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both orders' ids, and the joint state of their levels."""
+        e2, e1 = self.t2[hashed(one, two)], self.t1[one]
+        p2, p1 = e2 >> K, e1 >> K
+        level = (1 << K) - 1
+        return p2, p1, ((e2 & level) << K + 1) + ((e1 & level) << 1) + (p2 == p1)
+
+    def intervals(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each id's share of all frequencies begins, and its width."""
+        begin, width = np.empty(len(ids), np.int32), np.empty(len(ids), np.int32)
+        low, high = np.zeros(1 << ID_BITS, np.int64), np.zeros(1 << ID_BITS, np.int64)
+        low[self.ids], high[self.ids] = self.edges[:-1], self.edges[1:]
+        for i in range(0, len(ids), SLICE):
+            x = ids[i : i + SLICE]
+            p2, p1, state = self.predict(one[i : i + SLICE], two[i : i + SLICE])
+            f2, f1 = self.f2[state], self.f1[state]
+            hit2, hit1 = x == p2, x == p1
+            known = f2 + f1
+            room = _T - known
+            a = known + (room * low[x] >> C_BITS)
+            b = known + (room * high[x] >> C_BITS)
+            begin[i : i + SLICE] = np.where(hit2, 0, np.where(hit1, f2, a))
+            width[i : i + SLICE] = np.where(hit2, f2, np.where(hit1, f1, b - a))
+        return begin, width
+
+
+def block_length(n: int) -> int:
+    """Ids of a block where a segment has n: short enough for many lanes."""
+    return min(BLOCK, max(SHORT, -(-n // LANES)))
+
+
+def grid(x: np.ndarray, block: int, lanes: int) -> np.ndarray:
+    """A row for each step, a column for each lane."""
+    full = np.zeros(lanes * block, x.dtype)
+    full[: len(x)] = x
+    return np.ascontiguousarray(full.reshape(lanes, block).T)
+
+
+def encode_blocks(ids: np.ndarray, block: int | None = None) -> bytes:
+    """A segment: header, model, directory (ids, bytes and CRC of each block), coded blocks."""
+    raw = np.asarray(ids).astype("<u4")
+    if len(raw) and int(raw.max()) >> ID_BITS:
+        raise ValueError(f"token ids must be below {1 << ID_BITS}")
+    block = block or block_length(len(raw))
+    lanes = -(-len(raw) // block)
+    x = raw.astype(np.int32)
+    one, two = np.zeros_like(x), np.zeros_like(x)
+    one[1:] = x[:-1]
+    one[::block] = 0
+    two[1:] = one[:-1]
+    two[::block] = 0
+    model = Model.fit(x, one, two)
+    begin, width = (grid(a, block, lanes) for a in model.intervals(x, one, two))
+    del x, one, two
+    size = [block] * (lanes - 1) + [len(raw) - block * (lanes - 1)] if lanes else []
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    out = np.zeros((2 * block + 8) * lanes, np.uint32)  # a row for each word's place, a column for each lane
+    place = np.arange(lanes)
     for t in range(block if lanes else 0):
         n = lanes if t < size[-1] else lanes - 1
         if not n:
             break
-        x = steps[t, :n]
-        model.predict(n)
-        hit2 = x == model.p2
-        hit1 = (x == model.p1) & ~hit2
-        begin = np.where(hit2, 0, model.f2)
-        width = np.where(hit2, model.f2, model.f1)
-        extra = np.zeros(n, np.int64)
-        rest = np.zeros(n, np.int64)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        if len(miss):
-            k = bit_length(x[miss])
-            used_up = model.f2[miss] + model.f1[miss]
-            room = (_T - used_up).astype(np.int64)
-            row = model.cdf[miss, k]
-            a, b = (room * row) >> C_BITS, (room * model.cdf[miss, k + 1]) >> C_BITS
-            begin[miss], width[miss] = used_up + a, b - a
-            extra[miss] = np.maximum(k - 1, 0)
-            rest[miss] = x[miss] - ((1 << k) >> 1)
-        lo, sp = low[:n], span[:n]
-        unit = sp >> _U(T_BITS)
-        lo += unit * begin.astype(np.uint64)
-        unit *= width.astype(np.uint64)
-        unit >>= extra.astype(np.uint64)
-        lo += unit * rest.astype(np.uint64)
-        sp[:] = unit
-        model.update(x, n)
-        todo = np.flatnonzero(((lo ^ (lo + sp)) < _TOP) | (sp < _BOT))
-        while len(todo):
-            a, s = lo[todo], sp[todo]
-            s = np.where((a ^ (a + s)) < _TOP, s, (_U(0) - a) & (_BOT - _U(1)))
-            out[todo, used[todo]] = (a >> _U(48)).astype(np.uint16)
-            used[todo] += 1
-            a, s = a << _U(16), s << _U(16)
-            lo[todo], sp[todo] = a, s
-            todo = todo[((a ^ (a + s)) < _TOP) | (s < _BOT)]
-    for _ in range(4):
-        out[np.arange(lanes), used] = (low >> _U(48)).astype(np.uint16)
-        used += 1
-        low <<= _U(16)
-    raw = np.asarray(ids).astype("<u4")
+        lo, sp, at = low[:n], span[:n], place[:n]
+        unit = sp >> T_BITS
+        lo += unit * begin[t, :n]
+        np.multiply(unit, width[t, :n], out=sp)
+        small = sp < _SMALL
+        while small.any():
+            word = lo >> 32
+            out[at] = word
+            at += small * lanes
+            word *= small
+            lo -= word << 32
+            shift = small.astype(np.int64) << 4
+            lo <<= shift
+            sp <<= shift
+            small = sp < _SMALL
+    for _ in range(3):
+        out[place] = low >> 32
+        place += lanes
+        low = (low & (_SMALL - 1)) << 16
+    over = np.flatnonzero(out >> 16)
+    while len(over):
+        out[over] &= 0xFFFF
+        over -= lanes
+        out[over] += 1
+        over = over[out[over] > 0xFFFF]
+    used = place // max(lanes, 1)
+    rows = int(used.max(initial=0))
+    words = out[: rows * lanes].astype(">u2").reshape(rows, lanes).T[np.arange(rows) < used[:, None]]
     crcs = [zlib.crc32(raw[i * block : i * block + n].tobytes()) for i, n in enumerate(size)]
-    head = MAGIC + struct.pack("<III", VERSION, block, lanes)
-    directory = np.array([size, (used * 2).tolist(), crcs], "<u4").T.tobytes()
-    return head + directory + b"".join(out[i, : used[i]].tobytes() for i in range(lanes))
+    packed = model.pack()
+    head = MAGIC + struct.pack("<IIII", VERSION, block, lanes, len(packed))
+    return head + packed + np.array([size, (used * 2).tolist(), crcs], "<u4").T.tobytes() + words.tobytes()
 
 
 def decode_blocks(data: bytes) -> np.ndarray:
     """The ids of a segment; a wrong checksum is an error."""
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
-    version, block, lanes = struct.unpack("<III", data[4:16])
+    version, block, lanes, length = struct.unpack("<IIII", data[4:20])
     if version != VERSION:
         raise ValueError(f"unknown version {version} of a token segment")
-    directory = np.frombuffer(data, "<u4", lanes * 3, 16).reshape(lanes, 3).astype(np.int64)
-    size, length, crcs = directory.T
-    at = 16 + lanes * 12
-    words = np.zeros((lanes, int(length.max(initial=0)) // 2 + 8), np.uint64)
-    for i in range(lanes):
-        words[i, : length[i] // 2] = np.frombuffer(data, ">u2", length[i] // 2, at)
-        at += length[i]
-    model = Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = (code << _U(16)) | words[:, k]
-    used = np.full(lanes, 4)
-    steps = np.zeros((block, lanes), np.int64)
+    try:
+        model = Model.unpack(data[20 : 20 + length])
+    except (zlib.error, struct.error) as e:
+        raise ValueError("the model of a token segment is damaged") from e
+    size, length, crcs = np.frombuffer(data, "<u4", lanes * 3, at := 20 + length).reshape(lanes, 3).astype(np.int64).T
+    words = np.concatenate([np.frombuffer(data, ">u2", offset=at + lanes * 12).astype(np.int64), [0, 0, 0]])
+    slot = np.repeat(np.arange(len(model.ids), dtype=np.int32), np.diff(model.edges))
+    place = np.concatenate([[0], np.cumsum(length // 2)])[:lanes]
+    code = words[place] << 32 | words[place + 1] << 16 | words[place + 2]
+    place += 3
+    span = np.full(lanes, 1 << 48, np.int64)
+    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    steps = np.zeros((block, lanes), np.uint32)
     for t in range(block if lanes else 0):
         n = lanes if t < size[-1] else lanes - 1
         if not n:
             break
-        model.predict(n)
-        lo, sp, co = low[:n], span[:n], code[:n]
-        unit = sp >> _U(T_BITS)
-        v = np.minimum((co - lo) // unit, _U(_T - 1)).astype(np.int64)
-        used_up = model.f2 + model.f1
-        hit2 = v < model.f2
-        miss = np.flatnonzero(v >= used_up)
-        begin = np.where(hit2, 0, model.f2)
-        width = np.where(hit2, model.f2, model.f1)
-        x = np.where(hit2, model.p2, model.p1).astype(np.int64)
-        extra = np.zeros(n, np.int64)
-        base = np.zeros(n, np.int64)
-        if len(miss):
-            room = (_T - used_up[miss]).astype(np.int64)
-            edges = ((room[:, None] * model.cdf[miss]) >> C_BITS) + used_up[miss][:, None]
-            k = (edges[:, 1:] <= v[miss][:, None]).sum(axis=1)
-            row = np.arange(len(miss))
-            begin[miss] = edges[row, k]
-            width[miss] = edges[row, k + 1] - edges[row, k]
-            extra[miss] = np.maximum(k - 1, 0)
-            base[miss] = (1 << k) >> 1
-        lo += unit * begin.astype(np.uint64)
-        unit *= width.astype(np.uint64)
-        unit >>= extra.astype(np.uint64)
-        if len(miss):
-            r = np.minimum((co[miss] - lo[miss]) // unit[miss], (_U(1) << extra[miss].astype(np.uint64)) - _U(1))
-            lo[miss] += unit[miss] * r
-            x[miss] = base[miss] + r.astype(np.int64)
-        sp[:] = unit
+        co, sp, at = code[:n], span[:n], place[:n]
+        p2, p1, state = model.predict(one[:n], two[:n])
+        f2, f1 = model.f2.take(state), model.f1.take(state)
+        unit = sp >> T_BITS
+        v = np.clip((co / unit).astype(np.int64), 0, _T - 1)  # within bounds by itself, unless the segment is damaged
+        known = f2 + f1
+        room = _T - known
+        rank = slot.take(((((v - known + 1) << C_BITS) - 1) / room).astype(np.int64), mode="clip")
+        a = known + (room * model.edges.take(rank) >> C_BITS)
+        b = known + (room * model.edges.take(rank + 1) >> C_BITS)
+        hit2, hit = v < f2, v < known
+        begin = np.where(hit2, 0, np.where(hit, f2, a))
+        x = np.where(hit2, p2, np.where(hit, p1, model.ids.take(rank)))
+        co -= unit * begin
+        np.multiply(unit, np.where(hit2, f2, np.where(hit, f1, b - a)), out=sp)
         steps[t, :n] = x
-        model.update(x, n)
-        todo = np.flatnonzero(((lo ^ (lo + sp)) < _TOP) | (sp < _BOT))
-        while len(todo):
-            a, s = lo[todo], sp[todo]
-            s = np.where((a ^ (a + s)) < _TOP, s, (_U(0) - a) & (_BOT - _U(1)))
-            co[todo] = (co[todo] << _U(16)) | words[todo, used[todo]]
-            used[todo] += 1
-            a, s = a << _U(16), s << _U(16)
-            lo[todo], sp[todo] = a, s
-            todo = todo[((a ^ (a + s)) < _TOP) | (s < _BOT)]
-    ids = steps.T.reshape(-1)[: int(size.sum())] if lanes else np.zeros(0, np.int64)
-    raw = ids.astype("<u4")
+        two[:n] = one[:n]
+        one[:n] = x
+        small = sp < _SMALL
+        while small.any():
+            shift = small.astype(np.int64) << 4
+            co <<= shift
+            co += words.take(at, mode="clip") * small
+            sp <<= shift
+            at += small
+            small = sp < _SMALL
+    raw = steps.T.reshape(-1)[: int(size.sum())].astype("<u4", copy=False) if lanes else np.zeros(0, "<u4")
     for i in range(lanes):
         if zlib.crc32(raw[i * block : i * block + size[i]].tobytes()) != crcs[i]:
             raise ValueError(f"block {i} of a token segment is damaged")

@@ -8,10 +8,10 @@ its documents with their id counts, and the payload of :mod:`rangecoder`. Ids ar
 
 Reading: segments are decoded where they lie; the ids before a part come from one row per part.
 
-Encoding keeps a table of distinct chunks (a run of white space and what follows up to the next): the
-tokenizer's pattern always cuts where white space begins, and its merges never leave a cut piece, so a
-text's ids are its chunks' ids in order. A chunk is cut by the pattern and merged by the library's model once,
-while it is in the table. Texts that hold an added token's string go through the library whole.
+Encoding cuts texts where the tokenizer's pattern always cuts: where white space begins, after an ASCII letter
+that something else of ASCII follows, and after a line feed that stands alone. Its merges never leave a cut piece, so a text's ids are its chunks' ids in order. The cuts, the
+distinct chunks of a batch and the joining of their ids are array operations; a chunk is merged by the library's model once,
+while it is in the worker's table. Texts that hold an added token's string go through the library whole.
 
 Defined cases: a null text is empty and has the end id alone; repeated rows are stored each; rows without an
 id come first; ids must be below 2**17; an empty table gives an empty store; other columns are ignored.
@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +37,42 @@ from pricelode.llm.storage import new_path, picked
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-SEGMENT = 6 << 20
-TABLE = 400_000
+SEGMENT = 4 << 20
+#: Chunks, and bytes of them, that a table holds at most before a batch; bytes of text that are encoded together.
+TABLE, TABLE_BYTES, BATCH = 1_000_000, 64 << 20, 8 << 20
 
 #: White space of the tokenizer's pattern (Unicode's White_Space), and that pattern; fixed values.
 WHITE = " \t\n\x0b\x0c\r\x85\xa0  -     　"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Letters (with a space before) that are one piece of the pattern.
+SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+SPACES = re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001))))
+#: Kinds of bytes: 0 other ASCII, 1 white space, 2 letter, 3 part of a longer character; and whether texts are cut between two kinds.
+KIND = np.array([1 if chr(b) in SPACES and b < 128 else 2 if chr(b).isalpha() and b < 128 else 3 * (b > 127) for b in range(256)], np.uint8)
+CUT = np.zeros(16, bool)
+CUT[[0 * 4 + 1, 2 * 4 + 1, 3 * 4 + 1, 2 * 4 + 0]] = True
+#: White space of two and of three bytes: no cut between it and more of it.
+WIDE = [np.array([int.from_bytes(c.encode()) for c in SPACES if len(c.encode()) == n]) for n in (2, 3)]
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where chunks begin in the bytes of texts; texts that are marked as whole are one chunk."""
+    kind = KIND[data]
+    mark = np.zeros(len(data) + 1, bool)
+    mark[1:-1] = CUT[kind[:-1] * 4 + kind[1:]]
+    after = np.flatnonzero(mark[1:-1] & (kind[:-1] == 3)) + 1
+    if len(after):
+        last = [data[np.maximum(after - k, 0)].astype(np.int64) for k in (1, 2, 3)]
+        pair = last[1] << 8 | last[0]
+        mark[after[np.isin(pair, WIDE[0]) | np.isin(last[2] << 16 | pair, WIDE[1])]] = False
+    line = np.flatnonzero(data[1:-1] == 10) + 1
+    around = (kind[line - 1] % 2 == 0) & (kind[line + 1] % 2 == 0)
+    mark[line[around] + 1] = True
+    for k in np.flatnonzero(whole):
+        mark[offsets[k] : offsets[k + 1]] = False
+    mark[offsets] = True
+    return np.flatnonzero(mark[:-1])
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -69,10 +100,13 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
         self.pattern = regex.compile(PATTERN.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]").replace(f"[^[{WHITE}]", f"[^{WHITE}"))
-        self.letters = {b: s for b, s in byte_letters().items()}
+        self.letters = byte_letters()
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.table: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.table: dict[bytes, int] = {}
+        self.ids, self.stops, self.held = array("I"), array("q", [0]), 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -80,33 +114,55 @@ class Encoder:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def piece(self, text: str) -> bytes:
-        mapped = text.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.table) + len(chunks) > TABLE:
-            self.table.clear()
-            self.pieces.clear()
-        for chunk in chunks:
-            if chunk not in self.table:
-                ids = b""
-                for p in self.pattern.findall(chunk):
-                    if (got := self.pieces.get(p)) is None:
-                        got = self.pieces[p] = self.piece(p)
-                    ids += got
-                self.table[chunk] = ids
+    def merged(self, chunk: str) -> list[int]:
+        """A chunk's ids, its pieces merged by the library's model."""
+        if SIMPLE.fullmatch(chunk):
+            mapped = [chunk.replace(" ", self.letters[32]) if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)]
+        elif any(a in chunk for a in self.added):
+            return self.whole.encode(chunk, add_special_tokens=False).ids
+        else:
+            mapped = [p.encode().decode("latin-1").translate(self.letters) for p in self.pattern.findall(chunk)]
+        return [t.id for m in mapped for t in self.merge(m)]
+
+    def places(self, chunks: list[bytes]) -> np.ndarray:
+        """Where distinct chunks stand in the table; new ones are merged by the library's model and put there."""
+        if len(self.table) > TABLE or self.held > TABLE_BYTES:
+            self.clear()
+        found = list(map(self.table.get, chunks))
+        new = [c for c, place in zip(chunks, found, strict=True) if place is None]
+        if new:
+            self.table.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            for c in new:
+                self.ids.extend(self.merged(c.decode()))
+                self.stops.append(len(self.ids))
+            self.held += sum(map(len, new))
+            found = list(map(self.table.get, chunks))
+        return np.array(found, np.int64)
+
+    def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts whose UTF-8 bytes lie between these offsets, one after another, and how many each has."""
+        data, offsets = np.ascontiguousarray(data[offsets[0] : offsets[-1]]), np.asarray(offsets, np.int64) - offsets[0]
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        whole = np.zeros(len(texts), bool)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        starts = chunk_starts(data, offsets, whole)
+        ends = np.append(starts, len(data))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        place = self.places(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())[chunks.indices.to_numpy()]
+        ids, stops = np.array(self.ids, "<u4"), np.array(self.stops)
+        n = np.diff(stops)[place]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(stops[place] - stop[:-1], n)
+        at += np.arange(len(at))
+        return ids[at], np.diff(stop[np.searchsorted(starts, offsets)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if any(a in text for a in self.added):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = CHUNKS.findall(text)
-        try:
-            return b"".join(map(self.table.__getitem__, chunks))
-        except KeyError:
-            self.learn(set(chunks))
-            return b"".join(map(self.table.__getitem__, chunks))
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_batch(data, np.array([0, len(data)]))[0].tobytes()
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, segment: int = SEGMENT) -> None:
@@ -114,7 +170,6 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, segment: int
     tokenizer = tokenizer or tokenizer_path()
     names = ["part", "segment", "before", "doc_ids", "counts", "payload"]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([END], "<u4").tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(tokenizer), TaskContext.get().partitionId()
@@ -122,23 +177,32 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, segment: int
         kind = None
 
         def closed() -> pa.RecordBatch:
-            payload = encode_blocks(np.frombuffer(b"".join(held), "<u4"))
-            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(kind)), pa.array([counts], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
+            owners = pa.array([pa.concat_arrays(doc_ids)], pa.list_(kind))
+            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), owners, pa.array([np.concatenate(counts)], pa.list_(pa.int64())), pa.array([encode_blocks(np.concatenate(held))], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             kind = batch.column(0).type
             data, offsets = column_bytes(batch.column(1))
-            for k, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = encoder.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode()) + end
-                doc_ids.append(doc_id)
-                counts.append(len(ids) // 4)
-                held.append(ids)
-                size += counts[-1]
-                if size >= segment:
-                    yield closed()
-                    number, before = number + 1, before + size
-                    doc_ids, counts, held, size = [], [], [], 0
+            a = 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BATCH, side="right")) - 1)
+                ids, n = encoder.encode_batch(data, offsets[a : b + 1])
+                ids, stop = np.insert(ids, np.cumsum(n), END), np.cumsum(n + 1)
+                first = 0
+                while first < b - a:
+                    done = int(stop[first - 1]) if first else 0
+                    last = min(int(np.searchsorted(stop, done + segment - size)), b - a - 1)  # the document that fills the segment
+                    doc_ids.append(batch.column(0).slice(a + first, last + 1 - first))
+                    counts.append(n[first : last + 1] + 1)
+                    held.append(ids[done : stop[last]])
+                    size += len(held[-1])
+                    first = last + 1
+                    if size >= segment:
+                        yield closed()
+                        number, before = number + 1, before + size
+                        doc_ids, counts, held, size = [], [], [], 0
+                a = b
         if doc_ids:
             yield closed()
 
