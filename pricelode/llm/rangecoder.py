@@ -22,7 +22,7 @@ import numpy as np
 MAGIC = b"PLTS"
 VERSION = 2
 #: Ids of a block at most and at least, and blocks of a segment that are aimed at.
-BLOCK, SHORT, LANES = 4096, 256, 4096
+BLOCK, SHORT, LANES = 4096, 256, 8192
 #: Bits of an id, of all frequencies, of order 0's frequencies, of order 2's hash, and of a confidence.
 ID_BITS, T_BITS, C_BITS, H2, K = 17, 24, 18, 20, 3
 #: Rates of being right from which a context has the next higher level; below the first it predicts nothing.
@@ -30,7 +30,7 @@ LEVELS = np.array([1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 15 / 16])
 #: A context's id is kept if it was right as often.
 HITS = 16
 #: Ids whose intervals are worked out together.
-SLICE = 1 << 19
+SLICE = 1 << 16
 
 _T, _SMALL = 1 << T_BITS, 1 << 32
 _STATES = 1 << 2 * K + 1
@@ -38,7 +38,7 @@ _NONE = -1 << K  # the entry of a context that predicts nothing: id -1 at level
 
 
 def hashed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return (one.astype(np.int64) * 40503 + two.astype(np.int64) * 30011) & ((1 << H2) - 1)
+    return (one * 40503 + two * 30011) & ((1 << H2) - 1)  # the low bits are right in 32 bits, too
 
 
 def followers(context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,32 +67,32 @@ class Model:
         self.t1, self.t2 = np.full(1 << ID_BITS, _NONE, np.int32), np.full(1 << H2, _NONE, np.int32)
         self.t1[c1], self.t2[c2] = e1, e2
         self.f2, self.f1 = both[:_STATES].astype(np.int64), both[_STATES:].astype(np.int64)
+        self.known = self.f2 + self.f1
         self.ids = used.astype(np.int64)
         self.edges = np.concatenate([[0], np.cumsum(freq)]).astype(np.int64)
 
     @classmethod
-    def fit(cls, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> Model:
+    def fit(cls, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[Model, np.ndarray]:
+        """The model of these ids, and the event of each of them: its state, behind the states of other kinds (order 2 is right, order 1 is, neither)."""
         empty = np.zeros(0, np.int64)
         orders = [*followers(one, ids), *followers(hashed(one, two), ids)] if len(ids) else [empty] * 4
         model = cls([*orders, empty, empty, np.zeros(2 * _STATES, np.int64)])
-        seen = np.zeros((3, _STATES), np.int64)
+        event = np.empty(len(ids), np.int16)
         missed = np.zeros(1 << ID_BITS, np.int64)
         for i in range(0, len(ids), SLICE):
             x = ids[i : i + SLICE]
             p2, p1, state = model.predict(one[i : i + SLICE], two[i : i + SLICE])
-            hit2 = x == p2
-            hit1 = (x == p1) & ~hit2
-            for row, of in enumerate((state, state[hit2], state[hit1])):
-                seen[row] += np.bincount(of, minlength=_STATES)
-            missed += np.bincount(x[~(hit2 | hit1)], minlength=1 << ID_BITS)
-        both = np.where(seen[1:] > 0, np.maximum(seen[1:] * (_T - (2 << C_BITS)) // np.maximum(seen[0], 1), 1), 0)
+            event[i : i + SLICE] = state + np.where(x == p2, 0, np.where(x == p1, _STATES, 2 * _STATES))
+            missed += np.bincount(x[event[i : i + SLICE] >= 2 * _STATES], minlength=1 << ID_BITS)
+        seen = np.bincount(event, minlength=3 * _STATES).reshape(3, _STATES)
+        both = np.where(seen[:2] > 0, np.maximum(seen[:2] * (_T - (2 << C_BITS)) // np.maximum(seen.sum(axis=0), 1), 1), 0)
         used = np.flatnonzero(missed)
         if not len(used):
             used, missed[0] = np.array([0]), 1
         count = missed[used]
         freq = np.maximum(count * ((1 << C_BITS) - len(used)) // count.sum(), 1)
         freq[count.argmax()] += (1 << C_BITS) - freq.sum()
-        return cls([*orders, used, freq, both.reshape(-1)])
+        return cls([*orders, used, freq, both.reshape(-1)]), event
 
     def pack(self) -> bytes:
         parts = [np.diff(a, prepend=0) if k in (0, 2, 4) else a for k, a in enumerate(self.arrays)]
@@ -112,22 +112,20 @@ class Model:
         level = (1 << K) - 1
         return p2, p1, ((e2 & level) << K + 1) + ((e1 & level) << 1) + (p2 == p1)
 
-    def intervals(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def intervals(self, ids: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each id's share of all frequencies begins, and its width."""
-        begin, width = np.empty(len(ids), np.int32), np.empty(len(ids), np.int32)
-        low, high = np.zeros(1 << ID_BITS, np.int64), np.zeros(1 << ID_BITS, np.int64)
+        known = self.known.astype(np.int32)
+        begins = np.concatenate([np.zeros(_STATES, np.int32), self.f2.astype(np.int32), known])
+        widths = np.concatenate([self.f2, self.f1, _T - self.known]).astype(np.int32)
+        begin, width = begins[event], widths[event]
+        low, high = np.zeros(1 << ID_BITS, np.int32), np.zeros(1 << ID_BITS, np.int32)
         low[self.ids], high[self.ids] = self.edges[:-1], self.edges[1:]
         for i in range(0, len(ids), SLICE):
-            x = ids[i : i + SLICE]
-            p2, p1, state = self.predict(one[i : i + SLICE], two[i : i + SLICE])
-            f2, f1 = self.f2[state], self.f1[state]
-            hit2, hit1 = x == p2, x == p1
-            known = f2 + f1
-            room = _T - known
-            a = known + (room * low[x] >> C_BITS)
-            b = known + (room * high[x] >> C_BITS)
-            begin[i : i + SLICE] = np.where(hit2, 0, np.where(hit1, f2, a))
-            width[i : i + SLICE] = np.where(hit2, f2, np.where(hit1, f1, b - a))
+            at = np.flatnonzero(event[i : i + SLICE] >= 2 * _STATES)
+            x, room = ids[i : i + SLICE][at], width[i : i + SLICE][at].astype(np.int64)
+            a = room * low[x] >> C_BITS
+            begin[i : i + SLICE][at] += a.astype(np.int32)
+            width[i : i + SLICE][at] = (room * high[x] >> C_BITS) - a
         return begin, width
 
 
@@ -144,7 +142,7 @@ def grid(x: np.ndarray, block: int, lanes: int) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray, block: int | None = None) -> bytes:
-    """A segment: header, model, directory (ids, bytes and CRC of each block), coded blocks."""
+    """A segment: header, model, directory (words and CRC of each block), coded blocks."""
     raw = np.asarray(ids).astype("<u4")
     if len(raw) and int(raw.max()) >> ID_BITS:
         raise ValueError(f"token ids must be below {1 << ID_BITS}")
@@ -156,9 +154,9 @@ def encode_blocks(ids: np.ndarray, block: int | None = None) -> bytes:
     one[::block] = 0
     two[1:] = one[:-1]
     two[::block] = 0
-    model = Model.fit(x, one, two)
-    begin, width = (grid(a, block, lanes) for a in model.intervals(x, one, two))
-    del x, one, two
+    model, event = Model.fit(x, one, two)
+    begin, width = (grid(a, block, lanes) for a in model.intervals(x, event))
+    del x, one, two, event
     size = [block] * (lanes - 1) + [len(raw) - block * (lanes - 1)] if lanes else []
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
     out = np.zeros((2 * block + 8) * lanes, np.uint32)  # a row for each word's place, a column for each lane
@@ -171,17 +169,16 @@ def encode_blocks(ids: np.ndarray, block: int | None = None) -> bytes:
         unit = sp >> T_BITS
         lo += unit * begin[t, :n]
         np.multiply(unit, width[t, :n], out=sp)
-        small = sp < _SMALL
+        small = (sp < _SMALL).astype(np.int64)
         while small.any():
             word = lo >> 32
             out[at] = word
             at += small * lanes
-            word *= small
-            lo -= word << 32
-            shift = small.astype(np.int64) << 4
-            lo <<= shift
-            sp <<= shift
-            small = sp < _SMALL
+            lo -= (word * small) << 32
+            small <<= 4
+            lo <<= small
+            sp <<= small
+            small = (sp < _SMALL).astype(np.int64)
     for _ in range(3):
         out[place] = low >> 32
         place += lanes
@@ -197,26 +194,28 @@ def encode_blocks(ids: np.ndarray, block: int | None = None) -> bytes:
     words = out[: rows * lanes].astype(">u2").reshape(rows, lanes).T[np.arange(rows) < used[:, None]]
     crcs = [zlib.crc32(raw[i * block : i * block + n].tobytes()) for i, n in enumerate(size)]
     packed = model.pack()
-    head = MAGIC + struct.pack("<IIII", VERSION, block, lanes, len(packed))
-    return head + packed + np.array([size, (used * 2).tolist(), crcs], "<u4").T.tobytes() + words.tobytes()
+    head = MAGIC + struct.pack("<IIII", VERSION, block, len(raw), len(packed))
+    return head + packed + used.astype("<u4").tobytes() + np.array(crcs, "<u4").tobytes() + words.tobytes()
 
 
 def decode_blocks(data: bytes) -> np.ndarray:
     """The ids of a segment; a wrong checksum is an error."""
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
-    version, block, lanes, length = struct.unpack("<IIII", data[4:20])
+    version, block, total, length = struct.unpack("<IIII", data[4:20])
     if version != VERSION:
         raise ValueError(f"unknown version {version} of a token segment")
     try:
         model = Model.unpack(data[20 : 20 + length])
     except (zlib.error, struct.error) as e:
         raise ValueError("the model of a token segment is damaged") from e
-    size, length, crcs = np.frombuffer(data, "<u4", lanes * 3, at := 20 + length).reshape(lanes, 3).astype(np.int64).T
-    words = np.concatenate([np.frombuffer(data, ">u2", offset=at + lanes * 12).astype(np.int64), [0, 0, 0]])
+    lanes = -(-total // block)
+    size = [block] * (lanes - 1) + [total - block * (lanes - 1)] if lanes else []
+    used, crcs = np.frombuffer(data, "<u4", lanes * 2, at := 20 + length).astype(np.int64).reshape(2, lanes)
+    words = np.concatenate([np.frombuffer(data, ">u2", offset=at + lanes * 8).astype(np.int64), [0, 0, 0]])
     slot = np.repeat(np.arange(len(model.ids), dtype=np.int32), np.diff(model.edges))
-    place = np.concatenate([[0], np.cumsum(length // 2)])[:lanes]
-    code = words[place] << 32 | words[place + 1] << 16 | words[place + 2]
+    place = np.concatenate([[0], np.cumsum(used)])[:lanes]
+    code = words.take(place, mode="clip") << 32 | words.take(place + 1, mode="clip") << 16 | words.take(place + 2, mode="clip")
     place += 3
     span = np.full(lanes, 1 << 48, np.int64)
     one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -227,31 +226,38 @@ def decode_blocks(data: bytes) -> np.ndarray:
             break
         co, sp, at = code[:n], span[:n], place[:n]
         p2, p1, state = model.predict(one[:n], two[:n])
-        f2, f1 = model.f2.take(state), model.f1.take(state)
+        f2, known = model.f2.take(state), model.known.take(state)
         unit = sp >> T_BITS
-        v = np.clip((co / unit).astype(np.int64), 0, _T - 1)  # within bounds by itself, unless the segment is damaged
-        known = f2 + f1
+        v = (co / unit).astype(np.int64)
+        np.minimum(v, _T - 1, out=v)
+        np.maximum(v, 0, out=v)  # within bounds by itself, unless the segment is damaged
         room = _T - known
-        rank = slot.take(((((v - known + 1) << C_BITS) - 1) / room).astype(np.int64), mode="clip")
-        a = known + (room * model.edges.take(rank) >> C_BITS)
-        b = known + (room * model.edges.take(rank + 1) >> C_BITS)
-        hit2, hit = v < f2, v < known
-        begin = np.where(hit2, 0, np.where(hit, f2, a))
-        x = np.where(hit2, p2, np.where(hit, p1, model.ids.take(rank)))
+        hit2, miss = v < f2, v >= known
+        begin = np.where(hit2, 0, f2)
+        width = np.where(hit2, f2, known - f2)
+        x = np.where(hit2, p2, p1)
+        new = np.flatnonzero(miss)
+        known, room = known[new], room[new]
+        rank = slot.take(((((v[new] - known + 1) << C_BITS) - 1) / room).astype(np.int64))
+        a = room * model.edges.take(rank) >> C_BITS
+        begin[new] = known + a
+        width[new] = (room * model.edges.take(rank + 1) >> C_BITS) - a
+        x[new] = model.ids.take(rank)
         co -= unit * begin
-        np.multiply(unit, np.where(hit2, f2, np.where(hit, f1, b - a)), out=sp)
+        np.multiply(unit, width, out=sp)
         steps[t, :n] = x
         two[:n] = one[:n]
         one[:n] = x
-        small = sp < _SMALL
+        small = (sp < _SMALL).astype(np.int64)
         while small.any():
-            shift = small.astype(np.int64) << 4
-            co <<= shift
-            co += words.take(at, mode="clip") * small
-            sp <<= shift
+            word = words.take(at, mode="clip") * small
             at += small
-            small = sp < _SMALL
-    raw = steps.T.reshape(-1)[: int(size.sum())].astype("<u4", copy=False) if lanes else np.zeros(0, "<u4")
+            small <<= 4
+            co <<= small
+            co += word
+            sp <<= small
+            small = (sp < _SMALL).astype(np.int64)
+    raw = steps.T.reshape(-1)[:total].astype("<u4", copy=False) if lanes else np.zeros(0, "<u4")
     for i in range(lanes):
         if zlib.crc32(raw[i * block : i * block + size[i]].tobytes()) != crcs[i]:
             raise ValueError(f"block {i} of a token segment is damaged")

@@ -23,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -128,16 +129,17 @@ class Encoder:
         """Where distinct chunks stand in the table; new ones are merged by the library's model and put there."""
         if len(self.table) > TABLE or self.held > TABLE_BYTES:
             self.clear()
-        found = list(map(self.table.get, chunks))
-        new = [c for c, place in zip(chunks, found, strict=True) if place is None]
-        if new:
-            self.table.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+        found = np.array(list(map(self.table.get, chunks, repeat(-1))), np.int64)
+        lacking = np.flatnonzero(found < 0)
+        if len(lacking):
+            new = [chunks[k] for k in lacking.tolist()]
+            found[lacking] = np.arange(len(self.table), len(self.table) + len(new))
+            self.table.update(zip(new, found[lacking].tolist(), strict=True))
             for c in new:
                 self.ids.extend(self.merged(c.decode()))
                 self.stops.append(len(self.ids))
             self.held += sum(map(len, new))
-            found = list(map(self.table.get, chunks))
-        return np.array(found, np.int64)
+        return found
 
     def encode_batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts whose UTF-8 bytes lie between these offsets, one after another, and how many each has."""
