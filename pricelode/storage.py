@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +20,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/pricelode/{name}-{uuid.uuid4().hex}"
 
 
+#: Where each table is that :func:`kept` wrote.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: a step's plan stays small, and a lost executor costs a reread."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet and read it back: a step's plan stays small, and a lost executor costs a reread.
+
+    The step's shuffles go when it is written, not when the driver's memory is next cleaned: else those of all steps lie on the disks at once."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of :func:`kept` that nothing reads any more; other tables stay."""
+    for table in tables:
+        if path := _PLACES.pop(table, None):
+            drop_folder(table.sparkSession, path)
 
 
 def subfolders(spark: SparkSession, path: str) -> list[str]:
