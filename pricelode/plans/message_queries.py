@@ -11,7 +11,7 @@ from pricelode.operators import matching, memory
 from pricelode.operators.alike import name_pairs
 from pricelode.plans.registry import query, table
 from pricelode.sources import cells, pages, pricelists
-from pricelode.sources.messages import message_lines, read_lines, read_messages
+from pricelode.sources.messages import gathered, message_lines, read_lines, read_messages
 from pricelode.storage import dropped, kept
 
 
@@ -123,14 +123,16 @@ def read_rows(messages: DataFrame, index: DataFrame) -> DataFrame:
 @query("""select 'Supplier ' || l_suppkey as supplier, 'costo' as kind, false as note, count(*) as n, sum(round_even(l_extendedprice, 0)) as total from lineitem group by 1""")
 def q45_message_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a supplier's quotes of a day as one message, read back to costs by supplier."""
-    quotes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.rint("l_extendedprice").cast("long").alias("price"))
-    lines = quotes.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    quotes = table(spark, sf_dir, "lineitem")
+    n = quotes.count()
+    quotes = quotes.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.rint("l_extendedprice").cast("long").alias("price"))
+    lines = gathered(quotes, n, "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     said = F.concat("p_name", F.lit(" "), "p_type", F.lit(" $"), "price")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "said")
     # a whole number for each supplier's day (up to the year 9999 and no day at all: fewer than 2^23), of which the supplier can be told
     day = F.coalesce(F.unix_date(F.col("l_shipdate").cast("date")) + (1 << 22), F.lit(0))
     # few lines share a day, so they are moved as they are: lists of a task's own lines would be longer
-    lines = lines.select((F.shiftleft(F.col("l_suppkey").cast("long"), 23) + day).alias("source_id"), "l_orderkey", "l_linenumber", "l_partkey", said.alias("said")).repartition("source_id")
+    lines = gathered(lines.select((F.shiftleft(F.col("l_suppkey").cast("long"), 23) + day).alias("source_id"), "l_orderkey", "l_linenumber", "l_partkey", said.alias("said")), n, "source_id")
     message = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["said"]), "\n")  # a supplier's lines of one day
     messages = lines.groupBy("source_id").agg(message.alias("text")).select("source_id", F.concat(F.lit("Supplier "), F.shiftright("source_id", 23)).alias("start"), "text")
     # each step's table goes once the next is written
