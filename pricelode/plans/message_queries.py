@@ -125,21 +125,21 @@ def q45_message_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a supplier's quotes of a day as one message, read back to costs by supplier."""
     quotes = table(spark, sf_dir, "lineitem")
     n = quotes.count()
-    quotes = quotes.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.rint("l_extendedprice").cast("long").alias("price"))
-    lines = gathered(quotes, n, "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    said = F.concat("p_name", F.lit(" "), "p_type", F.lit(" $"), "price")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "said")
     # a whole number for each supplier's day (up to the year 9999 and no day at all: fewer than 2^23), of which the supplier can be told
     day = F.coalesce(F.unix_date(F.col("l_shipdate").cast("date")) + (1 << 22), F.lit(0))
+    quotes = quotes.select((F.shiftleft(F.col("l_suppkey").cast("long"), 23) + day).alias("source_id"), "l_orderkey", "l_linenumber", "l_partkey", F.rint("l_extendedprice").cast("long").alias("price"))
+    lines = gathered(quotes, n, "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = kept(lines.select("source_id", "l_orderkey", "l_linenumber", F.concat("p_name", F.lit(" "), "p_type", F.lit(" $"), "price").alias("said")), "quotes")
     # few lines share a day, so they are moved as they are: lists of a task's own lines would be longer
-    lines = gathered(lines.select((F.shiftleft(F.col("l_suppkey").cast("long"), 23) + day).alias("source_id"), "l_orderkey", "l_linenumber", "l_partkey", said.alias("said")), n, "source_id")
-    message = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["said"]), "\n")  # a supplier's lines of one day
-    messages = lines.groupBy("source_id").agg(message.alias("text")).select("source_id", F.concat(F.lit("Supplier "), F.shiftright("source_id", 23)).alias("start"), "text")
+    order = F.collect_list(F.struct("l_orderkey", "l_linenumber", "said"))
+    message = F.array_join(F.transform(F.array_sort(order), lambda x: x["said"]), "\n")  # a supplier's lines of one day
+    messages = gathered(lines, n, "source_id").groupBy("source_id").agg(message.alias("text")).select("source_id", F.concat(F.lit("Supplier "), F.shiftright("source_id", 23)).alias("start"), "text")
     # each step's table goes once the next is written
     messages = kept(messages, "messages")
-    lines = message_lines(messages)
+    dropped(lines)
+    read = message_lines(messages)
     dropped(messages)
-    return read_lines(lines, supplier_index(spark, sf_dir)).groupBy("supplier", "kind", "note").agg(F.count("*").alias("n"), F.sum("cost").alias("total"))
+    return read_lines(read, supplier_index(spark, sf_dir)).groupBy("supplier", "kind", "note").agg(F.count("*").alias("n"), F.sum("cost").alias("total"))
 
 
 @query("""with p as (select cast(p_size as bigint) as source_id, row_number() over (partition by p_size order by p_partkey) - 1 as line_no, p_brand, p_partkey, p_name, p_retailprice from part)
